@@ -78,6 +78,33 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         start = stop
 
 
+def learned_rows(docs: DataFrame, labels: DataFrame, bound: int, seed: str) -> DataFrame:
+    """A sample of about ``bound`` labelled documents, none held out; the same rows on every run.
+
+    Labels of one document that differ or repeat count once, as their largest.
+    """
+    named = [c for c in labels.columns if c != "doc_id"]
+    labels = labels.where(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in named])
+    there = max(1, labels.count())
+    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, bound / there) * (1 << 30))
+    return docs.select("doc_id", "text").join(labels.where(part), "doc_id")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression, by Adam over all rows."""
+    w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    for k in range(1, rounds + 1):
+        off = sigmoid(x @ w[:-1].astype(x.dtype) + w[-1]) - y
+        g = np.append(x.T @ off.astype(x.dtype) / len(y) + l2 * w[:-1], off.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return w[:-1], float(w[-1])
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit. Works on a copy."""
     x = x.astype(np.uint64, copy=True)
@@ -112,13 +139,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased.
+#: For ``words``: everything in ASCII but letters parts words.
+NOT_LETTERS = np.ones(256, bool)
+NOT_LETTERS[128:] = False
+NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = False
+
+
+def words(raw: np.ndarray, at: np.ndarray, parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, or what else ``parting`` bytes leave, A-Z lower-cased.
 
     Returns a 64-bit hash for each word, its first byte and the byte after its last (in ``raw``),
     and, for each text, the index of its first word (one entry more than texts).
     """
-    space = _SPACE[raw]
+    space = parting[raw]
     edge = np.zeros(len(raw) + 1, bool)  # a word can't run on into the next text
     edge[at] = True
     solid = ~space

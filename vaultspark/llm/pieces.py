@@ -7,9 +7,11 @@ where the vocabulary has none. The result is the segmentation of the highest tot
 the model; for a vocabulary of merges, the library's merge order may cut a word otherwise, at a lower
 total score.
 
-A text is cut before encoding wherever no piece can reach across: in front of each run of word
-marks, if no piece holds a mark after another character. The vocabulary is checked for that; if it has
-such pieces, texts are encoded uncut. Segments repeat, so their codes are remembered up to a bound.
+Two exact shortcuts are proven from the vocabulary when it is loaded. A piece whose own string is
+worth more cut into other pieces is never part of a best segmentation, so the automaton leaves it
+out. Where no piece left holds two neighbouring characters together, every segmentation is cut between
+them, so what lies between such cuts is encoded by itself. These parts repeat; their codes are
+remembered up to a bound.
 
 Defined results: null text is empty and has no piece. The normalisation is the one of models whose
 rule is identity: spaces become word marks and one mark is put in front. Decoding undoes both, so a text
@@ -22,7 +24,7 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,25 @@ MARK = "▁"
 BRIDGE = -10.0
 
 
+class _Remembered(dict):
+    """What ``make`` gives for a string, kept for up to ``bound`` short strings."""
+
+    def __init__(self, make: Callable[[str], list[int]], bound: int) -> None:
+        self.make, self.bound = make, bound
+
+    def __missing__(self, text: str) -> array:
+        ids = array("i", self.make(text))
+        if len(text) <= 64:
+            if len(self) >= self.bound:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Pieces:
     """A model's pieces; one for each file and process."""
 
-    def __init__(self, path: str, remember: int = 200_000) -> None:
-        import ahocorasick
+    def __init__(self, path: str, remember: int = 300_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,32 +61,44 @@ class Pieces:
         self.scores = [model.get_score(i) for i in range(len(model))]
         self.unknown = model.unk_id()
         self.bytes = {}
-        self.machine = ahocorasick.Automaton()
-        crossing = False
+        usable = []
         for i, piece in enumerate(self.pieces):
             if model.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.machine.add_word(piece, (len(piece), self.scores[i], i))
-                crossing |= MARK in piece.lstrip(MARK)
-        self.machine.make_automaton()
-        self.decoded = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.raw = [self.decoded.get(i, piece.encode()) for i, piece in enumerate(self.pieces)]
-        self.singles = {piece for piece in self.machine if len(piece) == 1}
-        self.bridge = min(score for _, score, _ in self.machine.values()) + BRIDGE
-        self.segments = re.compile(r"(?s).+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        encode = self.viterbi
-
-        class Known(dict):
-            def __missing__(self, segment: str) -> array:
-                ids = array("i", encode(segment))
-                if len(self) >= remember:
-                    self.clear()
-                if len(segment) <= 64:
-                    self[segment] = ids
-                return ids
-
-        self.known = Known()
+                usable.append((piece, i))
+        self.raw = [piece.encode() for piece in self.pieces]
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
+        self.singles = {piece for piece, _ in usable if len(piece) == 1}
+        self.bridge = min(self.scores[i] for _, i in usable) + BRIDGE
+        self.machine = self._automaton(usable)
+        best = [(piece, i) for piece, i in usable if len(piece) == 1 or sum(map(self.scores.__getitem__, self.viterbi(piece))) <= self.scores[i]]
+        self.machine = self._automaton(best)
+        self.joined = {piece[k : k + 2] for piece, _ in best for k in range(len(piece) - 1)}
+        free = not any(pair[1] == MARK and pair[0] != MARK for pair in self.joined)
+        self.segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if free else "(?s).+").findall
+        self.parts = _Remembered(self.viterbi, remember)
+        self.known = _Remembered(self._segment, remember)
+
+    def _automaton(self, pieces: list[tuple[str, int]]):  # noqa: ANN202
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for piece, i in pieces:
+            machine.add_word(piece, (len(piece), self.scores[i], i))
+        machine.make_automaton()
+        return machine
+
+    def _segment(self, text: str) -> list[int]:
+        """Codes of a segment, from those of its parts between forced cuts."""
+        out, at, joined, parts = [], 0, self.joined, self.parts
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in joined:
+                out.extend(parts[text[at:k]])
+                at = k
+        out.extend(parts[text[at:]])
+        return out
 
     def viterbi(self, text: str) -> list[int]:
         """The best-scoring ids of ``text``, in one pass over the automaton's matches.
