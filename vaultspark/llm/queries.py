@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.llm import exact_dedup, language_id, pieces, quality, token_counts, toxicity
+from vaultspark.llm import exact_dedup, jaccard_join, language_id, pieces, quality, token_counts, toxicity
 from vaultspark.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -33,6 +37,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_sentencepiece, op4_token_counts, op5_language_id, op6_exact_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_sentencepiece, op4_token_counts, op5_language_id, op6_exact_dedup, op10_toxicity)}
 
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}

@@ -11,7 +11,7 @@ those with at least three different ones.
 Words are runs of letters, A-Z lower-cased, hashed to 2^20 bins; the models see the bins that tell the labels
 apart best. Learning reads a sample of at most about ``bound`` labelled documents that aren't held out. Defined
 results: a null or empty text has no word and gets the chain's bias. Without both labels every probability
-is 0. A tie at the threshold counts as toxic. The result's row follows the input's row, repeated rows included;
+is 0. A probability of 0.5 counts as toxic. The result's row follows the input's row, repeated rows included;
 other columns of the input aren't returned.
 """
 
@@ -72,6 +72,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 10
     p, q, all_ = a / n1, b / n0, (a + b) / len(y)
     apart = np.where(a + b >= 3, (p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-9) * (1 / n1 + 1 / n0)), 0)
     chosen = np.argsort(-np.abs(apart), kind="stable")[:width]
+    chosen = chosen[np.abs(apart[chosen]) >= 5]  # fewer would be chance, among so many words
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     x = present(found, of, place, len(chosen))
@@ -79,7 +80,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 10
     hits = x[:, terms].sum(1) if terms.any() else np.zeros(len(y))
     target = {"abusive": y * (hits >= 1), "severe": y * (hits >= 3), "toxic": y}
     part = np.random.default_rng(5).integers(0, folds, len(y))
-    models, unseen, final = {}, np.zeros((len(y), 0), np.float32), None
+    models, unseen = {}, np.zeros((len(y), 0), np.float32)
     for name in CHAIN:
         t = target[name].astype(float)
         seen = np.hstack([x, unseen])
@@ -89,18 +90,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 10
                 w, bias = logistic(seen[part != k], t[part != k])
                 out[part == k] = sigmoid(seen[part == k] @ w + bias)
         models[name] = logistic(seen, t)
-        unseen, final = np.hstack([unseen, out[:, None]]), out
-    return {"chosen": chosen, "models": models, "threshold": _threshold(final, y)}
-
-
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where unseen rows are told apart with the fewest errors: between the two neighbouring probabilities."""
-    order = np.argsort(p, kind="stable")
-    errors = np.append(0, np.cumsum(y[order])) + np.append(np.cumsum((1 - y[order])[::-1])[::-1], 0)
-    at = np.flatnonzero(errors == errors.min())
-    at = int(at[len(at) // 2])
-    low, high = (p[order[at - 1]] if at else 0.0), (p[order[at]] if at < len(p) else 1.0)
-    return float(low + high) / 2
+        unseen = np.hstack([unseen, out[:, None]])
+    return {"chosen": chosen, "models": models}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -120,7 +111,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                     for k, name in enumerate(CHAIN):
                         w, bias = m["models"][name]
                         p[:, k] = sigmoid(x @ w[: x.shape[1]] + p[:, :k] @ w[x.shape[1] :] + bias)
-                toxic = (p[:, -1] >= m["threshold"]) if m else np.zeros(part.num_rows, bool)
+                toxic = (p[:, -1] >= 0.5) if m else np.zeros(part.num_rows, bool)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), *(pa.array(p[:, k].astype(float)) for k in (0, 1, 2)), pa.array(toxic.astype(np.int32))],
                     ["doc_id", "held_out", "p_abusive", "p_severe", "score", "predicted"],
