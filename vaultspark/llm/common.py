@@ -165,11 +165,15 @@ def words(raw: np.ndarray, at: np.ndarray, parting: np.ndarray = _SPACE) -> tupl
     of = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends, of
-    # sum of byte * base^place over each word, by differences of a running sum, in arithmetic modulo 2^64
+    return span_hashes(raw, starts, ends), starts, ends, of
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, A-Z lower-cased: sums of byte * base^place, as differences of a running sum, modulo 2^64."""
     run = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((_FOLD[raw].astype(np.uint64) + np.uint64(1)) * powers(len(raw)), out=run[1:])
-    total = (run[ends] - run[starts]) * inverse_powers(len(raw))[starts]
-    return mix(total ^ ((ends - starts).astype(np.uint64) << np.uint64(48))), starts, ends, of
+    total = (run[ends] - run[starts]) * inverse_powers(len(raw) + 1)[starts]
+    return mix(total ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
