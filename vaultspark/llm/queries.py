@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pieces, quality, token_counts, toxicity
+from vaultspark.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pieces, pii, quality, token_counts, toxicity
 from vaultspark.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +49,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_sentencepiece, op4_token_counts, op5_language_id, op6_exact_dedup, op7_line_dedup, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard_join, op3_sentencepiece, op4_token_counts, op5_language_id, op6_exact_dedup, op7_line_dedup, op8_pii, op9_decontamination, op10_toxicity)}
 
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
