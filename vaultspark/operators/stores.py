@@ -57,7 +57,7 @@ def search_entities_or_id(entities: DataFrame, query: str, kind: str | None = No
 def names(entities: DataFrame) -> DataFrame:
     """key (lower case), id: one entity for each name or alias; a name goes before an alias, then the least id. Empty keys are left out."""
     own = entities.select(F.lower("name").alias("key"), F.lit(0).alias("priority"), "id")
-    other = entities.select(F.lower(F.explode("aliases")).alias("key"), F.lit(1).alias("priority"), "id")
+    other = entities.select(F.explode("aliases").alias("key"), F.lit(1).alias("priority"), "id").withColumn("key", F.lower("key"))
     return own.unionByName(other).where("key <> ''").groupBy("key").agg(F.min(F.struct("priority", "id")).getField("id").alias("id"))
 
 

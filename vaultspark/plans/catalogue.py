@@ -23,11 +23,17 @@ QUERY_VECTOR = [round(((i * 37) % 64 - 31.5) / 32, 4) for i in range(64)]
 _VECTOR_SQL = f"CAST({QUERY_VECTOR} AS DOUBLE[])"
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable:
+    """Register a query and its SQL; the ``dates`` columns become text in both."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        def run(s: SparkSession, d: str) -> DataFrame:
+            return f(s, d).withColumns({c: F.col(c).cast("string") for c in dates})
+
+        QUERIES[f.__name__] = run if dates else f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({text}) FROM ({sql})" if dates else sql
         return f
 
     return add
@@ -217,7 +223,7 @@ def chunks(s: SparkSession, d: str) -> DataFrame:
 # --- stores ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH {O.ENTITIES} SELECT id, type, name, mention_count, last_seen FROM ent WHERE name ILIKE '%00001%' OR array_to_string(aliases, ',') ILIKE '%00001%' OR id ILIKE '%00001%' ORDER BY id LIMIT 20")
+@query(f"WITH {O.ENTITIES} SELECT id, type, name, mention_count, last_seen FROM ent WHERE name ILIKE '%00001%' OR array_to_string(aliases, ',') ILIKE '%00001%' OR id ILIKE '%00001%' ORDER BY id LIMIT 20", dates=("last_seen",))
 def entity_search(s: SparkSession, d: str) -> DataFrame:
     return stores.search_entities(T.entities(s, d), "00001").drop("aliases")
 
@@ -234,7 +240,7 @@ def entity_names(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {O.RELATIONS} SELECT source_id, target_id, type, round(weight, 6) AS weight, seen_count, last_seen FROM rel
-WHERE source_id = 'supplier-1' OR target_id = 'supplier-1'""")
+WHERE source_id = 'supplier-1' OR target_id = 'supplier-1'""", dates=("last_seen",))
 def entity_relationships(s: SparkSession, d: str) -> DataFrame:
     return stores.relationships_of(T.relationships(s, d), "supplier-1").select("source_id", "target_id", "type", r6("weight"), "seen_count", "last_seen")
 
@@ -246,7 +252,7 @@ def entity_relationship_listing(s: SparkSession, d: str) -> DataFrame:
     return stores.relationship_listing(T.relationships(s, d), T.entities(s, d), "supplier-1").drop("weight")
 
 
-@query(f"WITH {O.RELATIONS} SELECT source_id, target_id, type, seen_count, last_seen, round(weight, 6) AS weight FROM rel")
+@query(f"WITH {O.RELATIONS} SELECT source_id, target_id, type, seen_count, last_seen, round(weight, 6) AS weight FROM rel", dates=("last_seen",))
 def relationship_weights(s: SparkSession, d: str) -> DataFrame:
     rel = T.relationships(s, d).withColumn("weight", F.lit(0.0))
     return stores.reweighted(rel, T.AS_OF_TRADE).select("source_id", "target_id", "type", "seen_count", "last_seen", r6("weight"))
@@ -257,24 +263,24 @@ def _observation_log(s: SparkSession, d: str) -> DataFrame:
     return T.observations(s, d).select(seq.alias("seq"), "source_id", "target_id", "type", F.lit(None).cast("string").alias("context"), "source_file", F.lit(0.5).alias("confidence"), F.lit("rule").alias("extraction_method"), F.col("day").alias("observed_on"))
 
 
-@query(f"WITH {O.RELATIONS} SELECT source_id, target_id, type, seen_count, last_seen, CAST(0.5 AS DOUBLE) AS confidence, round(CAST(0.5 AS DOUBLE) * weight, 6) AS weight FROM rel")
+@query(f"WITH {O.RELATIONS} SELECT source_id, target_id, type, seen_count, last_seen, CAST(0.5 AS DOUBLE) AS confidence, round(CAST(0.5 AS DOUBLE) * weight, 6) AS weight FROM rel", dates=("last_seen",))
 def relationship_consolidate(s: SparkSession, d: str) -> DataFrame:
     found = stores.consolidated(_observation_log(s, d), as_of=T.AS_OF_TRADE)
     return found.select("source_id", "target_id", "type", "seen_count", "last_seen", "confidence", r6("weight"))
 
 
-@query(f"WITH {O.OBSERVED} SELECT source_file, min(day) AS extracted_at, count(*) AS n FROM (SELECT DISTINCT source_id, target_id, type, source_file, day FROM observed) GROUP BY source_file")
+@query(f"WITH {O.OBSERVED} SELECT source_file, min(day) AS extracted_at, count(*) AS n FROM (SELECT DISTINCT source_id, target_id, type, source_file, day FROM observed) GROUP BY source_file", dates=("extracted_at",))
 def relationship_evidence(s: SparkSession, d: str) -> DataFrame:
     return stores.evidence_log(_observation_log(s, d)).groupBy("source_file").agg(F.min("extracted_at").alias("extracted_at"), F.count("*").alias("n"))
 
 
-@query(f"WITH {O.FACTS} SELECT id, type, content, recorded_at FROM fact WHERE list_contains(entity_ids, 'user-7') ORDER BY recorded_at DESC, id LIMIT 50")
+@query(f"WITH {O.FACTS} SELECT id, type, content, recorded_at FROM fact WHERE list_contains(entity_ids, 'user-7') ORDER BY recorded_at DESC, id LIMIT 50", dates=("recorded_at",))
 def facts_by_entity(s: SparkSession, d: str) -> DataFrame:
     return stores.query_facts(T.facts(s, d), "user-7").select("id", "type", "content", "recorded_at")
 
 
 @query(f"""WITH {O.FACTS} SELECT id, type, content, recorded_at FROM fact WHERE type = 'purchase' AND array_to_string(entity_ids, ',') LIKE '%user-1%'
-AND recorded_at BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY recorded_at DESC, id LIMIT 200""")
+AND recorded_at BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY recorded_at DESC, id LIMIT 200""", dates=("recorded_at",))
 def facts_timeline(s: SparkSession, d: str) -> DataFrame:
     return stores.query_facts(T.facts(s, d), "user-1", "purchase", "2024-01-05", "2024-01-20", 200, compat=True).select("id", "type", "content", "recorded_at")
 
@@ -285,7 +291,7 @@ def fact_dedup(s: SparkSession, d: str) -> DataFrame:
     return stores.added_facts(facts.limit(0), facts.withColumn("seq", F.col("id")), T.AS_OF_FACTS).select("type", "content", "source_file", "id")
 
 
-@query(f"WITH {O.FACTS} SELECT e AS id, count(*) AS mention_count, max(recorded_at) AS last_seen FROM (SELECT unnest(entity_ids) AS e, recorded_at FROM fact) GROUP BY 1")
+@query(f"WITH {O.FACTS} SELECT e AS id, count(*) AS mention_count, max(recorded_at) AS last_seen FROM (SELECT unnest(entity_ids) AS e, recorded_at FROM fact) GROUP BY 1", dates=("last_seen",))
 def mention_rollup(s: SparkSession, d: str) -> DataFrame:
     each = T.facts(s, d).select(F.explode("entity_ids").alias("id"), F.col("recorded_at").alias("date"))
     known = each.select("id").distinct().withColumns({"mention_count": F.lit(0).cast("long"), "last_seen": F.lit(None).cast("date")})
@@ -400,12 +406,11 @@ def graph_neighborhood_edges(s: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT e.dst, list_append(p.path, e.dst), p.hops + 1, p.cost + 1 / greatest(e.weight, CAST(0.01 AS DOUBLE)), p.total + e.weight FROM p JOIN edges e ON p.node = e.src
   WHERE p.hops < 4 AND NOT list_contains(p.path, e.dst))
 SELECT path, hops, round(cost, 6) AS cost, round(total, 6) AS total_weight FROM p
-WHERE node = (SELECT max(source_id) FROM rel r2 WHERE type = 'belongs-to' AND source_id <> 'supplier-1' AND target_id = (SELECT target_id FROM rel WHERE source_id = 'supplier-1' AND type = 'belongs-to')
-  AND source_id LIKE 'supplier-%') ORDER BY cost, hops, path LIMIT 1""")
+WHERE node = (SELECT up.target_id FROM rel own JOIN rel up ON up.source_id = own.target_id WHERE own.source_id = 'supplier-1') ORDER BY cost, hops, path LIMIT 1""")
 def graph_path(s: SparkSession, d: str) -> DataFrame:
     g = _graph(s, d, customers=False)
     nation = g.edges.where("src = 'supplier-1'").select(F.col("dst").alias("src"))
-    goal = g.edges.join(nation, "src").where("dst like 'supplier-%' and dst <> 'supplier-1'").agg(F.max("dst")).first()[0]
+    goal = g.edges.join(nation, "src").where("dst like 'region-%'").agg(F.max("dst")).first()[0]
     return graph.shortest_path(g, "supplier-1", goal or "", 4).select("path", "hops", r6("cost"), r6("total_weight"))
 
 
@@ -445,13 +450,13 @@ def suggest_missing(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {O.RELATIONS} SELECT source_id, target_id, type, round(weight, 6) AS weight, last_seen, seen_count, CAST(date_diff('day', last_seen, DATE '2001-12-31') AS INTEGER) AS days_since
-FROM rel WHERE seen_count >= 3 ORDER BY last_seen, source_id, target_id, type LIMIT 10""")
+FROM rel WHERE seen_count >= 3 ORDER BY last_seen, source_id, target_id, type LIMIT 10""", dates=("last_seen",))
 def suggest_fading(s: SparkSession, d: str) -> DataFrame:
     return graph.fading_links(T.relationships(s, d), T.AS_OF_TRADE).withColumn("weight", r6("weight"))
 
 
 @query(f"""WITH {O.RELATIONS} SELECT source_id, target_id, type, seen_count, last_seen FROM rel WHERE last_seen >= DATE '2001-07-20' - 30
-ORDER BY seen_count DESC, source_id, target_id, type LIMIT 10""")
+ORDER BY seen_count DESC, source_id, target_id, type LIMIT 10""", dates=("last_seen",))
 def suggest_emerging(s: SparkSession, d: str) -> DataFrame:
     return graph.emerging_links(T.relationships(s, d), "2001-07-20")
 
@@ -516,12 +521,12 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_SCAN}, c AS (SELECT s.* FROM scanned s LEFT JOIN files f ON f.path = s.path WHERE f.path IS NULL OR abs(s.modified_at - f.modified_at) >= 1000)
-SELECT path, modified_at, CAST(1800000000000 AS BIGINT) AS indexed_at, (SELECT f.modified_at + 7 FROM files f WHERE f.path = c.path) AS graph_extracted_at FROM c
+SELECT path, modified_at, CAST(1800000000000 AS BIGINT) AS indexed_at, coalesce((SELECT f.modified_at + 7 FROM files f WHERE f.path = c.path), 0) AS graph_extracted_at FROM c
 UNION ALL SELECT path, modified_at, modified_at + 5, modified_at + 7 FROM files WHERE path NOT IN (SELECT path FROM c)""")
 def upsert_merge(s: SparkSession, d: str) -> DataFrame:
     files = _stored(s, d)
     changed = maintenance.changed(_scan(s, d), files)
-    return maintenance.upserted(files, changed.drop("id"), 1_800_000_000_000).select("path", "modified_at", "indexed_at", "graph_extracted_at")
+    return maintenance.upserted(files, changed.drop("id"), 1_800_000_000_000).select("path", "modified_at", "indexed_at", F.coalesce("graph_extracted_at", F.lit(0)).alias("graph_extracted_at"))
 
 
 @query(f"""WITH {O.FILES} SELECT CASE WHEN id % 4 = 0 THEN 'moved/x' || id || '.md' ELSE path END AS path, CASE WHEN id % 4 = 0 THEN 'x' || id ELSE title END AS title,
