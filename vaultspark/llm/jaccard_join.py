@@ -10,10 +10,16 @@ smaller of its two numbers.
 What is asked for are the classes of linked documents, so no group of copies is expanded into pairs:
 
 1. Documents with equal sets are linked through the least of them.
-2. Twice, each document that shares a prefix shingle with others is verified against one of them: the least
-   document of most of its shingles, and of another class by now. This links groups of near copies at a cost that is linear in their size.
-3. Of the shingles whose documents still belong to different classes, all candidate pairs between
-   classes are formed and verified. This makes the result exact: no link between classes can be missed.
+2. Each document that shares prefix shingles with others is compared with one of them, its pivot, taken so that a group of
+   near copies has one pivot. This costs as much as the group is large.
+3. Two documents with one pivot p are told apart by their differences from p, the shingles that only one of both sets has. If
+   s doesn't link with p, and s and c link, they share more than (4 added + 5 missing) / 9 of c's
+   differences; so one of the rarest differences of c, as many as it has beyond that number, is among those of s.
+   Only pairs that share such a difference are verified. Random edits are rarely shared, so that a group's strays
+   aren't held against all its members.
+4. Shingles whose documents are left in different classes, with different pivots, go through 2 and 3 again, ``ROUNDS`` times in all. Then
+   the candidate pairs of documents that never had one pivot, and are of different classes, are formed and verified.
+   With step 3 this makes the result exact: no link between classes is missed.
 
 Defined results: without words or text a document has no shingle, links with nothing and is its own component; with
 fewer than five words the whole sequence is its one shingle. Rows that share a doc_id are one document in the links. A null
@@ -39,6 +45,8 @@ BITS = 21
 SLICE = 1 << 16
 #: Largest number of shared shingles that a prefix is lengthened for.
 MOST_SHARED = 8
+#: How often documents are compared with a pivot before pairs are formed.
+ROUNDS = 2
 #: Cost of verifying a candidate, in postings.
 VERIFY = 20.0
 
@@ -134,10 +142,9 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray,
     return s[order[: base + best]], best
 
 
-def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, doc_id, l of each prefix shingle; a task skips sets that it has had already."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    noise = float(np.median(counts))
+def postings(docs: DataFrame, counts) -> DataFrame:  # noqa: ANN001
+    """token, doc_id, l of each prefix shingle; a task skips sets that it has had already. ``counts``: the sketch, broadcast."""
+    noise = float(np.median(counts.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[tuple[int, int]] = set()
@@ -152,7 +159,7 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                         continue
                     if len(had) < 500_000:
                         had.add(mark)
-                    p, number = prefix(s, shared.value, noise)
+                    p, number = prefix(s, counts.value, noise)
                     tokens.append(p)
                     ids.append(doc)
                     sizes.append(len(p))
@@ -166,29 +173,74 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "token long, doc_id long, l byte")
 
 
+def _pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return with_b.select("a", "b", "text_a", "text_b")
+
+
+def _sets_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ids and sets of each pair; the second set is kept while it stays the same."""
+    last_id, last = None, None
+    for batch in batches:
+        for part in steps(batch, "text_a"):
+            a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+            other = part.column("text_b")
+            for k, s in enumerate(sets(part.column("text_a"))):
+                if b[k] != last_id:
+                    last_id, last = b[k], next(sets(other.slice(k, 1)))
+                yield a[k], b[k], s, last
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that link, with their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last = None, None
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                out = []
-                other = part.column("text_b")
-                for k, s in enumerate(sets(part.column("text_a"))):
-                    if b[k] != last_id:
-                        last_id, last = b[k], next(sets(other.slice(k, 1)))
-                    both = len(np.intersect1d(s, last, assume_unique=True))
-                    if linked(both, len(s), len(last)):
-                        out.append((a[k], b[k], both / (len(s) + len(last) - both)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+        out = []
+        for a, b, s, t in _sets_of_pairs(batches):
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if linked(both, len(s), len(t)):
+                out.append((a, b, both / (len(s) + len(t) - both)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
-    with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return _pairs_with_texts(pairs, texts).mapInArrow(run, "a long, b long, similarity double")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, counts) -> DataFrame:  # noqa: ANN001
+    """a, its pivot b, whether they link, and a's differences, the rarest first, with how many can show a link.
+
+    Pairs that are less similar than one half are left out; documents that link keep only the differences that can show a link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+
+        def rows() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["a", "b", "linked", "differences", "telling"])
+            out.clear()
+            return made
+
+        size = 0
+        for a, b, s, p in _sets_of_pairs(batches):
+            both = len(np.intersect1d(s, p, assume_unique=True))
+            if 2 * both < len(s) + len(p) - both:
+                continue
+            added, missing = len(s) - both, len(p) - both
+            apart = np.setxor1d(s, p, assume_unique=True)
+            apart = apart[np.lexsort((apart, counts.value[bucket(apart)]))]
+            telling = len(apart) - (4 * added + 5 * missing) // 9
+            links = linked(both, len(s), len(p))
+            out.append((a, b, links, apart[:telling].astype(np.int64) if links else apart.astype(np.int64), telling))
+            size += len(out[-1][3])
+            if size > 1 << 18:
+                yield rows()
+                size = 0
+        if out:
+            yield rows()
+
+    return _pairs_with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean, differences array<long>, telling int")
 
 
 def _near(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -204,11 +256,33 @@ def _classed(found: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(classes, "doc_id", "left").withColumn("class", F.coalesce("label", "doc_id")).drop("label")
 
 
-def _mixed(found: DataFrame) -> DataFrame:
-    """``found`` of those shingles whose documents belong to more than one class, with the least document of the least class."""
-    tokens = found.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    tokens = written(tokens.select("token", "low"), "mixed")
-    return found.join(tokens, "token")
+def _mixed(found: DataFrame, column: str = "class") -> DataFrame:
+    """``found`` of those shingles whose documents differ in ``column``, with its least value as ``low``."""
+    tokens = found.groupBy("token").agg(F.min(column).alias("low"), F.max(column).alias("high")).where("low != high")
+    return found.drop("low").join(written(tokens.select("token", "low"), "mixed"), "token")
+
+
+def _pivots(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a and b: for each document one of the least documents of its shingles, of another class.
+
+    Of those that share at least half as many shingles as the best, the one that most documents could take.
+    """
+    least = written(found.where("class = low").groupBy("token").agg(F.min("doc_id").alias("b")), "least")
+    tried = found.where("class != low").join(least, "token").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("m"))
+    tried = written(_near(tried, sizes), "tried")
+    many = written(tried.groupBy("b").agg(F.count("*").alias("many")), "many")
+    best = tried.groupBy("a").agg(F.max("m").alias("best"))
+    good = tried.join(best, "a").where("2 * m >= best").drop("best").join(many, "b")
+    return good.groupBy("a").agg(F.max_by("b", F.struct("many", "m", -F.col("b"))).alias("b"))
+
+
+def _by_differences(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidate pairs with one pivot: a telling difference of one is a difference of the other, which doesn't link with the pivot."""
+    rows = _classed(held.withColumnRenamed("a", "doc_id"), labels)
+    c = rows.select(F.col("doc_id").alias("a"), F.col("class").alias("c_a"), F.col("b").alias("pivot"), F.explode(F.expr("slice(differences, 1, telling)")).alias("token"))
+    s = rows.where("not linked").select(F.col("doc_id").alias("b"), F.col("class").alias("c_b"), F.col("b").alias("pivot"), F.explode("differences").alias("token"))
+    found = c.join(s, ["pivot", "token"]).where("a != b and c_a != c_b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,27 +296,32 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = written(same, "links")
 
     rows = docs.where("doc_id is not null")
-    found = written(postings(rows, sketch(rows)), "postings")
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(rows))
+    found = written(postings(rows, counts), "postings")
     tokens = found.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
     found = written(found.join(written(tokens.select("token"), "tokens"), "token"), "shared")
     ids = written(found.select("doc_id").distinct(), "ids")
     texts = written(rows.join(ids, "doc_id", "left_semi"), "texts")
     labels = written(components(edges), "labels")
-    for _ in range(2):
+
+    pivots = []
+    for k in range(ROUNDS):
         found = written(_mixed(_classed(found.drop("class", "low"), labels)), "shared")
-        if found.isEmpty():
-            return about, labels
-        pivots = written(found.where("class = low").groupBy("token").agg(F.min("doc_id").alias("b")), "pivots")
-        tried = found.where("class != low").join(pivots, "token").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("m"))
-        tried = _near(tried, sizes).groupBy("a").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b"))
-        new = verified(tried, texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = written(edges.unionByName(new), "links")
+        held = written(compared(_pivots(found, sizes), texts, counts), "compared")
+        edges = written(edges.unionByName(held.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
         labels = written(components(edges), "labels")
+        near = verified(_near(_by_differences(held, labels), sizes), texts)
+        edges = written(edges.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+        labels = written(components(edges), "labels")
+        pivots.append(f"pivot{k}")
+        own = held.select(F.col("a").alias("doc_id"), F.col("b").alias(pivots[-1]))
+        found = found.join(own, "doc_id", "left").withColumn(pivots[-1], F.coalesce(pivots[-1], "doc_id"))
+        found = written(_mixed(found, pivots[-1]), "shared")
+
     found = written(_mixed(_classed(found.drop("class", "low"), labels)), "shared")
-    if found.isEmpty():
-        return about, labels
-    a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}")) for x in "ab")
-    pairs = a.join(b, "token").where("a < b and c_a != c_b").groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("least"))
+    a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in pivots]) for x in "ab")
+    apart = " and ".join(["a < b", "c_a != c_b", *[f"{p}_a != {p}_b" for p in pivots]])
+    pairs = a.join(b, "token").where(apart).groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("least"))
     new = verified(_near(pairs.where("m >= least"), sizes), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
     return about, written(components(written(edges.unionByName(new), "links")), "labels")
 
