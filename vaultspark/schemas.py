@@ -7,8 +7,27 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 8
 
 
+_ATOMS = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def _kind(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_kind(text[6:-1]))
+    if text.startswith("struct<"):
+        return _schema(text[7:-1].replace(":", " "))
+    return _ATOMS[text]
+
+
 def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """A schema from its text, without a session."""
+    fields, depth, start = [], 0, 0
+    for k, c in enumerate(ddl + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            name, _, kind = ddl[start:k].strip().partition(" ")
+            fields.append(T.StructField(name, _kind(kind.replace(" ", ":") if kind.startswith("array<struct") else kind)))
+            start = k + 1
+    return T.StructType(fields)
 
 
 RAW_NOTES = _schema("path string, modified_at bigint, raw string")
