@@ -1,0 +1,237 @@
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import pytest
+from public_tokenizers import path
+
+from vaultspark.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pieces, pii, quality, token_counts, toxicity
+
+DATA = "/root/testdata/sf0.01"
+MODEL, WORDS = path("piece_bpe_32k.model"), path("word_bpe_49k.json")
+LONG = "word " * 40_000
+#: Null, empty, blank, one word, ties, repeated rows, a null id, a very long text; columns with clashing names.
+MESSY = [
+    (1, None), (2, ""), (3, " \n\t"), (4, "A"), (5, "a"), (6, "one two three four five six\nsome line of text\n"), (7, "ONE two three four five six\nsome line of text\n"),
+    (7, "ONE two three four five six\nsome line of text\n"), (None, "one two three four five six\nsome line of text\n"), (8, LONG), (9, LONG.upper()), (10, "!!! 123 ..."), (11, "é" * 50 + "😀"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n long, label string, row long, sha string, token long"
+
+
+def messy(spark, rows=MESSY):
+    return spark.createDataFrame([(i, t, None if i == 4 else "en", None, 0, "x", 1, None, 2) for i, t in rows], SCHEMA).repartition(3)
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int, text string")
+
+
+def test_exact_duplicates(spark):
+    got = exact_dedup.exact_duplicates(messy(spark), first_digit=4, growth=3).collect()
+    texts = sorted((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for _, t in MESSY)
+    assert sorted(r["text_sha256"] for r in got) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts)
+    by = {r["doc_id"]: r for r in got}
+    assert [by[i]["keep_id"] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9)] == [2, 2, 3, 5, 5, 7, 7, 9, 9]
+    assert by[6]["group_size"] == 4 and by[None]["keep_id"] == 7 and not by[None]["kept"]
+    assert sum(r["kept"] for r in got if r["doc_id"] == 7) == 2  # rows that repeat an id share its decision
+    assert exact_dedup.exact_duplicates(messy(spark, [])).count() == 0
+
+
+def families(seed):
+    draw = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+
+    def edited(w, k):
+        w = list(w)
+        for _ in range(k):
+            i, r = draw.randrange(len(w)), draw.random()
+            if r < 0.4:
+                w[i] = draw.choice(vocabulary)
+            elif r < 0.6 and len(w) > 3:
+                del w[i]
+            elif r < 0.8:
+                w.insert(i, draw.choice(vocabulary))
+            else:
+                w = w[: max(6, len(w) - draw.randrange(1, 12))]
+        return w
+
+    docs, passage = [], [draw.choice(vocabulary) for _ in range(60)]
+    for f in range(6):
+        pool = [[draw.choice(vocabulary) for _ in range(draw.choice([8, 30, 80, 150]))] + passage * (f % 2)]
+        for _ in range(20):
+            pool.append(edited(draw.choice(pool), draw.choice([0, 1, 2, 3, 5, 8])))
+        docs += pool
+    return [(3 * i + 20, " ".join(w)) for i, w in enumerate(docs)]
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    ids = sorted(sets)
+    links = [(a, b) for k, b in enumerate(ids) for a in ids[:k] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return {i: (len(sets[i]), label[i]) for i in ids}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rows = [r for r in MESSY if r[0] is not None] + families(4)
+    want = brute_components(rows)
+    got = jaccard_join.near_duplicates(messy(spark, [*rows, (None, "one two three four five six")])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+    assert len(got) == len(rows) + 1
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert jaccard_join.near_duplicates(messy(spark, [])).count() == 0
+
+
+def test_pieces(spark):
+    p = pieces.pieces(MODEL)
+    usable = {x: i for i, x in enumerate(p.pieces) if i not in set(p.bytes.values()) and i > 2}
+
+    def best(text):
+        top = [0.0] + [float("-inf")] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - 20), end):
+                i = usable.get(text[start:end])
+                if i is not None:
+                    top[end] = max(top[end], top[start] + p.scores[i])
+            if text[end - 1] not in usable:
+                top[end] = max(top[end], top[end - 1] + p.bridge)
+        return top[-1]
+
+    draw = random.Random(2)
+    for _ in range(300):
+        text = "".join(draw.choice(["the", "and", " ", "  ", "x", ",", "é", "\n", "tion", "😀", "ing"]) for _ in range(draw.randrange(1, 9)))
+        ids = list(p.encode(text))
+        assert p.decode(ids) == text
+        bridged = sum(c not in usable for c in text.replace(" ", "▁"))
+        score = sum(p.scores[i] for i in ids if i not in p.bytes.values()) + bridged * p.bridge
+        assert score == pytest.approx(best("▁" + text.replace(" ", "▁")))
+    rows = pieces.encode(messy(spark), MODEL)
+    assert all(r["decoded_ok"] for r in rows.collect())
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(rows, MODEL).collect()}
+    assert back[8] == LONG and back[1] == "" and back[11] == "é" * 50 + "😀"
+
+
+def test_token_counts(spark):
+    c = token_counts.counter(WORDS)
+    draw = random.Random(3)
+    texts = [t or "" for _, t in MESSY] + ["".join(draw.choice(["the ", "Cat", "'s", "<|endoftext|>", "É", "Σ", "ς", "1", "-", "́", "İ", "  "]) for _ in range(9)) for _ in range(300)]
+    assert [c.count(t) for t in texts] == [len(c.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    got = {r["doc_id"]: r for r in token_counts.token_counts(messy(spark), WORDS).collect()}
+    assert got[8]["over_limit"] and got[8]["n_bytes"] == len(LONG) and got[1]["n_tokens"] == 0
+    assert token_counts.token_counts(messy(spark, []), WORDS).count() == 0
+
+
+def test_lines_against_sql(spark):
+    rows = [r for k, r in enumerate(MESSY) if r[0] is not None and k != 7] + [(20, "some line of text\nown line number one\n\n  SOME line of text "), (21, "own line number one"), (22, "\n\n")]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = {r[0]: r[1:] for r in con.execute(line_dedup.ORACLE).fetchall()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.without_repeats(messy(spark, rows)).collect()}
+    assert got == want
+    assert got[20][1] == 2
+    assert line_dedup.without_repeats(messy(spark, [])).count() == 0
+    assert line_dedup.without_repeats(messy(spark, [*rows, (None, "some line of text")])).where("doc_id is null").first()["n_dropped"] == 0
+
+
+def naive_spans(t):
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(d[::-1])) % 10 == 0:
+            out.append((2, *m.span()))
+    return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_personal_data(spark):
+    draw = random.Random(4)
+    bits = ["1", "25", "0", ".", "@", "+", " ", "-", "a", "(", "00000001", "4111111111111111", "x.y", "é", "+1 (476) 555-6291", "\n"]
+    for _ in range(3000):
+        t = "".join(draw.choice(bits) for _ in range(draw.randrange(25)))
+        assert pii.base_spans(t)[0] == naive_spans(t)
+    model = pii.learn(spark.read.parquet(f"{DATA}/documents.parquet"))
+    again = "call +1 (476) 555-6291. Later: (476) 555-6291 again"
+    rows = [*MESSY, (30, again), (31, "9" * 5000 + " " + "1." * 3000 + " " + "a" * 5000 + "@")]
+    got = {r["doc_id"]: r for r in pii.detect(messy(spark, rows), model).collect()}
+    assert got[30]["spans"] == "phone:5:22,phone:31:45"
+    assert got[30]["n_phone"] == 1 and got[30]["base_sha256"] == hashlib.sha256(b"phone:5:22").hexdigest()
+    assert got[1]["spans"] == ""
+    assert pii.personal_data(messy(spark, [])).count() == 0
+
+
+def test_test_items(spark):
+    draw = random.Random(5)
+    w = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    items = [[draw.choice(w) for _ in range(n)] for n in (8, 20, 60)]
+    noise = lambda n: [draw.choice(w) for _ in range(n)]
+    spoiled = [x if k % 6 else "zzzzz" for k, x in enumerate(items[2])]
+    docs = [*MESSY, (40, " ".join(noise(50) + items[0] + noise(50))), (41, ", ".join(noise(9) + items[1]).upper()), (42, " ".join(noise(200) + spoiled + noise(9))), (43, " ".join(noise(400)))]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(7, None), (8, "a b"), (None, "x y z"), (0, " ".join(items[0]))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(messy(spark, docs), bench).collect()}
+    assert set(got) == {(40, 0), (41, 1), (42, 2)}
+    assert got[40, 0]["score"] == 1.0 and (got[40, 0]["first_word"], got[40, 0]["last_word"]) == (50, 58)
+    assert decontamination.contaminated(messy(spark), bench.limit(0)).count() == 0
+
+
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_language(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.learn(docs)
+    rows = [(r["lang_pred"] == r["lang"], r["held_out"] == held_out(r["doc_id"])) for r in language_id.detect(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()]
+    assert sum(a for a, _ in rows) / len(rows) > 0.98 and all(b for _, b in rows)
+    got = {r["doc_id"]: r for r in language_id.detect(messy(spark), model).collect()}
+    assert {i for i, r in got.items() if r["lang_pred"] == "und"} == {1, 2, 3, 10}
+    one, two = (docs.where(f"lang = '{x}' and n_chars between 1500 and 3000").first()["text"] for x in ("en", "de"))
+    mixed = language_id.detect(messy(spark, [(50, f"{one} {two}")]), model).first()
+    assert '"en"' in mixed["shares"] and '"de"' in mixed["shares"]
+    assert language_id.identify(messy(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(("module", "column"), [(quality, "quality"), (toxicity, "toxic")])
+def test_learned_scores(spark, module, column):
+    docs, marks = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    got = module.rate(docs, marks).join(marks, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r[column] for r in got) / len(got) > 0.9
+    unlearned = module.rate(messy(spark), labels(spark)).collect()
+    assert len(unlearned) == len(MESSY) and all(0 <= r["score"] <= 1 for r in unlearned)
+    few = labels(spark, [(i, i % 2, i % 2, None) for i in range(1, 12)] * 2 + [(None, 1, 1, None), (5, None, None, None)])
+    assert all(0 <= r["score"] <= 1 for r in module.rate(messy(spark), few).collect())
+    assert module.rate(messy(spark, []), few).count() == 0
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    sf = os.path.dirname(DATA) + "/sf0.001"
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [(i, t) for i, t in rows if re.search(r"[^\W\d_]", t or "")]
+    last = {re.sub("[A-Z]", lambda m: m[0].lower(), t): i for i, t in sorted(rows)}
+    rows = [(i, t) for i, t in rows if i in set(last.values())]
+    rows = [(i, t) for i, t in rows if brute[i][1] == i] if (brute := brute_components(rows)) else rows
+    word = lambda t: " ".join(re.findall(r"[^\W\d_]+", t.lower()))
+    items = [word(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(i, t) for i, t in rows if not any(x in word(t) for x in items)]
+    assert set(got) == {i for i, _ in rows}
+    p = pieces.pieces(MODEL)
+    assert all(list(p.encode(t)) == got[i]["piece_ids"] for i, t in rows)

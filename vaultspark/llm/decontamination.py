@@ -1,7 +1,7 @@
 """Documents that hold test items, by rare n-gram seeds and Smith-Waterman alignment.
 
-A seed is a run of three words of a test item. One pass counts the documents that hold each seed; of each
-item's seeds the rarer half stays. A second pass finds the seeds in all documents; where enough seeds of
+A seed is a run of three words of a test item. One pass counts the documents that hold each seed; of those
+that any holds, the rarest stay, up to half of each item's. A second pass finds the seeds in all documents; where enough seeds of
 an item fall close together, the passage around them and the item are aligned word by word (Smith-Waterman). The document holds the
 item if the alignment's score is at least ``least`` of what an unchanged copy would get, so that edited or
 partly paraphrased copies are found as well.
@@ -84,12 +84,14 @@ class Items:
         self.seeds = np.unique(self.h)
 
     def rarer(self, documents: np.ndarray) -> None:
-        """Keep the rarer half of each item's seeds, four at least. ``documents``: how many hold each of ``seeds``."""
+        """Keep seeds that documents hold, the rarest first, up to half of each item's, four at least. ``documents``: how many hold each of ``seeds``."""
         often = documents[np.searchsorted(self.seeds, self.h)]
+        many = np.bincount(self.owner, minlength=len(self.ids))
         order = np.lexsort((self.h, often, self.owner))
+        order = order[often[order] > 0]  # of an edited copy, the seeds that the edits left
         start = np.searchsorted(self.owner[order], np.arange(len(self.ids) + 1))
         rank = np.arange(len(order)) - start[self.owner[order]]
-        many = np.diff(start)[self.owner[order]]
+        many = many[self.owner[order]]
         keep = np.sort(order[rank < np.maximum(4, (many + 1) // 2)])
         self.h, self.owner, self.place = self.h[keep], self.owner[keep], self.place[keep]
         self.seeds = np.unique(self.h)
