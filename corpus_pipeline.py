@@ -10,35 +10,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vaultspark.llm import decontamination, exact_dedup, jaccard_join, language_id, pieces
-from vaultspark.llm.common import table, written
+from vaultspark.llm.common import bounded, table, written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those without a letter, or whose language stays unknown, go."""
+    bounded(spark)
     known = language_id.identify(docs).where("lang_pred <> 'und'").select("doc_id").distinct()
     return docs.join(known, "doc_id", "left_semi").select(docs.columns)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
+    bounded(spark)
     kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents, the one with the smallest id; documents without a word stay."""
+    bounded(spark)
     kept = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
+    bounded(spark)
     held = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(held, "doc_id", "left_anti").select(docs.columns)
 
 
 def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document."""
+    bounded(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

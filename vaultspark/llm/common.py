@@ -19,7 +19,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STEP_BYTES = 1 << 20
 
 
+#: Rows that an executor hands to its Python worker at once: texts may be long, and workers keep what they once took.
+BATCH_ROWS = 500
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
