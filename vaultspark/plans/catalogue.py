@@ -440,7 +440,8 @@ def graph_importance(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_communities(s: SparkSession, d: str) -> DataFrame:
-    return graph.community_members(_graph(s, d))
+    g = _graph(s, d)
+    return graph.community_members(g, graph.communities(g, rounds=20))
 
 
 @query(f"""WITH {O.GRAPH} SELECT x.src AS a, y.src AS b, count(*) AS common FROM edges x JOIN edges y ON x.dst = y.dst AND x.src < y.src
