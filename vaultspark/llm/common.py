@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.sources.scratch import written  # noqa: F401
+from vaultspark.sources.scratch import bucketed, written  # noqa: F401
 
 #: A-Z and their lower case, for the contracts that fold only these.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import mix, shingles, steps, utf8, words, written
+from vaultspark.llm.common import bucketed, mix, shingles, steps, utf8, words, written
 from vaultspark.llm.graph import components
 from vaultspark.llm.tables import merged, packed, unpacked
 
@@ -143,14 +143,14 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray,
 
 
 def postings(docs: DataFrame, counts) -> DataFrame:  # noqa: ANN001
-    """token, doc_id, l of each prefix shingle; a task skips sets that it has had already. ``counts``: the sketch, broadcast."""
+    """token, doc_id, l and n of each prefix shingle; a task skips sets that it has had already. ``counts``: the sketch, broadcast."""
     noise = float(np.median(counts.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[tuple[int, int]] = set()
         for batch in batches:
             for part in steps(batch, "text"):
-                tokens, ids, sizes, numbers = [], [], [], []
+                tokens, ids, sizes, numbers, whole = [], [], [], [], []
                 for doc, s in zip(part.column("doc_id").to_pylist(), sets(part.column("text")), strict=True):
                     if not len(s):
                         continue
@@ -164,19 +164,78 @@ def postings(docs: DataFrame, counts) -> DataFrame:  # noqa: ANN001
                     ids.append(doc)
                     sizes.append(len(p))
                     numbers.append(number)
+                    whole.append(len(s))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(numbers, np.int8), sizes))],
-                        ["token", "doc_id", "l"],
+                        [pa.array(np.concatenate(tokens).astype(np.int64)), *(pa.array(np.repeat(np.array(x, t), sizes)) for x, t in ((ids, np.int64), (numbers, np.int8), (whole, np.int64)))],
+                        ["token", "doc_id", "l", "n"],
                     )
 
-    return docs.mapInArrow(run, "token long, doc_id long, l byte")
+    return docs.mapInArrow(run, "token long, doc_id long, l byte, n long")
 
 
-def _pairs_with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b")
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set as bits, 4 to 8 for each shingle: as bytes, a power of two of them."""
+    size = max(8, 1 << (max(1, len(s) // 2) - 1).bit_length())
+    out = np.zeros(8 * size, bool)
+    out[(s & np.uint64(8 * size - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def most_shared(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
+    """What two sets share at most, by their bitmaps: each bit that only one has stands for a shingle that only this one has."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+
+
+class Texts:
+    """The texts that pairs are made of, bucketed by document, and a bitmap of each.
+
+    Pairs are first tried by bitmaps, which are a small part of the texts; only the texts of pairs that these leave are read, and
+    because of the buckets no others are shuffled.
+    """
+
+    def __init__(self, docs: DataFrame, buckets: int) -> None:
+        self.texts = bucketed(docs.select("doc_id", "text"), "doc_id", buckets, "texts")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in steps(batch, "text"):
+                    own = list(sets(part.column("text")))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array([bitmap(s).tobytes() for s in own], pa.binary())], ["doc_id", "n", "bits"])
+
+        self.maps = bucketed(self.texts.mapInArrow(run, "doc_id long, n long, bits binary"), "doc_id", buckets, "maps")
+
+    def _of(self, table: DataFrame, pairs: DataFrame, side: str, **names: str) -> DataFrame:
+        """``table``'s rows of one side's documents, renamed for it."""
+        needed = pairs.select(F.col(side).alias("doc_id")).distinct()
+        return table.join(needed, "doc_id", "left_semi").select(F.col("doc_id").alias(side), *[F.col(c).alias(to) for c, to in names.items()])
+
+    def plausible(self, pairs: DataFrame, of: int, part: int) -> DataFrame:
+        """Pairs (a, b) that may share ``part`` of ``of`` equal parts of their union, written."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n_a, n_b, x, y = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
+                keep = np.zeros(batch.num_rows, bool)
+                for k in range(batch.num_rows):
+                    if of * min(n_a[k], n_b[k]) < part * max(n_a[k], n_b[k]):
+                        continue
+                    both = most_shared(np.frombuffer(x[k], np.uint8), n_a[k], np.frombuffer(y[k], np.uint8), n_b[k])
+                    keep[k] = of * both >= part * (n_a[k] + n_b[k] - both)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+        pairs = pairs.select("a", "b")
+        joined = pairs.join(self._of(self.maps, pairs, "a", n="n_a", bits="bits_a"), "a").join(self._of(self.maps, pairs, "b", n="n_b", bits="bits_b"), "b")
+        return written(joined.mapInArrow(run, "a long, b long").distinct(), "plausible")
+
+    def beside(self, pairs: DataFrame) -> DataFrame:
+        """a, b, text_a, text_b of each pair."""
+        with_a = pairs.join(self._of(self.texts, pairs, "a", text="text_a"), "a")
+        return with_a.join(self._of(self.texts, pairs, "b", text="text_b"), "b").select("a", "b", "text_a", "text_b")
 
 
 def _sets_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -192,7 +251,7 @@ def _sets_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int
                 yield a[k], b[k], s, last
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
     """Those of ``pairs`` (a, b) that link, with their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +263,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
-    return _pairs_with_texts(pairs, texts).mapInArrow(run, "a long, b long, similarity double")
+    return texts.beside(texts.plausible(pairs, 5, 4)).mapInArrow(run, "a long, b long, similarity double")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, counts) -> DataFrame:  # noqa: ANN001
-    """a, its pivot b, whether they link, and a's differences, the rarest first, with how many can show a link.
+def compared(pairs: DataFrame, texts: Texts, counts) -> DataFrame:  # noqa: ANN001
+    """a, n shingles of it, its pivot b, whether they link, and a's differences, the rarest first, with how many can show a link.
 
     Pairs that are less similar than one half are left out; documents that link keep only the differences that can show a link.
     """
@@ -217,8 +276,8 @@ def compared(pairs: DataFrame, texts: DataFrame, counts) -> DataFrame:  # noqa:
         out = []
 
         def rows() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
-            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["a", "b", "linked", "differences", "telling"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["a", "n", "b", "linked", "differences", "telling"])
             out.clear()
             return made
 
@@ -232,22 +291,19 @@ def compared(pairs: DataFrame, texts: DataFrame, counts) -> DataFrame:  # noqa:
             apart = apart[np.lexsort((apart, counts.value[bucket(apart)]))]
             telling = len(apart) - (4 * added + 5 * missing) // 9
             links = linked(both, len(s), len(p))
-            out.append((a, b, links, apart[:telling].astype(np.int64) if links else apart.astype(np.int64), telling))
-            size += len(out[-1][3])
+            out.append((a, len(s), b, links, apart[:telling].astype(np.int64) if links else apart.astype(np.int64), telling))
+            size += len(out[-1][4])
             if size > 1 << 18:
                 yield rows()
                 size = 0
         if out:
             yield rows()
 
-    return _pairs_with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean, differences array<long>, telling int")
+    return texts.beside(texts.plausible(pairs, 2, 1)).mapInArrow(run, "a long, n long, b long, linked boolean, differences array<long>, telling int")
 
 
-def _near(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    a = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
-    b = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
-    return pairs.join(a, "a").join(b, "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").drop("n_a", "n_b")
+#: Pairs whose sizes allow a link.
+NEAR = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
 
 
 def _classed(found: DataFrame, labels: DataFrame) -> DataFrame:
@@ -262,14 +318,15 @@ def _mixed(found: DataFrame, column: str = "class") -> DataFrame:
     return found.drop("low").join(written(tokens.select("token", "low"), "mixed"), "token")
 
 
-def _pivots(found: DataFrame, sizes: DataFrame) -> DataFrame:
+def _pivots(found: DataFrame) -> DataFrame:
     """a and b: for each document one of the least documents of its shingles, of another class.
 
     Of those that share at least half as many shingles as the best, the one that most documents could take.
     """
-    least = written(found.where("class = low").groupBy("token").agg(F.min("doc_id").alias("b")), "least")
-    tried = found.where("class != low").join(least, "token").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("m"))
-    tried = written(_near(tried, sizes), "tried")
+    least = found.where("class = low").groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("least"))
+    least = written(least.select("token", F.col("least.doc_id").alias("b"), F.col("least.n").alias("n_b")), "least")
+    tried = found.where("class != low").withColumnRenamed("n", "n_a").join(least, "token").where(NEAR)
+    tried = written(tried.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("m")), "tried")
     many = written(tried.groupBy("b").agg(F.count("*").alias("many")), "many")
     best = tried.groupBy("a").agg(F.max("m").alias("best"))
     good = tried.join(best, "a").where("2 * m >= best").drop("best").join(many, "b")
@@ -279,9 +336,9 @@ def _pivots(found: DataFrame, sizes: DataFrame) -> DataFrame:
 def _by_differences(held: DataFrame, labels: DataFrame) -> DataFrame:
     """Candidate pairs with one pivot: a telling difference of one is a difference of the other, which doesn't link with the pivot."""
     rows = _classed(held.withColumnRenamed("a", "doc_id"), labels)
-    c = rows.select(F.col("doc_id").alias("a"), F.col("class").alias("c_a"), F.col("b").alias("pivot"), F.explode(F.expr("slice(differences, 1, telling)")).alias("token"))
-    s = rows.where("not linked").select(F.col("doc_id").alias("b"), F.col("class").alias("c_b"), F.col("b").alias("pivot"), F.explode("differences").alias("token"))
-    found = c.join(s, ["pivot", "token"]).where("a != b and c_a != c_b")
+    c = rows.select(F.col("doc_id").alias("a"), F.col("class").alias("c_a"), F.col("n").alias("n_a"), F.col("b").alias("pivot"), F.explode(F.expr("slice(differences, 1, telling)")).alias("token"))
+    s = rows.where("not linked").select(F.col("doc_id").alias("b"), F.col("class").alias("c_b"), F.col("n").alias("n_b"), F.col("b").alias("pivot"), F.explode("differences").alias("token"))
+    found = c.join(s, ["pivot", "token"]).where(f"a != b and c_a != c_b and {NEAR}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -290,7 +347,6 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     about = written(describe(docs), "about")
     known = about.where("doc_id is not null and n > 0")
-    sizes = known.groupBy("doc_id").agg(F.max("n").alias("n"))
     groups = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")).where("v != top").drop("top")
     same = known.select("s1", "s2", F.col("doc_id").alias("u")).join(written(groups, "same"), ["s1", "s2"]).where("u != v").select("u", "v")
     edges = written(same, "links")
@@ -301,16 +357,16 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = found.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
     found = written(found.join(written(tokens.select("token"), "tokens"), "token"), "shared")
     ids = written(found.select("doc_id").distinct(), "ids")
-    texts = written(rows.join(ids, "doc_id", "left_semi"), "texts")
+    texts = Texts(rows.join(ids, "doc_id", "left_semi"), rows.rdd.getNumPartitions())
     labels = written(components(edges), "labels")
 
     pivots = []
     for k in range(ROUNDS):
         found = written(_mixed(_classed(found.drop("class", "low"), labels)), "shared")
-        held = written(compared(_pivots(found, sizes), texts, counts), "compared")
+        held = written(compared(_pivots(found), texts, counts), "compared")
         edges = written(edges.unionByName(held.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
         labels = written(components(edges), "labels")
-        near = verified(_near(_by_differences(held, labels), sizes), texts)
+        near = verified(_by_differences(held, labels), texts)
         edges = written(edges.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
         labels = written(components(edges), "labels")
         pivots.append(f"pivot{k}")
@@ -319,10 +375,10 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = written(_mixed(found, pivots[-1]), "shared")
 
     found = written(_mixed(_classed(found.drop("class", "low"), labels)), "shared")
-    a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in pivots]) for x in "ab")
-    apart = " and ".join(["a < b", "c_a != c_b", *[f"{p}_a != {p}_b" for p in pivots]])
+    a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in pivots]) for x in "ab")
+    apart = " and ".join(["a < b", "c_a != c_b", NEAR, *[f"{p}_a != {p}_b" for p in pivots]])
     pairs = a.join(b, "token").where(apart).groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("least"))
-    new = verified(_near(pairs.where("m >= least"), sizes), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    new = verified(pairs.where("m >= least"), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
     return about, written(components(written(edges.unionByName(new), "links")), "labels")
 
 
