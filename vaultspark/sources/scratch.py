@@ -27,8 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """``df`` as a table in buckets of ``key``, at most as many as shuffles have partitions: joins on ``key`` don't move its rows again."""
+    """``df`` as a table in buckets of ``key``: joins on ``key`` don't move its rows again. Deal ``df`` by ``key`` first, or each task writes a file for each bucket."""
     spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    buckets = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{root(spark)}/{own}").saveAsTable(own)
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{root(spark)}/{own}").saveAsTable(own)
     return spark.table(own)
