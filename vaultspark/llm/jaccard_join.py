@@ -9,7 +9,7 @@ smaller of its two numbers.
 
 What is asked for are the classes of linked documents, so no group of copies is expanded into pairs:
 
-1. Documents with equal sets are linked through the least of them.
+1. Documents with equal sets are linked through the least of them, which alone goes on.
 2. Each document that shares prefix shingles with others is compared with one of them, its pivot, taken so that a group of
    near copies has one pivot. This costs as much as the group is large.
 3. Two documents with one pivot p are told apart by their differences from p, the shingles that only one of both sets has. If
@@ -17,7 +17,7 @@ What is asked for are the classes of linked documents, so no group of copies is
    differences; so one of the rarest differences of c, as many as it has beyond that number, is among those of s.
    Only pairs that share such a difference are verified. Random edits are rarely shared, so that a group's strays
    aren't held against all its members.
-4. Shingles whose documents are left in different classes, with different pivots, go through 2 and 3 again, ``ROUNDS`` times in all. Then
+4. Shingles whose documents are in different classes, with different pivots, go through 2 and 3 again, ``ROUNDS`` times in all. Then
    the candidate pairs of documents that never had one pivot, and are of different classes, are formed and verified.
    With step 3 this makes the result exact: no link between classes is missed.
 
@@ -198,8 +198,14 @@ class Texts:
     because of the buckets no others are shuffled.
     """
 
-    def __init__(self, docs: DataFrame, buckets: int) -> None:
-        self.texts = bucketed(docs.select("doc_id", "text"), "doc_id", buckets, "texts")
+    def __init__(self, docs: DataFrame, ids: DataFrame) -> None:
+        """The texts of ``ids``."""
+        self.buckets = max(1, min(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = docs.select("doc_id", "text").where("doc_id is not null").repartition(self.buckets, "doc_id")
+        self.texts = bucketed(dealt.join(ids, "doc_id", "left_semi"), "doc_id", self.buckets, "texts")
+
+    def map(self, ids: DataFrame) -> None:
+        """Make the bitmaps of ``ids``, of which all pairs must be."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -207,7 +213,7 @@ class Texts:
                     own = list(sets(part.column("text")))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array([bitmap(s).tobytes() for s in own], pa.binary())], ["doc_id", "n", "bits"])
 
-        self.maps = bucketed(self.texts.mapInArrow(run, "doc_id long, n long, bits binary"), "doc_id", buckets, "maps")
+        self.maps = bucketed(self.texts.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, bits binary"), "doc_id", self.buckets, "maps")
 
     def _of(self, table: DataFrame, pairs: DataFrame, side: str, **names: str) -> DataFrame:
         """``table``'s rows of one side's documents, renamed for it."""
@@ -312,10 +318,16 @@ def _classed(found: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(classes, "doc_id", "left").withColumn("class", F.coalesce("label", "doc_id")).drop("label")
 
 
-def _mixed(found: DataFrame, column: str = "class") -> DataFrame:
-    """``found`` of those shingles whose documents differ in ``column``, with its least value as ``low``."""
-    tokens = found.groupBy("token").agg(F.min(column).alias("low"), F.max(column).alias("high")).where("low != high")
-    return found.drop("low").join(written(tokens.select("token", "low"), "mixed"), "token")
+def _regrouped(found: DataFrame, labels: DataFrame, held: DataFrame, pivot: str) -> DataFrame:
+    """``found`` with the classes and pivots by now, of those shingles whose documents differ in class and in each pivot."""
+    own = held.select(F.col("a").alias("node"), F.col("b").alias(pivot))
+    marks = written(labels.join(own, "node", "full_outer").withColumnRenamed("node", "doc_id"), "marks")
+    found = found.drop("class", "low").join(marks, "doc_id", "left")
+    found = written(found.withColumn("class", F.coalesce("label", "doc_id")).withColumn(pivot, F.coalesce(pivot, "doc_id")).drop("label"), "marked")
+    told = ["class", *[c for c in found.columns if c.startswith("pivot")]]
+    tokens = found.groupBy("token").agg(*[f(c).alias(f"{x}_{c}") for c in told for f, x in ((F.min, "low"), (F.max, "high"))])
+    tokens = tokens.where(" and ".join(f"low_{c} != high_{c}" for c in told)).select("token", F.col("low_class").alias("low"))
+    return written(found.join(written(tokens, "mixed"), "token"), "shared")
 
 
 def _pivots(found: DataFrame) -> DataFrame:
@@ -347,39 +359,34 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     about = written(describe(docs), "about")
     known = about.where("doc_id is not null and n > 0")
-    groups = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")).where("v != top").drop("top")
-    same = known.select("s1", "s2", F.col("doc_id").alias("u")).join(written(groups, "same"), ["s1", "s2"]).where("u != v").select("u", "v")
-    edges = written(same, "links")
-
-    rows = docs.where("doc_id is not null")
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(rows))
-    found = written(postings(rows, counts), "postings")
+    groups = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")), "groups")
+    same = known.select("s1", "s2", F.col("doc_id").alias("u")).join(groups.where("v != top"), ["s1", "s2"]).where("u != v").select("u", "v")
+    same = written(same, "same")
+
+    # From here on, one document stands for each set.
+    texts = Texts(docs, groups.select(F.col("v").alias("doc_id")).distinct())
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(texts.texts))
+    found = written(postings(texts.texts, counts), "postings")
     tokens = found.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
-    found = written(found.join(written(tokens.select("token"), "tokens"), "token"), "shared")
-    ids = written(found.select("doc_id").distinct(), "ids")
-    texts = Texts(rows.join(ids, "doc_id", "left_semi"), rows.rdd.getNumPartitions())
-    labels = written(components(edges), "labels")
-
-    pivots = []
-    for k in range(ROUNDS):
-        found = written(_mixed(_classed(found.drop("class", "low"), labels)), "shared")
+    found = written(found.join(written(tokens.select("token", "low"), "tokens"), "token").withColumn("class", F.col("doc_id")), "shared")
+    texts.map(found.select("doc_id").distinct())
+
+    edges, pivots = None, [f"pivot{k}" for k in range(ROUNDS)]
+    for pivot in pivots:
         held = written(compared(_pivots(found), texts, counts), "compared")
-        edges = written(edges.unionByName(held.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+        new = held.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        edges = written(new if edges is None else edges.unionByName(new), "links")
         labels = written(components(edges), "labels")
         near = verified(_by_differences(held, labels), texts)
         edges = written(edges.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
         labels = written(components(edges), "labels")
-        pivots.append(f"pivot{k}")
-        own = held.select(F.col("a").alias("doc_id"), F.col("b").alias(pivots[-1]))
-        found = found.join(own, "doc_id", "left").withColumn(pivots[-1], F.coalesce(pivots[-1], "doc_id"))
-        found = written(_mixed(found, pivots[-1]), "shared")
+        found = _regrouped(found, labels, held, pivot)
 
-    found = written(_mixed(_classed(found.drop("class", "low"), labels)), "shared")
     a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in pivots]) for x in "ab")
     apart = " and ".join(["a < b", "c_a != c_b", NEAR, *[f"{p}_a != {p}_b" for p in pivots]])
     pairs = a.join(b, "token").where(apart).groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("least"))
     new = verified(pairs.where("m >= least"), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return about, written(components(written(edges.unionByName(new), "links")), "labels")
+    return about, written(components(written(edges.unionByName(new).unionByName(same), "links")), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
