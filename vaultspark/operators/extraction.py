@@ -141,6 +141,11 @@ def mentions(files: DataFrame, entities: DataFrame) -> DataFrame:
     return resolved_links(files, names).unionByName(co_mentioned(files, names)).distinct().join(known, "id", "left_semi").select("path", "id")
 
 
+def mentioned_together(found: DataFrame) -> DataFrame:
+    """Pairs of entities of a note, from the smaller to the larger id: source_id, target_id and the other columns of ``found`` (path, id)."""
+    return found.withColumnRenamed("id", "source_id").join(found.select("path", F.col("id").alias("target_id")), "path").where("source_id < target_id")
+
+
 def _log(rows: DataFrame, relation: Column | str, method: str = "rule", confidence: Column | None = None) -> DataFrame:
     """Observations of rows with source_id, target_id, context, path and date."""
     kind = F.lit(relation) if isinstance(relation, str) else relation
@@ -159,8 +164,7 @@ def extract(files: DataFrame, entities: DataFrame, people_dir: str | None, today
     names = stores.names(entities)
     dated = files.select("path", X.extract_date(F.col("path"), F.col("modified_at")).alias("date"))
     found = mentions(files, entities).join(dated, "path")
-    pair = found.select("path", "date", F.col("id").alias("source_id")).join(found.select("path", F.col("id").alias("target_id")), "path").where("source_id < target_id")
-    seen = _log(pair.withColumn("context", F.col("path")), "co-mentioned")
+    seen = _log(mentioned_together(found).withColumn("context", F.col("path")), "co-mentioned")
 
     targets = front_matter_targets(files).withColumn("key", F.lower("name")).join(names, "key").join(dated, "path")
     owner = F.split(F.substring("path", len(people_dir) + 2, 1 << 30), "/")[0] if people_dir else F.lit(None).cast("string")

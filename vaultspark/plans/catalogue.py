@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import scores as S
 from vaultspark.functions import text as X
-from vaultspark.operators import explorer, fulltext, graph, hybrid, maintenance, stores, temporal, vectors
+from vaultspark.operators import explorer, extraction, fulltext, graph, hybrid, maintenance, stores, temporal, vectors
 from vaultspark.plans import oracles as O
 from vaultspark.sources import tables as T
 
@@ -495,6 +495,26 @@ def extract_date(s: SparkSession, d: str) -> DataFrame:
     return T.notes(s, d).select("path", X.extract_date(F.col("path"), F.col("modified_at")).alias("date"), F.substring_index(X.base_name(F.col("path")), " ", -1).alias("ending"))
 
 
+#: Names looked for in texts: short, long, with a space, with other characters, and one that nothing holds.
+_NAMES = {"apache": "apache license", "work": "this work", "the": "the", "ouan": "ouan", "mail": "@", "phone": "+1 (", "none": "no such name"}
+_MENTIONS = f"""{O.FILES}, names AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{k}')" for i, k in _NAMES.items())}) AS n(id, key)),
+mentions AS (SELECT path, names.id FROM files JOIN names ON contains(lower(content), key))"""
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    return extraction.co_mentioned(T.files(s, d), s.createDataFrame([(k, i) for i, k in _NAMES.items()], "key string, id string"))
+
+
+@query(f"WITH {_MENTIONS} SELECT path, id FROM mentions")
+def entity_mentions_in_text(s: SparkSession, d: str) -> DataFrame:
+    return _mentions(s, d)
+
+
+@query(f"WITH {_MENTIONS} SELECT a.id AS source_id, b.id AS target_id, count(*) AS seen_count FROM mentions a JOIN mentions b ON a.path = b.path AND a.id < b.id GROUP BY ALL")
+def co_mentions(s: SparkSession, d: str) -> DataFrame:
+    return extraction.mentioned_together(_mentions(s, d)).groupBy("source_id", "target_id").agg(F.count("*").alias("seen_count"))
+
+
 def _scan(s: SparkSession, d: str) -> DataFrame:
     """A later scan: some files are gone, some changed a little or much, some are new."""
     f = T.files(s, d)
