@@ -199,13 +199,13 @@ class Texts:
     """
 
     def __init__(self, docs: DataFrame, ids: DataFrame) -> None:
-        """The texts of ``ids``."""
+        """The texts of ``ids``, a written table."""
         self.buckets = max(1, min(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         dealt = docs.select("doc_id", "text").where("doc_id is not null").repartition(self.buckets, "doc_id")
-        self.texts = bucketed(dealt.join(ids, "doc_id", "left_semi"), "doc_id", self.buckets, "texts")
+        self.texts = bucketed(dealt, "doc_id", self.buckets, "texts").join(ids, "doc_id", "left_semi")
 
     def map(self, ids: DataFrame) -> None:
-        """Make the bitmaps of ``ids``, of which all pairs must be."""
+        """Make the bitmaps of ``ids``, a written table, of which all pairs must be."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -217,7 +217,7 @@ class Texts:
 
     def _of(self, table: DataFrame, pairs: DataFrame, side: str, **names: str) -> DataFrame:
         """``table``'s rows of one side's documents, renamed for it."""
-        needed = pairs.select(F.col(side).alias("doc_id")).distinct()
+        needed = written(pairs.select(F.col(side).alias("doc_id")).distinct(), "needed")  # a scan takes on the buckets' partitioning
         return table.join(needed, "doc_id", "left_semi").select(F.col("doc_id").alias(side), *[F.col(c).alias(to) for c, to in names.items()])
 
     def plausible(self, pairs: DataFrame, of: int, part: int) -> DataFrame:
@@ -234,7 +234,7 @@ class Texts:
                     keep[k] = of * both >= part * (n_a[k] + n_b[k] - both)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-        pairs = pairs.select("a", "b")
+        pairs = written(pairs.select("a", "b"), "pairs")
         joined = pairs.join(self._of(self.maps, pairs, "a", n="n_a", bits="bits_a"), "a").join(self._of(self.maps, pairs, "b", n="n_b", bits="bits_b"), "b")
         return written(joined.mapInArrow(run, "a long, b long").distinct(), "plausible")
 
@@ -364,12 +364,12 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = written(same, "same")
 
     # From here on, one document stands for each set.
-    texts = Texts(docs, groups.select(F.col("v").alias("doc_id")).distinct())
+    texts = Texts(docs, groups.select(F.col("v").alias("doc_id")))
     counts = docs.sparkSession.sparkContext.broadcast(sketch(texts.texts))
     found = written(postings(texts.texts, counts), "postings")
     tokens = found.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
     found = written(found.join(written(tokens.select("token", "low"), "tokens"), "token").withColumn("class", F.col("doc_id")), "shared")
-    texts.map(found.select("doc_id").distinct())
+    texts.map(written(found.select("doc_id").distinct(), "ids"))
 
     edges, pivots = None, [f"pivot{k}" for k in range(ROUNDS)]
     for pivot in pivots:
