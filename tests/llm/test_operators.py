@@ -190,6 +190,22 @@ def test_test_items(spark):
     assert decontamination.contaminated(messy(spark), bench.limit(0)).count() == 0
 
 
+def test_test_items_by_exact_copies(spark):
+    draw = random.Random(7)
+    w = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    item = [draw.choice(w) for _ in range(60)]
+    spoiled = [x if k % 6 else "zzzzz" for k, x in enumerate(item)]
+    one_seed = [x if k < 3 or k % 3 else "zzzzz" for k, x in enumerate(item)]  # one run of three words, then runs of two
+    noise = lambda n: [draw.choice(w) for _ in range(n)]
+    bench = spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")
+    for copies in (0, 1, 5):
+        docs = [(60 + k, " ".join(noise(20) + item + noise(20))) for k in range(copies)]
+        docs += [(42, " ".join(noise(200) + spoiled + noise(9))), (44, " ".join(noise(30) + one_seed + noise(30))), (43, " ".join(noise(400)))]
+        got = {r["doc_id"]: r["score"] for r in decontamination.contaminated(messy(spark, docs), bench).collect()}
+        assert set(got) == {42, 44, *range(60, 60 + copies)}
+        assert got[42] >= 0.75 and all(got[60 + k] == 1.0 for k in range(copies))
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 

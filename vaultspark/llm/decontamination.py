@@ -1,13 +1,13 @@
-"""Documents that hold test items, by rare n-gram seeds and Smith-Waterman alignment.
+"""Documents that hold test items, by n-gram seeds and Smith-Waterman alignment.
 
-A seed is a run of three words of a test item. One pass counts the documents that hold each seed; of those
-that any holds, the rarest stay, up to half of each item's. A second pass finds the seeds in all documents; where enough seeds of
-an item fall close together, the passage around them and the item are aligned word by word (Smith-Waterman). The document holds the
-item if the alignment's score is at least ``least`` of what an unchanged copy would get, so that edited or
-partly paraphrased copies are found as well.
+A seed is a run of three words of a test item. All seeds of an item count, common ones too: how many documents hold a seed says
+nothing about which of them an edited copy still has. One pass finds the seeds in all documents; the passage around any seed
+and the item are aligned word by word (Smith-Waterman), unless the passage lacks so many of the item's words that no alignment could
+reach the score. The document holds the item if the alignment's score is at least ``least`` of what an unchanged copy would get, so
+that edited or partly paraphrased copies are found as well, if three words in a row are left.
 
 Words are runs of letters, A-Z lower-cased: digits, punctuation and case don't matter. Test items are read in
-blocks of at most ``BLOCK`` words, each with its own passes, so that what the workers hold is bounded however large the benchmark is.
+blocks of at most ``BLOCK`` words, each with its own pass, so that what the workers hold is bounded however large the benchmark is.
 
 Defined results: one row for each document and item that it holds, with the best alignment; clean documents have none. A
 null or empty text holds nothing; an item with fewer than three words is held by none. Ties of alignments go to the
@@ -22,7 +22,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vaultspark.llm.common import NOT_LETTERS, mix, steps, utf8, words
 
@@ -83,19 +82,6 @@ class Items:
         self.h, self.owner, self.place = h[order], owner[order], place[order]
         self.seeds = np.unique(self.h)
 
-    def rarer(self, documents: np.ndarray) -> None:
-        """Keep seeds that documents hold, the rarest first, up to half of each item's, four at least. ``documents``: how many hold each of ``seeds``."""
-        often = documents[np.searchsorted(self.seeds, self.h)]
-        many = np.bincount(self.owner, minlength=len(self.ids))
-        order = np.lexsort((self.h, often, self.owner))
-        order = order[often[order] > 0]  # of an edited copy, the seeds that the edits left
-        start = np.searchsorted(self.owner[order], np.arange(len(self.ids) + 1))
-        rank = np.arange(len(order)) - start[self.owner[order]]
-        many = many[self.owner[order]]
-        keep = np.sort(order[rank < np.maximum(4, (many + 1) // 2)])
-        self.h, self.owner, self.place = self.h[keep], self.owner[keep], self.place[keep]
-        self.seeds = np.unique(self.h)
-
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``h`` and entries of the index that agree."""
         if not len(self.seeds):
@@ -117,14 +103,15 @@ class Items:
             order = np.argsort(where, kind="stable")
             where = where[order]
             groups = np.split(where, np.flatnonzero(np.diff(where) > slack) + 1)
-            need = 1 if len(item) < 20 else 2
             best = (0.0, 0, 0)
             for g in groups:
-                if len(g) < need:
-                    continue
                 start, stop = max(0, int(g[0]) - slack), min(len(word), int(g[-1]) + len(item) + slack)
                 for s in range(start, stop, 8 * len(item)):  # long runs of hits in overlapping stretches
-                    got, a, b = align(item, word[s : min(stop, s + 10 * len(item))])
+                    passage = word[s : min(stop, s + 10 * len(item))]
+                    most = np.isin(item, passage).mean()  # a score is at most the share of the item's words that match
+                    if most < least or most <= best[0]:
+                        continue
+                    got, a, b = align(item, passage)
                     if got > best[0]:
                         best = (got, s + a, s + b)
             if best[0] >= least:
@@ -134,28 +121,8 @@ class Items:
 
 def _block(docs: DataFrame, items: Items, least: float) -> DataFrame:
     spark = docs.sparkSession
-    index = spark.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value.seeds
-        total = np.zeros(len(own), np.int64)
-        for batch in batches:
-            for part in steps(batch, "text"):
-                word, _, _, of = words(*utf8(part.column("text")), NOT_LETTERS)
-                at = np.searchsorted(own, h := seeds(word))
-                ok = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == h)
-                doc = np.searchsorted(of, ok, side="right") - 1
-                pairs = np.unique(doc * len(own) + at[ok])
-                total += np.bincount(pairs % len(own), minlength=len(own))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit], pa.int64())], ["seed", "n"])
-
     if not len(items.seeds):
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word int, last_word int")
-    documents = np.zeros(len(items.seeds), np.int64)
-    for seed, n in docs.select("text").mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n")).collect():  # a row for each seed at most
-        documents[seed] = n
-    items.rarer(documents)
     index = spark.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
