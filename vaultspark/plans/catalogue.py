@@ -1,11 +1,13 @@
 """The registered queries of the notes engine and their SQL.
 
-Every query reads whole tables; limits are those of top-k reports, pages and lookups by name.
+Every query reads whole tables, but the graph queries with the SQL of a smaller graph, which have a twin ``..._whole``; limits are
+those of top-k reports, pages and lookups by name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -360,18 +362,22 @@ def _kept(s: SparkSession, d: str, customers: bool = True) -> tuple[DataFrame, D
     return T.entities(s, d).join(ends, "id", "left_semi"), rel
 
 
-def _graph(s: SparkSession, d: str, customers: bool = True) -> graph.Graph:
-    return graph.load(*_kept(s, d, customers)).stored()
+def _tree(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _kept(s, d, customers=False)
+
+
+def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return T.entities(s, d), T.relationships(s, d)
 
 
 @query(f"WITH {O.GRAPH} SELECT src, dst, round(weight, 6) AS weight, types FROM edges")
-def graph_edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.load(*_kept(s, d)).edges.withColumn("weight", r6("weight"))
+def graph_edges(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
+    return graph.load(*rows(s, d)).edges.withColumn("weight", r6("weight"))
 
 
 @query(f"WITH {O.GRAPH} SELECT src AS id, count(*) AS degree, round(sum(weight), 6) AS weighted_degree FROM edges GROUP BY 1")
-def graph_degree(s: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(graph.load(*_kept(s, d))).withColumn("weighted_degree", r6("weighted_degree"))
+def graph_degree(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
+    return graph.degrees(graph.load(*rows(s, d))).withColumn("weighted_degree", r6("weighted_degree"))
 
 
 @query(f"""WITH RECURSIVE {O.GRAPH}, reach AS (SELECT id AS root, id FROM nodes UNION SELECT r.root, e.dst FROM reach r JOIN edges e ON r.id = e.src WHERE r.root LIKE 'region-%')
@@ -379,27 +385,27 @@ SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) / CAST(2 AS DOUBL
   round((SELECT count(*) FROM edges) / CAST((SELECT count(*) * (count(*) - 1) FROM nodes) AS DOUBLE), 9) AS density,
   round((SELECT count(*) FROM edges) / CAST((SELECT count(*) FROM nodes) AS DOUBLE), 6) AS avg_degree,
   (SELECT count(DISTINCT low) FROM (SELECT id, min(root) AS low FROM reach WHERE root LIKE 'region-%' GROUP BY id)) AS components""")
-def graph_stats(s: SparkSession, d: str) -> DataFrame:
-    return graph.stats(_graph(s, d)).withColumns({"density": F.round("density", 9), "avg_degree": F.round("avg_degree", 6)})
+def graph_stats(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
+    return graph.stats(graph.load(*rows(s, d)).stored()).withColumns({"density": F.round("density", 9), "avg_degree": F.round("avg_degree", 6)})
 
 
 @query(f"""WITH RECURSIVE {O.TREE}, reach AS (SELECT id AS root, id FROM nodes UNION SELECT r.root, e.dst FROM reach r JOIN edges e ON r.id = e.src)
 SELECT id, min(root) AS component FROM reach GROUP BY id""")
-def graph_components(s: SparkSession, d: str) -> DataFrame:
-    return graph.components(_graph(s, d, customers=False))
+def graph_components(s: SparkSession, d: str, rows: Callable = _tree) -> DataFrame:
+    return graph.components(graph.load(*rows(s, d)).stored())
 
 
 @query(f"""WITH {O.GRAPH}, d1 AS (SELECT dst AS id FROM edges WHERE src = 'nation-1'), d2 AS (SELECT DISTINCT e.dst AS id FROM edges e JOIN d1 ON e.src = d1.id)
 SELECT 'nation-1' AS id, 0 AS distance UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2 WHERE id <> 'nation-1' AND id NOT IN (SELECT id FROM d1)""")
-def graph_neighborhood(s: SparkSession, d: str) -> DataFrame:
-    return graph.neighborhood(_graph(s, d), "nation-1", 2)[0].select("id", "distance")
+def graph_neighborhood(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
+    return graph.neighborhood(graph.load(*rows(s, d)).stored(), "nation-1", 2)[0].select("id", "distance")
 
 
 @query(f"""WITH {O.GRAPH}, d1 AS (SELECT dst AS id FROM edges WHERE src = 'nation-1'), d2 AS (SELECT DISTINCT e.dst AS id FROM edges e JOIN d1 ON e.src = d1.id),
 dist AS (SELECT id, min(d) AS d FROM (SELECT 'nation-1' AS id, 0 AS d UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2) GROUP BY id)
 SELECT src AS "from", dst AS "to", array_to_string(types, ', ') AS label, round(weight, 6) AS value FROM edges JOIN dist a ON a.id = src JOIN dist b ON b.id = dst WHERE src <= dst AND least(a.d, b.d) < 2""")
-def graph_neighborhood_edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.neighborhood_export(_graph(s, d), "nation-1", 2)[1].withColumn("value", r6("value"))
+def graph_neighborhood_edges(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
+    return graph.neighborhood_export(graph.load(*rows(s, d)).stored(), "nation-1", 2)[1].withColumn("value", r6("value"))
 
 
 @query(f"""WITH RECURSIVE {O.TREE}, p AS (SELECT 'supplier-1' AS node, ['supplier-1'] AS path, 0 AS hops, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS total
@@ -407,8 +413,8 @@ UNION ALL SELECT e.dst, list_append(p.path, e.dst), p.hops + 1, p.cost + 1 / gre
   WHERE p.hops < 4 AND NOT list_contains(p.path, e.dst))
 SELECT path, hops, round(cost, 6) AS cost, round(total, 6) AS total_weight FROM p
 WHERE node = (SELECT up.target_id FROM rel own JOIN rel up ON up.source_id = own.target_id WHERE own.source_id = 'supplier-1') ORDER BY cost, hops, path LIMIT 1""")
-def graph_path(s: SparkSession, d: str) -> DataFrame:
-    g = _graph(s, d, customers=False)
+def graph_path(s: SparkSession, d: str, rows: Callable = _tree) -> DataFrame:
+    g = graph.load(*rows(s, d)).stored()
     nation = g.edges.where("src = 'supplier-1'").select(F.col("dst").alias("src"))
     goal = g.edges.join(nation, "src").where("dst like 'region-%'").agg(F.max("dst")).first()[0]
     return graph.shortest_path(g, "supplier-1", goal or "", 4).select("path", "hops", r6("cost"), r6("total_weight"))
@@ -422,8 +428,8 @@ b AS (SELECT x.v AS id, sum(CAST(x.k * y.k AS DOUBLE) / z.k) AS t FROM sp x JOIN
 
 
 @query(f"""WITH RECURSIVE {O.TREE}, {_BETWEEN} SELECT nodes.id, round(coalesce(t, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 6) AS betweenness FROM nodes LEFT JOIN b ON b.id = nodes.id""")
-def graph_betweenness(s: SparkSession, d: str) -> DataFrame:
-    return graph.betweenness(_graph(s, d, customers=False)).withColumn("betweenness", r6("betweenness"))
+def graph_betweenness(s: SparkSession, d: str, rows: Callable = _tree) -> DataFrame:
+    return graph.betweenness(graph.load(*rows(s, d)).stored()).withColumn("betweenness", r6("betweenness"))
 
 
 @query(f"""WITH RECURSIVE {O.TREE}, {_BETWEEN}, {O.ENTITIES}, base AS (SELECT n.id, (SELECT count(*) FROM edges WHERE src = n.id) AS degree,
@@ -432,22 +438,22 @@ def graph_betweenness(s: SparkSession, d: str) -> DataFrame:
 top AS (SELECT greatest(1, max(degree)) AS d, greatest(CAST(1e-10 AS DOUBLE), max(between_)) AS b, greatest(1, max(m)) AS m FROM base),
 sc AS (SELECT id, CAST(0.3 AS DOUBLE) * (degree / CAST(top.d AS DOUBLE)) + CAST(0.25 AS DOUBLE) * (between_ / top.b) + CAST(0.25 AS DOUBLE) * (base.m / CAST(top.m AS DOUBLE)) + CAST(0.2 AS DOUBLE) * recency AS score FROM base, top)
 SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM sc""")
-def graph_importance(s: SparkSession, d: str) -> DataFrame:
+def graph_importance(s: SparkSession, d: str, rows: Callable = _tree) -> DataFrame:
     entities = T.entities(s, d)
-    found = graph.importance(_graph(s, d, customers=False), entities, T.AS_OF_TRADE).drop("rank").withColumn("near", F.round("score", 9))
+    found = graph.importance(graph.load(*rows(s, d)).stored(), entities, T.AS_OF_TRADE).drop("rank").withColumn("near", F.round("score", 9))
     return graph.ranked(found, [F.desc("near"), F.asc("id")]).select("id", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def graph_communities(s: SparkSession, d: str) -> DataFrame:
-    g = _graph(s, d)
+    g = graph.load(*_whole(s, d)).stored()
     return graph.community_members(g, graph.communities(g, rounds=20))
 
 
 @query(f"""WITH {O.GRAPH} SELECT x.src AS a, y.src AS b, count(*) AS common FROM edges x JOIN edges y ON x.dst = y.dst AND x.src < y.src
 WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = x.src AND e.dst = y.src) GROUP BY ALL HAVING count(*) >= 2 ORDER BY common DESC, a, b LIMIT 100""")
-def suggest_missing(s: SparkSession, d: str) -> DataFrame:
-    return graph.missing_links(graph.load(*_kept(s, d)), limit=100)
+def suggest_missing(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
+    return graph.missing_links(graph.load(*rows(s, d)), limit=100)
 
 
 @query(f"""WITH {O.RELATIONS} SELECT source_id, target_id, type, round(weight, 6) AS weight, last_seen, seen_count, CAST(date_diff('day', last_seen, DATE '2001-12-31') AS INTEGER) AS days_since
@@ -464,13 +470,25 @@ def suggest_emerging(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {O.ENTITIES}, {O.GRAPH} SELECT ent.id, name AS label, type AS "group", '{S.DEFAULT_COLOR}' AS color,
 round(greatest(8, least(25, 8 + 3 * log2(mention_count + CAST(1 AS DOUBLE)))), 6) AS size FROM ent WHERE ent.id IN (SELECT id FROM nodes)""")
-def graph_export(s: SparkSession, d: str) -> DataFrame:
-    return graph.export(*_kept(s, d))[0].withColumn("size", r6("size"))
+def graph_export(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
+    return graph.export(*rows(s, d))[0].withColumn("size", r6("size"))
 
 
 @query(f"""WITH {O.GRAPH} SELECT source_id AS "from", target_id AS "to", type AS label, round(weight, 6) AS value, seen_count FROM kept""")
-def graph_export_edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.export(*_kept(s, d))[1].withColumn("value", r6("value"))
+def graph_export_edges(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
+    return graph.export(*rows(s, d))[1].withColumn("value", r6("value"))
+
+
+# The same over whole tables: SQL where it isn't too slow for them. The queries above see the part of the relationships that their SQL names.
+
+_DEGREES = f"""WITH {O.ENTITIES}, {O.WHOLE} SELECT ent.id, count(src) AS degree, round(coalesce(sum(weight), 0), 6) AS weighted_degree FROM ent LEFT JOIN edges ON src = ent.id GROUP BY 1"""
+
+for _f in (graph_edges, graph_neighborhood, graph_neighborhood_edges, suggest_missing, graph_export, graph_export_edges):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, rows=_whole)
+    ORACLES[f"{_f.__name__}_whole"] = ORACLES[_f.__name__].replace(O.GRAPH, O.WHOLE)
+for _f in (graph_degree, graph_stats, graph_components, graph_path, graph_betweenness, graph_importance):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, rows=_whole)
+ORACLES["graph_degree_whole"] = _DEGREES
 
 
 # --- parsing and upkeep ---------------------------------------------------------------------------

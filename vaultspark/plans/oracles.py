@@ -41,6 +41,8 @@ edges AS (SELECT a AS src, b AS dst, weight, types FROM one UNION ALL SELECT b,
 nodes AS (SELECT DISTINCT src AS id FROM edges)"""
 #: The same without customers.
 TREE = GRAPH.replace("WHERE type = 'belongs-to' OR seen_count >= 3", "WHERE type = 'belongs-to'")
+#: The same of all relationships.
+WHOLE = GRAPH.replace(" WHERE type = 'belongs-to' OR seen_count >= 3", "")
 
 WORDS = f"regexp_extract_all(translate(lower(coalesce({{}}, '')), '{MARKED}', '{PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
 
