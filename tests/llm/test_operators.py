@@ -235,6 +235,25 @@ def test_learned_scores(spark, module, column):
     assert module.rate(messy(spark, []), few).count() == 0
 
 
+def test_toxic_by_few_terms(spark):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    plain, terms = [word() for _ in range(300)], ["zz" + word() for _ in range(10)]
+    docs, marks = [], []
+    for i in range(1, 3001):
+        n = draw.choice([0] * 9 + [draw.choice([1, 1, 2, 2, 3, 4, 5, 6])])
+        own = draw.sample(terms, n)
+        docs.append((i, " ".join([draw.choice(plain) for _ in range(draw.randrange(20, 300))] + own)))
+        marks.append((i, 0, int(n > 0) ^ (draw.random() < 0.01), None))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.rate(messy(spark, docs), labels(spark, marks)).where("held_out").collect()}
+    count = {i: sum(t in text for t in terms) for i, text in docs}
+    for n in (1, 2, 3):
+        of = [got[i] for i in got if count[i] == n]
+        assert len(of) > 3 and sum(of) / len(of) > 0.9, n
+    clean = [got[i] for i in got if not count[i]]
+    assert sum(clean) / len(clean) < 0.02
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 

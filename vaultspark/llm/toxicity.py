@@ -1,7 +1,7 @@
 """Toxicity categories by a chain of linear classifiers.
 
-The chain predicts one category after the other; each model sees the words of the document and the probabilities
-of the categories before it. While learning, these probabilities come from models that were
+The chain predicts one category after the other; each model sees how often the document has each word (the logarithm of the count
+and one) and the probabilities of the categories before it. While learning, these probabilities come from models that were
 fitted without the document (out of fold), so that a later model learns how far an earlier one can be trusted.
 
 Labels hold one mark, ``toxic``. The categories before it are derived from the learning rows alone: the words that
@@ -11,7 +11,7 @@ those with at least three different ones.
 Words are runs of letters, A-Z lower-cased, hashed to 2^20 bins; the models see the bins that tell the labels
 apart best. Learning reads a sample of at most about ``bound`` labelled documents that aren't held out. Defined
 results: a null or empty text has no word and gets the chain's bias. Without both labels every probability
-is 0. A probability of 0.5 counts as toxic. The result's row follows the input's row, repeated rows included;
+is 0. The cut of toxic is where unseen learning rows (out of fold) are told apart with the fewest errors; a tie counts as toxic. The result's row follows the input's row, repeated rows included;
 other columns of the input aren't returned.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import NOT_LETTERS, fold, learned_rows, logistic, sigmoid, steps, utf8, words
+from vaultspark.llm.common import NOT_LETTERS, fold, learned_rows, sigmoid, steps, utf8, words
 
 CHAIN = ("abusive", "severe", "toxic")
 BITS = 20
@@ -37,13 +37,31 @@ def bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (word >> np.uint64(64 - BITS)).astype(np.int64), of
 
 
-def present(found: np.ndarray, of: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
-    """Which of the chosen bins each text has: texts by ``width``. ``place``: index of each bin, or -1."""
+def counted(found: np.ndarray, of: np.ndarray, place: np.ndarray, width: int, many: np.ndarray | None = None) -> np.ndarray:
+    """Logarithm of one and how often each text has each chosen bin: texts by ``width``. ``place``: index of each bin, or -1; ``many``: counts of ``found``, else one each."""
     x = np.zeros((len(of) - 1, width), np.float32)
     index = place[found]
     hit = np.flatnonzero(index >= 0)
-    x[np.searchsorted(of, hit, side="right") - 1, index[hit]] = 1
-    return x
+    np.add.at(x, (np.searchsorted(of, hit, side="right") - 1, index[hit]), 1 if many is None else many[hit])
+    return np.log1p(x)
+
+
+def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression, by Newton's steps until the loss stays."""
+    x = np.hstack([x.astype(float), np.ones((len(x), 1))])
+    w, shrink = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, l2), 1e-9)
+    loss = lambda w: np.mean(np.logaddexp(0, z := x @ w) - y * z) + (shrink * w * w).sum() / 2
+    now = loss(w)
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(shrink), x.T @ (p - y) / len(y) + shrink * w)
+        size = 1.0
+        while (new := loss(w - size * step)) > now and size > 1e-9:
+            size /= 2
+        if now - new < 1e-10:
+            break
+        w, now = w - size * step, new
+    return w[:-1], float(w[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 1024, folds: int = 3) -> dict | None:
@@ -53,11 +71,12 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 10
         for batch in batches:
             for part in steps(batch, "text"):
                 found, of = bins(part.column("text"))
-                own = [np.unique(found[of[k] : of[k + 1]]).astype(np.int32).tobytes() for k in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(own, pa.binary())], ["doc_id", "toxic", "bins"])
+                own = [np.unique(found[of[k] : of[k + 1]], return_counts=True) for k in range(part.num_rows)]
+                packed = (pa.array([x[i].astype(np.int32).tobytes() for x in own], pa.binary()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *packed], ["doc_id", "toxic", "bins", "many"])
 
     sample = learned_rows(docs, labels.where("toxic in (0, 1)").select("doc_id", "toxic"), bound, "toxic")
-    got = sample.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic", "text").mapInArrow(extract, "doc_id long, toxic int, bins binary").toPandas()
+    got = sample.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic", "text").mapInArrow(extract, "doc_id long, toxic int, bins binary, many binary").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     y = got["toxic"].to_numpy(dtype=int)
     if len(set(y)) < 2:
@@ -65,6 +84,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 10
     rows = [np.frombuffer(b, np.int32) for b in got["bins"]]
     of = np.append(0, np.cumsum([len(r) for r in rows]))
     found = np.concatenate([*rows, np.zeros(0, np.int32)])
+    many = np.concatenate([*(np.frombuffer(b, np.int32) for b in got["many"]), np.zeros(0, np.int32)])
     mark = np.repeat(y, np.diff(of))
     n1, n0 = y.sum(), len(y) - y.sum()
     a = np.bincount(found[mark == 1], minlength=1 << BITS)
@@ -75,9 +95,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 10
     chosen = chosen[np.abs(apart[chosen]) >= 5]  # fewer would be chance, among so many words
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    x = present(found, of, place, len(chosen))
+    x = counted(found, of, place, len(chosen), many)
     terms = (apart[chosen] > 8) & (p[chosen] > 5 * q[chosen])
-    hits = x[:, terms].sum(1) if terms.any() else np.zeros(len(y))
+    hits = (x[:, terms] > 0).sum(1) if terms.any() else np.zeros(len(y))
     target = {"abusive": y * (hits >= 1), "severe": y * (hits >= 3), "toxic": y}
     part = np.random.default_rng(5).integers(0, folds, len(y))
     models, unseen = {}, np.zeros((len(y), 0), np.float32)
@@ -87,11 +107,21 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 10
         out = np.zeros(len(y), np.float32)
         for k in range(folds):
             if (part == k).any() and (part != k).any():
-                w, bias = logistic(seen[part != k], t[part != k])
+                w, bias = fit(seen[part != k], t[part != k])
                 out[part == k] = sigmoid(seen[part == k] @ w + bias)
-        models[name] = logistic(seen, t)
+        models[name] = fit(seen, t)
         unseen = np.hstack([unseen, out[:, None]])
-    return {"chosen": chosen, "models": models}
+    return {"chosen": chosen, "models": models, "threshold": _threshold(out, y)}
+
+
+def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where unseen rows are told apart with the fewest errors: between the two neighbouring probabilities."""
+    order = np.argsort(p, kind="stable")
+    errors = np.append(0, np.cumsum(y[order])) + np.append(np.cumsum((1 - y[order])[::-1])[::-1], 0)
+    at = np.flatnonzero(errors == errors.min())
+    at = int(at[len(at) // 2])
+    low, high = (p[order[at - 1]] if at else 0.0), (p[order[at]] if at < len(p) else 1.0)
+    return float(low + high) / 2
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -107,11 +137,11 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             for part in steps(batch, "text"):
                 p = np.zeros((part.num_rows, len(CHAIN)), np.float32)
                 if m:
-                    x = present(*bins(part.column("text")), place, len(m["chosen"]))
+                    x = counted(*bins(part.column("text")), place, len(m["chosen"]))
                     for k, name in enumerate(CHAIN):
                         w, bias = m["models"][name]
                         p[:, k] = sigmoid(x @ w[: x.shape[1]] + p[:, :k] @ w[x.shape[1] :] + bias)
-                toxic = (p[:, -1] >= 0.5) if m else np.zeros(part.num_rows, bool)
+                toxic = (p[:, -1] >= m["threshold"]) if m else np.zeros(part.num_rows, bool)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), *(pa.array(p[:, k].astype(float)) for k in (0, 1, 2)), pa.array(toxic.astype(np.int32))],
                     ["doc_id", "held_out", "p_abusive", "p_severe", "score", "predicted"],
