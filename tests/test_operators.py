@@ -108,3 +108,23 @@ def test_incremental(spark):
     scan = spark.createDataFrame([("a", 999), ("b", 1000), ("new", 5)], "path string, modified_at long")
     assert sorted(r["path"] for r in maintenance.changed(scan, files).collect()) == ["b", "new"]
     assert [r["path"] for r in maintenance.stale(files, scan).collect()] == ["c"]
+
+
+def test_communities_settle(spark):
+    pairs = [(f"p{k}", f"q{k}") for k in range(8)]
+    tree = [(f"t{k}", f"t{(k - 1) // 2}", 1.0 + k % 3) for k in range(1, 15)]
+    bipartite = [(f"c{i}", f"s{j}", 1.0 + (3 * i + 5 * j) % 7) for i in range(6) for j in range(4)]
+    edges = pairs + tree + bipartite
+    g = make_graph(spark, edges, nodes=["alone"])
+    own = dict((r["id"], r["colour"]) for r in graph.colours(g).collect())
+    assert all(own[a] != own[b] for a, b, *_ in edges)
+    found = {r["id"]: r["community"] for r in graph.communities(g, rounds=30).collect()}
+    assert found == {r["id"]: r["community"] for r in graph.communities(g, rounds=31).collect()}
+    assert all(found[a] == found[b] for a, b in pairs)
+    for i in found:  # no other label around a node is heavier than its own
+        weight = {}
+        for a, b, *w in edges:
+            if i in (a, b):
+                c = found[b if a == i else a]
+                weight[c] = weight.get(c, 0) + (w[0] if w else 1.0)
+        assert not weight or weight.get(found[i], 0) == pytest.approx(max(weight.values())), i

@@ -447,7 +447,7 @@ def graph_importance(s: SparkSession, d: str, rows: Callable = _tree) -> DataFra
 @query()
 def graph_communities(s: SparkSession, d: str) -> DataFrame:
     g = graph.load(*_whole(s, d)).stored()
-    return graph.community_members(g, graph.communities(g, rounds=20))
+    return graph.community_members(g, graph.communities(g))
 
 
 @query(f"""WITH {O.GRAPH} SELECT x.src AS a, y.src AS b, count(*) AS common FROM edges x JOIN edges y ON x.dst = y.dst AND x.src < y.src
