@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_state = threading.local()
+
 
 def root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; in local mode, a folder of our own where it is unset."""
@@ -19,9 +25,41 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def _remember(path: str, table: str | None, outlives: bool) -> None:
+    """Note a table with the innermost scope, or with the one around it."""
+    scopes = getattr(_state, "scopes", [])
+    at = len(scopes) - 1 - outlives
+    if at >= 0:
+        scopes[at].append((path, table))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at its end, but for those that outlive it; what Spark holds for them may go as well."""
+    if not hasattr(_state, "scopes"):
+        _state.scopes = []
+    _state.scopes.append([])
+    try:
+        yield
+    finally:
+        for path, table in _state.scopes.pop():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        swept(spark)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let Spark drop the broadcasts and shuffle files of plans that nothing refers to any more: it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """``df`` as a table: later reads neither repeat its work nor depend on the executors that did it."""
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _remember(path, None, outlives)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -29,5 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """``df`` as a table in buckets of ``key``: joins on ``key`` don't move its rows again. Deal ``df`` by ``key`` first, or each task writes a file for each bucket."""
     spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{root(spark)}/{own}").saveAsTable(own)
+    path = f"{root(spark)}/{own}"
+    _remember(path, own, False)
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(own)
     return spark.table(own)
