@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.sources.scratch import bucketed, written  # noqa: F401
+from vaultspark.sources.scratch import bucketed, scope, written  # noqa: F401
 
 #: A-Z and their lower case, for the contracts that fold only these.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that one numpy step handles at most, unless a single text is longer.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 #: Rows that an executor hands to its Python worker at once: texts may be long, and workers keep what they once took.
@@ -83,17 +84,6 @@ def learned_rows(docs: DataFrame, labels: DataFrame, bound: int, seed: str) -> D
     return docs.select("doc_id", "text").join(labels.where(part), "doc_id")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression, by Adam over all rows."""
-    w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    for k in range(1, rounds + 1):
-        off = sigmoid(x @ w[:-1].astype(x.dtype) + w[-1]) - y
-        g = np.append(x.T @ off.astype(x.dtype) / len(y) + l2 * w[:-1], off.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -109,23 +99,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = np.uint64(0x9E6C63D0876A68DB)
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the hash base, kept between calls up to a few MB."""
-    global _powers
-    if len(_powers) >= n:
-        return _powers[:n]
-    made = np.full(max(n, 1024), _BASE, np.uint64)
-    made[0] = 1
-    made = np.multiply.accumulate(made)
-    if len(made) <= 2 << 20:
-        _powers = made
-    return made[:n]
-
-
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -161,29 +134,33 @@ def words(raw: np.ndarray, at: np.ndarray, parting: np.ndarray = _SPACE) -> tupl
     return span_hashes(raw, starts, ends), starts, ends, of
 
 
+#: Spans longer than this are hashed one by one.
+_LONG = 256
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, A-Z lower-cased: sums of byte * base^place, as differences of a running sum, modulo 2^64."""
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_FOLD[raw].astype(np.uint64) + np.uint64(1)) * powers(len(raw)), out=run[1:])
-    total = (run[ends] - run[starts]) * inverse_powers(len(raw) + 1)[starts]
-    return mix(total ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
-
-
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_inverses = np.ones(1, np.uint64)
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    """Powers of the base's inverse modulo 2^64: they move a word's sum back to place 0."""
-    global _inverses
-    if len(_inverses) >= n:
-        return _inverses[:n]
-    made = np.full(max(n, 1024), _INVERSE, np.uint64)
-    made[0] = 1
-    made = np.multiply.accumulate(made)
-    if len(made) <= 2 << 20:
-        _inverses = made
-    return made[:n]
+    """A 64-bit hash of each span of bytes, A-Z lower-cased: eight bytes after the other are mixed in, so that no sums of places can cancel."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+    if not len(starts):
+        return h
+    blocks = np.zeros((len(raw) + 31) // 8, np.uint64)
+    blocks.view(np.uint8)[: len(raw)] = _FOLD[raw]
+    here = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[here], size[here]
+    while len(here):
+        low = (at & 7).astype(np.uint64) << np.uint64(3)
+        block = blocks[at >> 3] >> low
+        high = np.flatnonzero(low)
+        block[high] |= blocks[(at[high] >> 3) + 1] << (np.uint64(64) - low[high])
+        short = np.flatnonzero(left < 8)
+        block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        h[here] = mix(h[here] ^ block)
+        more = left > 8
+        here, at, left = here[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(_FOLD[raw[starts[k] : ends[k]]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(word: np.ndarray, of: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

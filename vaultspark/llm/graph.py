@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import written
+from vaultspark.llm.common import scope, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,19 +19,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the least node it reaches) of every node of ``edges`` (u, v), by alternating stars.
+    """node and label (the least node it reaches) of every node of ``edges`` (u, v), written, by alternating stars.
 
     The number of rounds grows with the logarithm of the longest chain; each round's edges are written.
     """
-    edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(edges)
-    while mark[0]:
-        edges = written(_star(written(_star(edges, True), "edges"), False), "edges")
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    with scope(edges.sparkSession):
+        edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        mark = _mark(edges)
+        while mark[0]:
+            edges = written(_star(written(_star(edges, True), "edges"), False), "edges")
+            now = _mark(edges)
+            if now == mark:
+                break
+            mark = now
+        labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+        return written(labels, "labels", outlives=True)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -10,16 +10,18 @@ smaller of its two numbers.
 What is asked for are the classes of linked documents, so no group of copies is expanded into pairs:
 
 1. Documents with equal sets are linked through the least of them, which alone goes on.
-2. Each document that shares prefix shingles with others is compared with one of them, its pivot, taken so that a group of
-   near copies has one pivot. This costs as much as the group is large.
+2. Each document that shares prefix shingles with others is compared with one of them, its pivot: the one whose shingles
+   are the most frequent, which in a group of edited copies is the original or next to it. This costs as much as the group is large.
 3. Two documents with one pivot p are told apart by their differences from p, the shingles that only one of both sets has. If
    s doesn't link with p, and s and c link, they share more than (4 added + 5 missing) / 9 of c's
-   differences; so one of the rarest differences of c, as many as it has beyond that number, is among those of s.
-   Only pairs that share such a difference are verified. Random edits are rarely shared, so that a group's strays
-   aren't held against all its members.
-4. Shingles whose documents are in different classes, with different pivots, go through 2 and 3 again, ``ROUNDS`` times in all. Then
-   the candidate pairs of documents that never had one pivot, and are of different classes, are formed and verified.
-   With step 3 this makes the result exact: no link between classes is missed.
+   differences. So of any k of c's differences, s has k less the others, at least one if k is large enough. Those k are the ones
+   that c has beyond p, the rarest first, then those it misses. Only pairs that share as many are verified. An edit of a copy
+   adds shingles of its own, so that a group's strays aren't held against all its members: this grows with the group, not
+   with its square.
+4. Shingles whose documents are in different classes, with different pivots, go through 2 and 3 again, ``ROUNDS`` times, and on
+   while they would form more than ``CROWD`` pairs a posting, up to ``MOST_ROUNDS`` times. Then the candidate pairs of documents
+   that never had one pivot, and are of different classes, are formed and verified. With step 3 this makes the result
+   exact: no link between classes is missed, however many rounds there were.
 
 Defined results: without words or text a document has no shingle, links with nothing and is its own component; with
 fewer than five words the whole sequence is its one shingle. Rows that share a doc_id are one document in the links. A null
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import bucketed, mix, shingles, steps, utf8, words, written
+from vaultspark.llm.common import bucketed, mix, scope, shingles, steps, utf8, words, written
 from vaultspark.llm.graph import components
 from vaultspark.llm.tables import merged, packed, unpacked
 
@@ -45,8 +47,10 @@ BITS = 21
 SLICE = 1 << 16
 #: Largest number of shared shingles that a prefix is lengthened for.
 MOST_SHARED = 8
-#: How often documents are compared with a pivot before pairs are formed.
-ROUNDS = 2
+#: How often documents are compared with a pivot before pairs are formed: at least, and at most where shingles are crowded.
+ROUNDS, MOST_ROUNDS = 2, 6
+#: Pairs a posting from which shingles are crowded.
+CROWD = 4
 #: Cost of verifying a candidate, in postings.
 VERIFY = 20.0
 
@@ -143,35 +147,27 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray,
 
 
 def postings(docs: DataFrame, counts) -> DataFrame:  # noqa: ANN001
-    """token, doc_id, l and n of each prefix shingle; a task skips sets that it has had already. ``counts``: the sketch, broadcast."""
+    """token, doc_id, l, n and warmth of each prefix shingle. ``counts``: the sketch, broadcast.
+
+    The warmth of a set is how frequent its shingles are, as the mean logarithm of their counts.
+    """
     noise = float(np.median(counts.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had: set[tuple[int, int]] = set()
         for batch in batches:
             for part in steps(batch, "text"):
-                tokens, ids, sizes, numbers, whole = [], [], [], [], []
+                tokens, rows = [], []
                 for doc, s in zip(part.column("doc_id").to_pylist(), sets(part.column("text")), strict=True):
-                    if not len(s):
-                        continue
-                    mark = _signature(s)
-                    if mark in had:
-                        continue
-                    if len(had) < 500_000:
-                        had.add(mark)
-                    p, number = prefix(s, counts.value, noise)
-                    tokens.append(p)
-                    ids.append(doc)
-                    sizes.append(len(p))
-                    numbers.append(number)
-                    whole.append(len(s))
+                    if len(s):
+                        p, number = prefix(s, counts.value, noise)
+                        tokens.append(p)
+                        rows.append((doc, number, len(s), int(np.log(counts.value[bucket(s)] + 1.0).mean() * (1 << 24))))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).astype(np.int64)), *(pa.array(np.repeat(np.array(x, t), sizes)) for x, t in ((ids, np.int64), (numbers, np.int8), (whole, np.int64)))],
-                        ["token", "doc_id", "l", "n"],
-                    )
+                    sizes = [len(p) for p in tokens]
+                    each = (pa.array(np.repeat(np.array([r[i] for r in rows], t), sizes)) for i, t in enumerate((np.int64, np.int8, np.int64, np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), *each], ["token", "doc_id", "l", "n", "warmth"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, l byte, n long")
+    return docs.mapInArrow(run, "token long, doc_id long, l byte, n long, warmth long")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -235,13 +231,15 @@ class Texts:
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
         pairs = written(pairs.select("a", "b"), "pairs")
-        joined = pairs.join(self._of(self.maps, pairs, "a", n="n_a", bits="bits_a"), "a").join(self._of(self.maps, pairs, "b", n="n_b", bits="bits_b"), "b")
+        other = written(self._of(self.maps, pairs, "b", n="n_b", bits="bits_b"), "other")  # so that the join can split a document with very many partners
+        joined = pairs.join(self._of(self.maps, pairs, "a", n="n_a", bits="bits_a"), "a").join(other, "b")
         return written(joined.mapInArrow(run, "a long, b long").distinct(), "plausible")
 
     def beside(self, pairs: DataFrame) -> DataFrame:
         """a, b, text_a, text_b of each pair."""
+        other = written(self._of(self.texts, pairs, "b", text="text_b"), "other")
         with_a = pairs.join(self._of(self.texts, pairs, "a", text="text_a"), "a")
-        return with_a.join(self._of(self.texts, pairs, "b", text="text_b"), "b").select("a", "b", "text_a", "text_b")
+        return with_a.join(other, "b").select("a", "b", "text_a", "text_b")
 
 
 def _sets_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -273,39 +271,35 @@ def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: Texts, counts) -> DataFrame:  # noqa: ANN001
-    """a, n shingles of it, its pivot b, whether they link, and a's differences, the rarest first, with how many can show a link.
+    """a, n shingles of it, its pivot b, whether they link, how many shingles a has added and misses, its differences in their order, how many of these tell, and how many of those a partner has at least.
 
-    Pairs that are less similar than one half are left out; documents that link keep only the differences that can show a link.
+    Pairs that are less similar than one half are left out; documents that link keep only the differences that tell.
     """
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32())
+    names = ["a", "n", "b", "linked", "added", "missing", "differences", "telling", "least"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-
-        def rows() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
-            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["a", "n", "b", "linked", "differences", "telling"])
-            out.clear()
-            return made
-
-        size = 0
+        out, size = [], 0
         for a, b, s, p in _sets_of_pairs(batches):
-            both = len(np.intersect1d(s, p, assume_unique=True))
-            if 2 * both < len(s) + len(p) - both:
+            both = np.intersect1d(s, p, assume_unique=True)
+            if 2 * len(both) < len(s) + len(p) - len(both):
                 continue
-            added, missing = len(s) - both, len(p) - both
-            apart = np.setxor1d(s, p, assume_unique=True)
-            apart = apart[np.lexsort((apart, counts.value[bucket(apart)]))]
-            telling = len(apart) - (4 * added + 5 * missing) // 9
-            links = linked(both, len(s), len(p))
-            out.append((a, len(s), b, links, apart[:telling].astype(np.int64) if links else apart.astype(np.int64), telling))
-            size += len(out[-1][4])
-            if size > 1 << 18:
-                yield rows()
-                size = 0
+            more, less = np.setdiff1d(s, both, assume_unique=True), np.setdiff1d(p, both, assume_unique=True)
+            more = more[np.lexsort((more, counts.value[bucket(more)]))]
+            less = less[np.lexsort((less, -counts.value[bucket(less)].astype(np.int64)))]  # what nearly all have is missing in few
+            need = len(more) + len(less) - (4 * len(more) + 5 * len(less)) // 9
+            telling = max(need, len(more))
+            links = linked(len(both), len(s), len(p))
+            apart = np.concatenate([more, less]).astype(np.int64)
+            out.append((a, len(s), b, links, len(more), len(less), apart[:telling] if links else apart, telling, telling - need + 1))
+            size += len(out[-1][6])
+            if size > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names)
+                out, size = [], 0
         if out:
-            yield rows()
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names)
 
-    return texts.beside(texts.plausible(pairs, 2, 1)).mapInArrow(run, "a long, n long, b long, linked boolean, differences array<long>, telling int")
+    return texts.beside(texts.plausible(pairs, 2, 1)).mapInArrow(run, "a long, n long, b long, linked boolean, added int, missing int, differences array<long>, telling int, least int")
 
 
 #: Pairs whose sizes allow a link.
@@ -322,22 +316,21 @@ def _regrouped(found: DataFrame, labels: DataFrame, held: DataFrame, pivot: str)
     """``found`` with the classes and pivots by now, of those shingles whose documents differ in class and in each pivot."""
     own = held.select(F.col("a").alias("node"), F.col("b").alias(pivot))
     marks = written(labels.join(own, "node", "full_outer").withColumnRenamed("node", "doc_id"), "marks")
-    found = found.drop("class", "low").join(marks, "doc_id", "left")
+    found = found.drop("class").join(marks, "doc_id", "left")
     found = written(found.withColumn("class", F.coalesce("label", "doc_id")).withColumn(pivot, F.coalesce(pivot, "doc_id")).drop("label"), "marked")
     told = ["class", *[c for c in found.columns if c.startswith("pivot")]]
     tokens = found.groupBy("token").agg(*[f(c).alias(f"{x}_{c}") for c in told for f, x in ((F.min, "low"), (F.max, "high"))])
-    tokens = tokens.where(" and ".join(f"low_{c} != high_{c}" for c in told)).select("token", F.col("low_class").alias("low"))
+    tokens = tokens.where(" and ".join(f"low_{c} != high_{c}" for c in told)).select("token")
     return written(found.join(written(tokens, "mixed"), "token"), "shared")
 
 
 def _pivots(found: DataFrame) -> DataFrame:
-    """a and b: for each document one of the least documents of its shingles, of another class.
+    """a and b: for each document one of the warmest documents of its shingles, of another class.
 
     Of those that share at least half as many shingles as the best, the one that most documents could take.
     """
-    least = found.where("class = low").groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("least"))
-    least = written(least.select("token", F.col("least.doc_id").alias("b"), F.col("least.n").alias("n_b")), "least")
-    tried = found.where("class != low").withColumnRenamed("n", "n_a").join(least, "token").where(NEAR)
+    warmest = found.groupBy("token").agg(*[F.max_by(c, "warmth").alias(to) for c, to in (("doc_id", "b"), ("n", "n_b"), ("class", "c_b"))])
+    tried = found.withColumnRenamed("n", "n_a").join(written(warmest, "warmest"), "token").where(f"class != c_b and doc_id != b and {NEAR}")
     tried = written(tried.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("m")), "tried")
     many = written(tried.groupBy("b").agg(F.count("*").alias("many")), "many")
     best = tried.groupBy("a").agg(F.max("m").alias("best"))
@@ -345,48 +338,63 @@ def _pivots(found: DataFrame) -> DataFrame:
     return good.groupBy("a").agg(F.max_by("b", F.struct("many", "m", -F.col("b"))).alias("b"))
 
 
-def _by_differences(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs with one pivot: a telling difference of one is a difference of the other, which doesn't link with the pivot."""
-    rows = _classed(held.withColumnRenamed("a", "doc_id"), labels)
-    c = rows.select(F.col("doc_id").alias("a"), F.col("class").alias("c_a"), F.col("n").alias("n_a"), F.col("b").alias("pivot"), F.explode(F.expr("slice(differences, 1, telling)")).alias("token"))
-    s = rows.where("not linked").select(F.col("doc_id").alias("b"), F.col("class").alias("c_b"), F.col("n").alias("n_b"), F.col("b").alias("pivot"), F.explode("differences").alias("token"))
-    found = c.join(s, ["pivot", "token"]).where(f"a != b and c_a != c_b and {NEAR}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _by_differences(held: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Candidate pairs with one pivot: enough telling differences of one are differences of the other, which doesn't link with the pivot."""
+    rows = held.withColumnRenamed("a", "doc_id")
+    rows = _classed(rows, labels) if labels is not None else rows.withColumn("class", F.col("doc_id"))
+    own = ("n", "added", "missing")
+    c = rows.select(F.col("doc_id").alias("a"), F.col("class").alias("c_a"), *[F.col(x).alias(f"{x}_a") for x in own], F.col("b").alias("pivot"), "least", F.explode(F.expr("slice(differences, 1, telling)")).alias("token"))
+    s = rows.where("not linked").select(F.col("doc_id").alias("b"), F.col("class").alias("c_b"), *[F.col(x).alias(f"{x}_b") for x in own], F.col("b").alias("pivot"), F.explode("differences").alias("token"))
+    # linked sets differ in at most a ninth of their sizes' sum
+    found = c.join(s, ["pivot", "token"]).where("a != b and c_a != c_b and 9 * (abs(added_a - added_b) + abs(missing_a - missing_b)) <= n_a + n_b")
+    pairs = found.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("least").alias("least")).where("m >= least")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _crowded(found: DataFrame) -> bool:
+    """Whether the shingles of ``found`` would form more than CROWD pairs a posting."""
+    size = found.groupBy("token").count()
+    pairs, rows = size.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.sum("count")).first()
+    return bool(rows) and pairs > CROWD * rows
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(described documents, component labels): doc_id, n, s1, s2 and node, label of linked documents."""
+    """(described documents, component labels), both written: doc_id, n, s1, s2 and node, label of linked documents."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    about = written(describe(docs), "about")
-    known = about.where("doc_id is not null and n > 0")
-    groups = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")), "groups")
-    same = known.select("s1", "s2", F.col("doc_id").alias("u")).join(groups.where("v != top"), ["s1", "s2"]).where("u != v").select("u", "v")
-    same = written(same, "same")
-
-    # From here on, one document stands for each set.
-    texts = Texts(docs, groups.select(F.col("v").alias("doc_id")))
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(texts.texts))
-    found = written(postings(texts.texts, counts), "postings")
-    tokens = found.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
-    found = written(found.join(written(tokens.select("token", "low"), "tokens"), "token").withColumn("class", F.col("doc_id")), "shared")
-    texts.map(written(found.select("doc_id").distinct(), "ids"))
-
-    edges, pivots = None, [f"pivot{k}" for k in range(ROUNDS)]
-    for pivot in pivots:
-        held = written(compared(_pivots(found), texts, counts), "compared")
-        new = held.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = written(new if edges is None else edges.unionByName(new), "links")
-        labels = written(components(edges), "labels")
-        near = verified(_by_differences(held, labels), texts)
-        edges = written(edges.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
-        labels = written(components(edges), "labels")
-        found = _regrouped(found, labels, held, pivot)
-
-    a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in pivots]) for x in "ab")
-    apart = " and ".join(["a < b", "c_a != c_b", NEAR, *[f"{p}_a != {p}_b" for p in pivots]])
-    pairs = a.join(b, "token").where(apart).groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("least"))
-    new = verified(pairs.where("m >= least"), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return about, written(components(written(edges.unionByName(new).unionByName(same), "links")), "labels")
+    with scope(spark):
+        about = written(describe(docs), "about", outlives=True)
+        known = about.where("doc_id is not null and n > 0")
+        groups = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")), "groups")
+        same = known.select("s1", "s2", F.col("doc_id").alias("u")).join(groups.where("v != top"), ["s1", "s2"]).where("u != v").select("u", "v")
+        same = written(same, "same")
+
+        # From here on, one document stands for each set.
+        texts = Texts(docs, groups.select(F.col("v").alias("doc_id")))
+        counts = spark.sparkContext.broadcast(sketch(texts.texts))
+        found = written(postings(texts.texts, counts), "postings")
+        tokens = found.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
+        found = written(found.join(written(tokens.select("token"), "tokens"), "token").withColumn("class", F.col("doc_id")), "shared")
+        texts.map(written(found.select("doc_id").distinct(), "ids"))
+
+        edges, labels, pivots = None, None, []
+        while len(pivots) < ROUNDS or len(pivots) < MOST_ROUNDS and _crowded(found):
+            pivots.append(f"pivot{len(pivots)}")
+            held = written(compared(_pivots(found), texts, counts), "compared")
+            near = verified(_by_differences(held, labels), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            new = held.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(near)
+            edges = written(new if edges is None else edges.unionByName(new), "links")
+            labels = components(edges)
+            found = _regrouped(found, labels, held, pivots[-1])
+
+        a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in pivots]) for x in "ab")
+        apart = " and ".join(["a < b", "c_a != c_b", NEAR, *[f"{p}_a != {p}_b" for p in pivots]])
+        pairs = a.join(b, "token").where(apart).groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("least"))
+        new = verified(pairs.where("m >= least"), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = components(written(edges.unionByName(new).unionByName(same), "links"))
+        labels = written(labels, "labels", outlives=True)
+        counts.destroy()
+        return about, labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
