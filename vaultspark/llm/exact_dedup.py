@@ -7,12 +7,12 @@ carries the length as well, which sets apart texts that only differ in where the
 found by comparing the digits themselves, not a digest of them.
 
 Each round is one partial aggregation and one join back to the documents that still share a group.
-Nothing gathers a group in one task: the aggregation sends one row per group and task, and Spark
-splits a skewed side of the join.
+Nothing gathers a group in one task: the aggregation sends one row per group and task, and its result is
+written, so that Spark splits a skewed side of the join.
 
 Defined results: null text counts as empty, and empty texts are equal to one another. Equality
 ignores the case of A-Z only. Rows that repeat a doc_id in one group share its decision. A null
-doc_id counts in group_size and is never kept unless the group has no other, when keep_id is null.
+doc_id counts in group_size and isn't kept unless the group has no other id: then keep_id is null and its rows are kept.
 Other columns of the input aren't returned.
 """
 
@@ -29,7 +29,7 @@ COLUMNS = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def _decided(df: DataFrame) -> DataFrame:
-    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return df.withColumn("kept", kept).select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256")
     )
@@ -43,7 +43,8 @@ def exact_duplicates(docs: DataFrame, first_digit: int = 32, growth: int = 64) -
     groups = raw.select("doc_id", length, digit).groupBy("length", "digit").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
     rows = raw.select("doc_id", length, digit, lower_az(F.col("raw")).alias("norm"))
     rows = rows.select("doc_id", "length", "digit", "norm", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
-    joined = rows.join(groups.where("n > 1"), ["length", "digit"], "left")
+    shared = written(groups.where("n > 1"), "shared")  # so that the join can split a hot digit
+    joined = rows.join(shared, ["length", "digit"], "left")
     left = F.col("n").isNotNull() & (F.char_length("norm") > first_digit)
     state = written(
         joined.select(
@@ -62,6 +63,7 @@ def exact_duplicates(docs: DataFrame, first_digit: int = 32, growth: int = 64) -
     while at < longest:
         live = rest.withColumn("next", F.substring("norm", at + 1, width))
         groups = live.groupBy(*keys, "next").agg(F.count("*").alias("m"), F.max("doc_id").alias("top"), F.min("row").alias("first"))
+        groups = written(groups, "shared")
         here = live.drop("n", "keep_id").join(groups, [*keys, "next"])
         at, width = at + width, width * growth
         more = (F.col("m") > 1) & (F.char_length("norm") > at)
@@ -83,7 +85,7 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
            FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id,
        CAST(count(*) OVER (PARTITION BY norm) AS BIGINT) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY norm) AS kept,
        sha256(norm) AS text_sha256
 FROM d
 """
