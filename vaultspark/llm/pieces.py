@@ -14,8 +14,10 @@ them, so what lies between such cuts is encoded by itself. These parts repeat; t
 remembered up to a bound.
 
 Defined results: null text is empty and has no piece. The normalisation is the one of models whose
-rule is identity: spaces become word marks and one mark is put in front. Decoding undoes both, so a text
-comes back exactly, whatever it holds. Ties go to the longer last piece. Rows
+rule is identity, which is checked on a probe: spaces become word marks and one mark is put in front. Decoding undoes both.
+A word mark that a text itself holds is written with its byte pieces, so that it stays apart from a space; the library
+takes it for one. So a text comes back exactly, whatever it holds, if the vocabulary has the byte pieces; ``decoded_ok``
+says whether it did. Ties go to the longer last piece. Rows
 that repeat are encoded each. Other columns of the input aren't returned.
 """
 
@@ -31,8 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
+#: Stands for a word mark of the text itself while it is encoded; no text can hold it.
+OWN_MARK = "\ud800"
 #: Added to the least score for the bridge over a character that is no piece.
 BRIDGE = -10.0
+#: Normalising this shows whether a model's rule is identity.
+PROBE = "ﬁ  Å\tA\u0301 ① x"
 
 
 class _Remembered(dict):
@@ -53,10 +59,12 @@ class _Remembered(dict):
 class Pieces:
     """A model's pieces; one for each file and process."""
 
-    def __init__(self, path: str, remember: int = 300_000) -> None:
+    def __init__(self, path: str, remember: int = 120_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.normalize(PROBE) != MARK + PROBE.replace(" ", MARK):
+            raise ValueError("the model's normalisation isn't the identity")
         self.pieces = [model.id_to_piece(i) for i in range(len(model))]
         self.scores = [model.get_score(i) for i in range(len(model))]
         self.unknown = model.unk_id()
@@ -67,7 +75,7 @@ class Pieces:
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 usable.append((piece, i))
-        self.raw = [piece.encode() for piece in self.pieces]
+        self.raw = [piece.replace(MARK, " ").encode() for piece in self.pieces]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.singles = {piece for piece, _ in usable if len(piece) == 1}
@@ -129,7 +137,7 @@ class Pieces:
             if i is not None:
                 out.append(i)
             else:
-                known = [self.bytes.get(b) for b in text[at - 1].encode()]
+                known = [self.bytes.get(b) for b in text[at - 1].replace(OWN_MARK, MARK).encode()]
                 out.extend(reversed(known) if None not in known else [self.unknown])
             at -= length
         return out[::-1]
@@ -143,13 +151,14 @@ class Pieces:
     def encode(self, text: str) -> array:
         ids = array("i")
         if text:
+            if MARK in text:
+                text = text.replace(MARK, OWN_MARK)
             for piece in map(self.known.__getitem__, self.segments(MARK + text.replace(" ", MARK))):
                 ids.extend(piece)
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 @functools.lru_cache(2)
@@ -180,7 +189,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                         part.column("doc_id"),
                         pa.array([len(x) for x in ids], pa.int64()),
                         _flat(ids),
-                        pa.array([same(p, t, x) for t, x in zip(texts, ids, strict=True)], pa.bool_()),
+                        pa.array([p.decode(x) == t for t, x in zip(texts, ids, strict=True)], pa.bool_()),
                     ],
                     ["doc_id", "n_pieces", "piece_ids", "decoded_ok"],
                 )
@@ -189,11 +198,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_pieces long, piece_ids array<int>, decoded_ok boolean")
 
 
-def same(p: Pieces, text: str, ids: array) -> bool:
-    """True if decoding gives the text back; a word mark in the text itself reads as a space."""
-    return p.decode(ids) == text.replace(MARK, " ")
-
-
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """doc_id and text of rows with doc_id and piece_ids; null ids give an empty text."""
 
