@@ -1,9 +1,9 @@
 """Languages of documents, each taken as a mixture, by expectation-maximisation.
 
 Learning counts the byte 4-grams of every labelled document that isn't held out, by language, in
-hashed bins: one pass, summed before the shuffle, and the table's size depends on the number of languages
-alone. For a document, expectation-maximisation estimates the share of each language from the likelihoods of its
-n-grams. Sets of the most likely languages, from one upwards, are compared by their
+hashed bins: one pass, summed before the shuffle. The table has 2^16 numbers of 4 bytes for each language that ``lang`` names,
+whatever the number of documents. For a document, expectation-maximisation estimates the share of each language from the
+likelihoods of its n-grams, each bin counted once with its number, so that a very long text needs no more than the table. Sets of the most likely languages, from one upwards, are compared by their
 likelihood less a penalty for each language (BIC, with a factor, as neighbouring n-grams overlap); the
 best set stays, and its largest share names the document.
 
@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.llm.common import fold, steps, utf8
+from vaultspark.llm.tables import merged, packed, unpacked
 
 BITS = 16
 GRAM = 4
-#: Languages beyond this many aren't learned together; the table each worker holds stays under 64 MB.
-MOST_LANGUAGES = 256
 
 _CLASS = np.full(256, 32, np.uint32)
 _CLASS[128:] = np.arange(128, 256)
@@ -65,44 +64,49 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 for name, row in zip(names, got, strict=True):
                     found[name] = found[name] + row if name in found else row
         for name, row in found.items():
-            bins = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(bins)), pa.array(bins, pa.int32()), pa.array(row[bins], pa.int64())], ["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([packed(row.astype(np.int64))], pa.binary())], ["slice", "payload"])
+
+    def add(payloads: Iterator[bytes]) -> bytes:
+        total = np.zeros(1 << BITS, np.int64)
+        for p in payloads:
+            total += unpacked(p, np.int64)
+        return packed(total)
 
     rows = docs.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    got = rows.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} can be learned together")
-    table = np.zeros((1 << BITS, len(langs)))
-    table[got["bin"].to_numpy(), np.searchsorted(langs, got["lang"])] = got["n"]
-    table += 0.1
-    return langs, np.log(table / table.sum(0)).astype(np.float32)
-
-
-def shares(like: np.ndarray, start: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Language shares by expectation-maximisation from ``start``, and the log-likelihood they give."""
-    share = start
+    parts = merged(rows.mapInArrow(count, "slice string, payload binary"), add, docs.rdd.getNumPartitions())
+    table = {}
+    for row in parts.toLocalIterator():  # one row for each language
+        n = unpacked(row["payload"], np.int64) + 0.1
+        table[row["slice"]] = np.log(n / n.sum()).astype(np.float32)
+    langs = sorted(table)
+    return langs, np.stack([table[x] for x in langs], 1) if langs else np.zeros((1 << BITS, 0), np.float32)
+
+
+def shares(like: np.ndarray, start: np.ndarray, many: np.ndarray | None = None, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Language shares by expectation-maximisation from ``start``, and the log-likelihood they give. ``many``: how often each row counts, if not once."""
+    many = np.ones(len(like), like.dtype) if many is None else many.astype(like.dtype)
+    share, total = start, many.sum()
     for _ in range(rounds):
-        new = share * (like.T @ (1 / np.maximum(like @ share, 1e-30))) / len(like)
+        new = share * (like.T @ (many / np.maximum(like @ share, 1e-30))) / total
         new /= new.sum()
         near = np.abs(new - share).max() < 1e-3
         share = new
         if near:
             break
-    return share, float(np.log(np.maximum(like @ share, 1e-30)).sum())
+    return share, float(many @ np.log(np.maximum(like @ share, 1e-30)))
 
 
-def mixture(like: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+def mixture(like: np.ndarray, penalty: float, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the chosen languages, the largest share first, and their shares. ``like``: n-grams by languages, the best of each row 1."""
-    n, k = like.shape
-    share, _ = shares(like, np.full(k, 1 / k, like.dtype))
+    k = like.shape[1]
+    n = len(like) if many is None else int(many.sum())
+    share, _ = shares(like, np.full(k, 1 / k, like.dtype), many)
     order = np.argsort(-share, kind="stable")
     best, chosen = -np.inf, None
     for m in range(1, k + 1):
-        if m > 1 and share[order[m - 1]] < 0.02:
-            break
         own = like[:, order[:m]]
-        got, total = shares(own, share[order[:m]] / share[order[:m]].sum())
+        start = np.maximum(share[order[:m]], 1e-6)
+        got, total = shares(own, start / start.sum(), many)
         total -= 0.5 * penalty * m * np.log(max(n, 2))
         if total <= best:
             break
@@ -112,29 +116,33 @@ def mixture(like: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     return index[by], got[by]
 
 
+def named(texts: pa.Array, langs: list[str], table: np.ndarray, penalty: float) -> list[tuple[str, float, str]]:
+    """Language, its share and the shares of all chosen languages (JSON) of each text."""
+    bins, at = grams(texts)
+    lettered = pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}").to_pylist()
+    out = []
+    for k in range(len(texts)):
+        own = bins[at[k] : at[k + 1] - GRAM + 1]
+        own, many = np.unique(own[own >= 0], return_counts=True)
+        if not (langs and lettered[k]) or not len(own):
+            out.append(("und", 0.0, "{}"))
+            continue
+        like = table[own]
+        like = np.exp(like - like.max(1, keepdims=True))
+        index, got = mixture(like, penalty, many)
+        out.append((langs[index[0]], float(min(1.0, got[0])), json.dumps({langs[i]: round(float(g), 4) for i, g in zip(index, got, strict=True)})))
+    return out
+
+
 def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 8.0) -> DataFrame:
     """doc_id, held_out, lang_pred, score (its share) and shares (JSON of the chosen languages) of each document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
         for batch in batches:
             for part in steps(batch, "text"):
-                texts = part.column("text")
-                bins, at = grams(texts)
-                lettered = pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}").to_pylist()
-                out = []
-                for k in range(part.num_rows):
-                    own = bins[at[k] : at[k + 1] - GRAM + 1]
-                    own = own[own >= 0]
-                    if not (langs and lettered[k]) or not len(own):
-                        out.append(("und", 0.0, "{}"))
-                        continue
-                    like = table[own]
-                    like = np.exp(like - like.max(1, keepdims=True))
-                    index, got = mixture(like, penalty)
-                    out.append((langs[index[0]], float(min(1.0, got[0])), json.dumps({langs[i]: round(float(g), 4) for i, g in zip(index, got, strict=True)})))
+                out = named(part.column("text"), langs, table, penalty)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string())))],
                     ["doc_id", "held_out", "lang_pred", "score", "shares"],
@@ -147,3 +155,16 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the labelled documents that aren't held out, then predict all."""
     return detect(docs, learn(docs))
+
+
+def known(docs: DataFrame, penalty: float = 8.0) -> DataFrame:
+    """The rows of ``docs`` whose own text is in a learned language."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, table = shared.value
+        for batch in batches:
+            for part in steps(batch, "text"):
+                yield part.filter(pa.array([x[0] != "und" for x in named(part.column("text"), langs, table, penalty)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -31,5 +31,6 @@ def merged(parts: DataFrame, combine: Callable[[Iterator[bytes]], bytes], tasks:
     out = parts.select("slice", F.spark_partition_id().alias("part"), "payload")
     while tasks > 1:
         tasks = -(-tasks // FAN_IN)
-        out = out.withColumn("part", F.expr(f"cast(pmod(part, {tasks}) as int)")).groupBy("slice", "part").applyInPandas(merge, "slice int, part int, payload binary")
+        kind = out.schema["slice"].dataType.simpleString()
+        out = out.withColumn("part", F.expr(f"cast(pmod(part, {tasks}) as int)")).groupBy("slice", "part").applyInPandas(merge, f"slice {kind}, part int, payload binary")
     return out.select("slice", "payload")
