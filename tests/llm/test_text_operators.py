@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from public_tokenizers import path
 
@@ -38,6 +39,8 @@ def test_exact_duplicates(spark):
     assert by[6]["group_size"] == 4 and by[None]["keep_id"] == 7 and not by[None]["kept"]
     assert sum(r["kept"] for r in got if r["doc_id"] == 7) == 2  # rows that repeat an id share its decision
     assert exact_dedup.exact_duplicates(messy(spark, [])).count() == 0
+    nameless = {(r["doc_id"], r["text_sha256"][:3]): (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(messy(spark, [(None, "alone"), (None, "b"), (4, "B")])).collect()}
+    assert sorted(nameless.values(), key=str) == [(4, 2, False), (4, 2, True), (None, 1, True)]
 
 
 def families(seed):
@@ -94,6 +97,43 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(got) == len(rows) + 1
 
 
+def test_near_duplicates_in_one_large_group(spark):
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    common = [draw.choice(vocabulary) for _ in range(90)]
+    rows = []
+    for f in range(3):  # three originals that share most of their text, each with many copies of all degrees
+        own = common + [draw.choice(vocabulary) for _ in range(30)]
+        rows.append((10 * len(rows) + 7, " ".join(own)))
+        for _ in range(660):
+            w = list(own)
+            for _ in range(int(draw.random() ** 2 * 12)):
+                w[draw.randrange(len(w))] = draw.choice(vocabulary)
+            rows.append((10 * len(rows) + 7, " ".join(w)))
+    draw.shuffle(rows)
+    runs = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    place = {x: k for k, x in enumerate(sorted(set().union(*runs)))}
+    holds = np.zeros((len(rows), len(place)), np.float32)
+    for k, own in enumerate(runs):
+        holds[k, [place[x] for x in own]] = 1
+    both, size = holds @ holds.T, holds.sum(1)
+    links = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    label, before = np.array([i for i, _ in rows]), None
+    while before is None or (label != before).any():
+        before, label = label, np.array([label[links[k]].min() for k in range(len(rows))])
+    got = jaccard_join.near_duplicates(messy(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(runs[k]), label[k]) for k, (i, _) in enumerate(rows)}
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(messy(spark, [(1, one), (2, two), (3, one[:200]), (4, two[:200])])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard_join.near_duplicates(messy(spark, [])).count() == 0
 
@@ -118,6 +158,8 @@ def test_pieces(spark):
         text = "".join(draw.choice(["the", "and", " ", "  ", "x", ",", "é", "\n", "tion", "😀", "ing"]) for _ in range(draw.randrange(1, 9)))
         ids = list(p.encode(text))
         assert p.decode(ids) == text
+        own = text.replace("x", "▁") + "▁"
+        assert p.decode(p.encode(own)) == own
         bridged = sum(c not in usable for c in text.replace(" ", "▁"))
         score = sum(p.scores[i] for i in ids if i not in p.bytes.values()) + bridged * p.bridge
         assert score == pytest.approx(best("▁" + text.replace(" ", "▁")))
@@ -206,6 +248,57 @@ def test_test_items_by_exact_copies(spark):
         assert got[42] >= 0.75 and all(got[60 + k] == 1.0 for k in range(copies))
 
 
+def naive_align(item, passage):
+    best = [[0] * (len(passage) + 1) for _ in range(len(item) + 1)]
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(passage, 1):
+            best[i][j] = max(0, best[i - 1][j - 1] + (2 if a == b else -1), best[i - 1][j] - 1, best[i][j - 1] - 1)
+    return max(map(max, best)) / (2 * len(item))
+
+
+def test_alignment_against_brute_force():
+    draw = random.Random(6)
+    for _ in range(200):
+        item, passage = ([draw.randrange(5) for _ in range(draw.randrange(1, 14))] for _ in range(2))
+        got, start, stop = decontamination.align(np.array(item, np.uint64), np.array(passage, np.uint64))
+        assert got == naive_align(item, passage) == naive_align(item, passage[start:stop])
+
+
+def test_recall_of_edited_items(spark):
+    """Seeds against a full alignment of each copy, on the items of the benchmark."""
+    draw = random.Random(9)
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = [(r["item_id"], re.findall(r"[^\x00-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]))) for r in bench.collect()]
+    items = [(i, w) for i, w in items if len(w) >= 8]
+    vocabulary = sorted({x for _, w in items for x in w})
+    noise = lambda: [draw.choice(vocabulary) for _ in range(30)]
+    docs, share = [], {}
+    for rate in (0.1, 0.2, 0.3, None):
+        for i, w in draw.sample(items, min(60, len(items))):
+            if rate is None:
+                copy = [x if k % 3 != 2 else draw.choice(vocabulary) for k, x in enumerate(w)]
+            else:
+                copy = []
+                for x in w:
+                    r = draw.random() / rate
+                    copy += [x] if r >= 1 else [draw.choice(vocabulary)] if r < 0.5 else [] if r < 0.75 else [x, draw.choice(vocabulary)]
+            doc = noise() + copy + noise()
+            docs.append((len(docs), " ".join(doc)))
+            share[len(docs) - 1] = (rate, i, naive_align(w, doc))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(messy(spark, docs), bench).collect()}
+    for rate in (0.1, 0.2, 0.3, None):
+        want = [(d, i) for d, (r, i, s) in share.items() if r == rate and s >= 0.5]
+        assert want and sum(x in got for x in want) / len(want) >= 0.97, rate
+
+
+def test_items_of_one_id(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (1, None)], "item_id long, text string")
+    docs = [(1, "x alpha beta gamma delta epsilon zeta y"), (2, "q one two three four five six seven"), (3, "one two three four five six seven alpha beta gamma delta epsilon zeta"), (4, "other words")]
+    got = [(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(messy(spark, docs), bench).collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (3, 1)]
+    assert [r["doc_id"] for r in decontamination.clean(messy(spark, docs), bench).collect()] == [4]
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
@@ -270,3 +363,29 @@ def test_pipeline_against_brute_force(spark):
     assert set(got) == {i for i, _ in rows}
     p = pieces.pieces(MODEL)
     assert all(list(p.encode(t)) == got[i]["piece_ids"] for i, t in rows)
+
+
+def test_pipeline_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    long, near = " ".join(f"word{k % 977} letter{k % 631}" for k in range(30_000)), [f"token{k} plain" for k in range(40)]
+    rows = [
+        (None, None), (1, ""), (2, "123 456"), (2, "the second text of this id is a proper sentence"), (None, "a text without an id stays where it is"), (None, "A text without an id stays where it is"),
+        (5, "the same row twice in the table"), (5, "the same row twice in the table"), (6, long), (7, long.upper()), (8, " ".join(near)), (9, " ".join(near[:-1])), (9, "this row shares its id with a near copy"),
+        (10, "zero one two three four five six seven eight nine"),
+    ]
+    spark.createDataFrame([(7, "one two three four five six seven eight")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, "x", True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row long, count string, there boolean").repartition(3)
+    wants = [
+        {i for i in range(len(rows)) if i not in (0, 1, 2)}, {3, 5, 7, 9, 10, 11, 12, 13}, {3, 5, 7, 9, 11, 12, 13}, {3, 5, 7, 9, 11, 12},
+    ]
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], wants, strict=True):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got = sorted((r["doc_id"] or 0, r["text"].lower()) for r in docs.collect())
+        assert got == sorted((rows[i][0] or 0, rows[i][1].lower()) for i in want), name
+        assert len(docs.columns) == 8
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert coded.count() == 6 and all(r["decoded_ok"] for r in coded.collect())
