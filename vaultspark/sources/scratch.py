@@ -25,8 +25,8 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _remember(path: str, table: str | None, outlives: bool) -> None:
-    """Note a table with the innermost scope, or with the one around it."""
+def _remember(path: str, table: str | None, outlives: int) -> None:
+    """Note a table with the innermost scope, or with one around it."""
     scopes = getattr(_state, "scopes", [])
     at = len(scopes) - 1 - outlives
     if at >= 0:
@@ -56,8 +56,8 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
-    """``df`` as a table: later reads neither repeat its work nor depend on the executors that did it."""
+def written(df: DataFrame, name: str, outlives: int = 0) -> DataFrame:
+    """``df`` as a table: later reads neither repeat its work nor depend on the executors that did it. It outlives so many scopes."""
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _remember(path, None, outlives)
     df.write.parquet(path)
@@ -68,6 +68,6 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """``df`` as a table in buckets of ``key``: joins on ``key`` don't move its rows again. Deal ``df`` by ``key`` first, or each task writes a file for each bucket."""
     spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{root(spark)}/{own}"
-    _remember(path, own, False)
+    _remember(path, own, 0)
     df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(own)
     return spark.table(own)
