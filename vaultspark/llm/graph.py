@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, outlives: int = 0) -> DataFrame:
     """node and label (the least node it reaches) of every node of ``edges`` (u, v), written, by alternating stars.
 
     The number of rounds grows with the logarithm of the longest chain; each round's edges are written.
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
                 break
             mark = now
         labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
-        return written(labels, "labels", outlives=True)
+        return written(labels, "labels", 1 + outlives)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -19,7 +19,7 @@ What is asked for are the classes of linked documents, so no group of copies is
    adds shingles of its own, so that a group's strays aren't held against all its members: this grows with the group, not
    with its square.
 4. Shingles whose documents are in different classes, with different pivots, go through 2 and 3 again, ``ROUNDS`` times, and on
-   while they would form more than ``CROWD`` pairs a posting, up to ``MOST_ROUNDS`` times. Then the candidate pairs of documents
+   while they would form more than ``CROWD`` pairs a posting and a round takes a fifth of these away, up to ``MOST_ROUNDS`` times. Then the candidate pairs of documents
    that never had one pivot, and are of different classes, are formed and verified. With step 3 this makes the result
    exact: no link between classes is missed, however many rounds there were.
 
@@ -321,7 +321,7 @@ def _regrouped(found: DataFrame, labels: DataFrame, held: DataFrame, pivot: str)
     told = ["class", *[c for c in found.columns if c.startswith("pivot")]]
     tokens = found.groupBy("token").agg(*[f(c).alias(f"{x}_{c}") for c in told for f, x in ((F.min, "low"), (F.max, "high"))])
     tokens = tokens.where(" and ".join(f"low_{c} != high_{c}" for c in told)).select("token")
-    return written(found.join(written(tokens, "mixed"), "token"), "shared")
+    return written(found.join(written(tokens, "mixed"), "token"), "shared", 1)
 
 
 def _pivots(found: DataFrame) -> DataFrame:
@@ -351,11 +351,14 @@ def _by_differences(held: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _crowded(found: DataFrame) -> bool:
-    """Whether the shingles of ``found`` would form more than CROWD pairs a posting."""
-    size = found.groupBy("token").count()
-    pairs, rows = size.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.sum("count")).first()
-    return bool(rows) and pairs > CROWD * rows
+def _pairs(found: DataFrame, pivots: list[str]) -> tuple[float, int]:
+    """(pairs that the shingles of ``found`` would form at most, postings): of one shingle, those with different pivots in the round that leaves the fewest."""
+    least = None
+    for pivot in pivots:
+        size = found.groupBy("token", pivot).count().groupBy("token").agg(F.sum("count").alias("n"), ((F.sum("count") ** 2 - F.sum(F.col("count") ** 2)) / 2).alias("pairs"))
+        least = size if least is None else least.unionByName(size)
+    pairs, rows = least.groupBy("token").agg(F.min("pairs").alias("pairs"), F.first("n").alias("n")).agg(F.sum("pairs"), F.sum("n")).first()
+    return pairs or 0.0, rows or 0
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -363,7 +366,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scope(spark):
-        about = written(describe(docs), "about", outlives=True)
+        about = written(describe(docs), "about", 1)
         known = about.where("doc_id is not null and n > 0")
         groups = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")), "groups")
         same = known.select("s1", "s2", F.col("doc_id").alias("u")).join(groups.where("v != top"), ["s1", "s2"]).where("u != v").select("u", "v")
@@ -377,22 +380,23 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = written(found.join(written(tokens.select("token"), "tokens"), "token").withColumn("class", F.col("doc_id")), "shared")
         texts.map(written(found.select("doc_id").distinct(), "ids"))
 
-        edges, labels, pivots = None, None, []
-        while len(pivots) < ROUNDS or len(pivots) < MOST_ROUNDS and _crowded(found):
+        edges, labels, pivots, before, now, rows = None, None, [], np.inf, np.inf, 0
+        while len(pivots) < ROUNDS or (len(pivots) < MOST_ROUNDS and now > CROWD * rows and now < 0.8 * before):
             pivots.append(f"pivot{len(pivots)}")
-            held = written(compared(_pivots(found), texts, counts), "compared")
-            near = verified(_by_differences(held, labels), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
-            new = held.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(near)
-            edges = written(new if edges is None else edges.unionByName(new), "links")
-            labels = components(edges)
-            found = _regrouped(found, labels, held, pivots[-1])
+            with scope(spark):
+                held = written(compared(_pivots(found), texts, counts), "compared")
+                near = verified(_by_differences(held, labels), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
+                new = held.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(near)
+                edges = written(new if edges is None else edges.unionByName(new), "links", 1)
+                labels = components(edges, 1)
+                found = _regrouped(found, labels, held, pivots[-1])
+            before, (now, rows) = now, _pairs(found, pivots)
 
         a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in pivots]) for x in "ab")
         apart = " and ".join(["a < b", "c_a != c_b", NEAR, *[f"{p}_a != {p}_b" for p in pivots]])
         pairs = a.join(b, "token").where(apart).groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.least("l_a", "l_b")).alias("least"))
         new = verified(pairs.where("m >= least"), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = components(written(edges.unionByName(new).unionByName(same), "links"))
-        labels = written(labels, "labels", outlives=True)
+        labels = components(written(edges.unionByName(new).unionByName(same), "links"), 1)
         counts.destroy()
         return about, labels
 
