@@ -2,13 +2,13 @@
 
 Pairs of a document labelled 1 and one labelled 0 are preferences. The strength of a document is linear in its
 features, and the weights minimise the logistic loss on feature differences. The cut between good
-and poor is a quantile of the strengths of labelled documents that the weights haven't seen: the share of
+and poor is a quantile of the strengths of all labelled documents that aren't held out: the share of
 label 0 among them. A logistic curve through the cut, where it gives 0.7, turns strengths into scores.
 
 Features are the shares of three neighbouring character classes and some rates over words; they come from
 bytes alone, so that script and language matter little.
 
-Learning reads a sample of at most about ``bound`` labelled documents that aren't held out. Defined results: a null or
+The weights are learned on a sample of about ``bound`` labelled documents that aren't held out, the cut on all of them. Defined results: a null or
 empty text gets the score of a text without any characters. If no pair can be formed, every score is 0.5.
 The result's row follows the input's row, repeated rows included; other columns of the input aren't returned.
 """
@@ -100,15 +100,30 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 5000) -> dict | None:
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
     mean, spread = x.mean(0), x.std(0) + 0.02
     x = (x - mean) / spread
-    draw = np.random.default_rng(11).random(len(y))
-    seen = draw < 0.75 if len(set(y[draw < 0.75])) == 2 and (draw >= 0.75).any() else np.ones(len(y), bool)
-    w = rank(x[seen], y[seen])
-    rest = ~seen if not seen.all() else seen
-    strength = x[rest] @ w
-    share = float((y[rest] == 0).mean())
-    low, high = np.quantile(strength, [max(0, share - 0.01), min(1, share + 0.01)])
-    w = rank(x, y) if not seen.all() else w
-    return {"w": (w / spread).astype(np.float32), "shift": float((mean / spread) @ w), "cut": float((low + high) / 2), "scale": float(max(np.std(strength), 1e-6))}
+    w = rank(x, y)
+    model = {"w": (w / spread).astype(np.float32), "shift": float((mean / spread) @ w)}
+    return model | _cut(docs, labels, model)
+
+
+def _cut(docs: DataFrame, labels: DataFrame, model: dict) -> dict:
+    """Cut and scale of strengths, from all labelled documents that aren't held out: one aggregate."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(strengths(part.column("text"), shared.value))], ["quality", "strength"])
+
+    labelled = learned_rows(docs, labels.where("quality in (0, 1)").select("doc_id", "quality"), None, "quality")
+    rows = labelled.selectExpr("cast(quality as int) quality", "text").mapInArrow(run, "quality int, strength double")
+    grid = [k / 1000 for k in range(1001)]
+    got = rows.agg(F.avg(1 - F.col("quality")), F.stddev_pop("strength"), F.percentile_approx("strength", grid, 100_000)).first()
+    low, high = np.interp([max(0, got[0] - 0.01), min(1, got[0] + 0.01)], grid, got[2])
+    return {"cut": float((low + high) / 2), "scale": float(max(got[1], 1e-6))}
+
+
+def strengths(texts: pa.Array, model: dict) -> np.ndarray:
+    return (features(texts) @ model["w"]).astype(float) - model["shift"]
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -122,7 +137,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 if m is None:
                     strength, scores = np.zeros(part.num_rows), np.full(part.num_rows, 0.5)
                 else:
-                    strength = (features(part.column("text")) @ m["w"]).astype(float) - m["shift"]
+                    strength = strengths(part.column("text"), m)
                     scores = sigmoid(2 * (strength - m["cut"]) / m["scale"] + np.log(CUT / (1 - CUT)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= CUT).astype(np.int32)), pa.array(strength, pa.float64())],
