@@ -2,14 +2,15 @@
 
 The chain predicts one category after the other; each model sees how often the document has each word (the logarithm of the count
 and one) and the probabilities of the categories before it. While learning, these probabilities come from models that were
-fitted without the document (out of fold), so that a later model learns how far an earlier one can be trusted.
+fitted without the document (out of fold), so that a later model learns how far an earlier one can be trusted; words and
+terms of a fold are chosen without its documents, too.
 
 Labels hold one mark, ``toxic``. The categories before it are derived from the learning rows alone: the words that
 tell toxic rows from the others best are its terms; ``abusive`` marks toxic rows with a term, ``severe``
 those with at least three different ones.
 
-Words are runs of letters, A-Z lower-cased, hashed to 2^20 bins; the models see the bins that tell the labels
-apart best. Learning reads a sample of at most about ``bound`` labelled documents that aren't held out. Defined
+Words are runs of letters, A-Z lower-cased, hashed to 2^20 bins; the models see the ``width`` bins at most that tell the labels
+apart best, by a two-sample z of ``least`` or more: fewer would be chance, among so many words. Learning reads a sample of at most about ``bound`` labelled documents that aren't held out. Defined
 results: a null or empty text has no word and gets the chain's bias. Without both labels every probability
 is 0. The cut of toxic is where unseen learning rows (out of fold) are told apart with the fewest errors; a tie counts as toxic. The result's row follows the input's row, repeated rows included;
 other columns of the input aren't returned.
@@ -64,7 +65,50 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 200) -> tu
     return w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 1024, folds: int = 3) -> dict | None:
+def pick(found: np.ndarray, of: np.ndarray, y: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that tell the rows' labels apart best, and which of them are terms. ``found``: each row's bins, once each."""
+    n1, n0 = max(1, y.sum()), max(1, len(y) - y.sum())
+    mark = np.repeat(y, np.diff(of))
+    a = np.bincount(found[mark == 1], minlength=1 << BITS)
+    b = np.bincount(found[mark == 0], minlength=1 << BITS)
+    p, q, all_ = a / n1, b / n0, (a + b) / len(y)
+    apart = np.where(a + b >= 3, (p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-9) * (1 / n1 + 1 / n0)), 0)
+    chosen = np.argsort(-np.abs(apart), kind="stable")[:width]
+    chosen = chosen[np.abs(apart[chosen]) >= least]
+    return chosen, (apart[chosen] > 8) & (p[chosen] > 5 * q[chosen])
+
+
+class View:
+    """Features of all rows, and the chain's targets, by the words that some rows choose."""
+
+    def __init__(self, found: np.ndarray, of: np.ndarray, many: np.ndarray, y: np.ndarray, rows: np.ndarray, width: int, least: float) -> None:
+        own = np.repeat(rows, np.diff(of))
+        self.chosen, terms = pick(found[own], np.append(0, np.cumsum(np.diff(of)[rows])), y[rows], width, least)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[self.chosen] = np.arange(len(self.chosen))
+        self.x = counted(found, of, place, len(self.chosen), many)
+        hits = (self.x[:, terms] > 0).sum(1) if terms.any() else np.zeros(len(y))
+        self.target = {"abusive": y * (hits >= 1.0), "severe": y * (hits >= 3.0), "toxic": y.astype(float)}
+
+
+def fit_chain(found: np.ndarray, of: np.ndarray, many: np.ndarray, y: np.ndarray, part: np.ndarray, width: int, least: float) -> tuple[View, dict, np.ndarray]:
+    """The view and models of all rows, and each row's probabilities by models, words and terms that didn't see its ``part``."""
+    everything = np.ones(len(y), bool)
+    whole = View(found, of, many, y, everything, width, least)
+    folds = [(part == k, View(found, of, many, y, part != k, width, least)) for k in np.unique(part)] if len(np.unique(part)) > 1 else []
+    models, unseen = {}, np.zeros((len(y), 0), np.float32)
+    for name in CHAIN:
+        out = np.zeros(len(y), np.float32)
+        for own, view in folds:
+            seen = np.hstack([view.x, unseen])
+            w, bias = fit(seen[~own], view.target[name][~own])
+            out[own] = sigmoid(seen[own] @ w + bias)
+        models[name] = fit(np.hstack([whole.x, unseen]), whole.target[name])
+        unseen = np.hstack([unseen, out[:, None]])
+    return whole, models, unseen
+
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 1024, least: float = 5.0, folds: int = 3) -> dict | None:
     """The chain's models from a bounded sample of labelled documents; None without both labels."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,33 +129,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 6000, width: int = 10
     of = np.append(0, np.cumsum([len(r) for r in rows]))
     found = np.concatenate([*rows, np.zeros(0, np.int32)])
     many = np.concatenate([*(np.frombuffer(b, np.int32) for b in got["many"]), np.zeros(0, np.int32)])
-    mark = np.repeat(y, np.diff(of))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    a = np.bincount(found[mark == 1], minlength=1 << BITS)
-    b = np.bincount(found[mark == 0], minlength=1 << BITS)
-    p, q, all_ = a / n1, b / n0, (a + b) / len(y)
-    apart = np.where(a + b >= 3, (p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-9) * (1 / n1 + 1 / n0)), 0)
-    chosen = np.argsort(-np.abs(apart), kind="stable")[:width]
-    chosen = chosen[np.abs(apart[chosen]) >= 5]  # fewer would be chance, among so many words
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    x = counted(found, of, place, len(chosen), many)
-    terms = (apart[chosen] > 8) & (p[chosen] > 5 * q[chosen])
-    hits = (x[:, terms] > 0).sum(1) if terms.any() else np.zeros(len(y))
-    target = {"abusive": y * (hits >= 1), "severe": y * (hits >= 3), "toxic": y}
     part = np.random.default_rng(5).integers(0, folds, len(y))
-    models, unseen = {}, np.zeros((len(y), 0), np.float32)
-    for name in CHAIN:
-        t = target[name].astype(float)
-        seen = np.hstack([x, unseen])
-        out = np.zeros(len(y), np.float32)
-        for k in range(folds):
-            if (part == k).any() and (part != k).any():
-                w, bias = fit(seen[part != k], t[part != k])
-                out[part == k] = sigmoid(seen[part == k] @ w + bias)
-        models[name] = fit(seen, t)
-        unseen = np.hstack([unseen, out[:, None]])
-    return {"chosen": chosen, "models": models, "threshold": _threshold(out, y)}
+    view, models, unseen = fit_chain(found, of, many, y, part, width, least)
+    return {"chosen": view.chosen, "models": models, "threshold": _threshold(unseen[:, -1], y)}
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
