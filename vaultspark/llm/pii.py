@@ -1,15 +1,20 @@
 """Personal data: fixed patterns, and what a skip-chain conditional random field adds to them.
 
-The patterns give the base spans. The field labels tokens with a digit or an @ as one of the kinds or as
-other. Neighbouring tokens form the chain; tokens that repeat, or are similar (the same digits or the same letters and
-digits once case and punctuation are left out), are linked over any distance by skip edges, from each occurrence to the next. Base
+The patterns give the base spans. The field labels nodes as one of the kinds or as other: tokens with a digit or an @, where
+neighbouring tokens of digits and signs count as one, and so do those of one base span. Neighbouring nodes form the chain; nodes that
+repeat, or are similar (the same last seven digits, or the same letters and digits once case and punctuation are left out), are linked over
+any distance by skip edges to one of them, which is a base span if there is one: two steps reach all. Base
 spans are observed. Loopy message passing then carries their labels along both kinds of edges, so that an
-entity that the patterns know in one place is found where it is written otherwise. Tokens of a kind with a
+entity that the patterns know in one place is found where it is written otherwise. Nodes of a kind with a
 probability of ``sure`` or more become spans; neighbours of one kind join.
 
-The field is learned piecewise from a sample of about ``bound`` documents, labelled by the base spans: token weights by a
-softmax regression on shapes, chain and skip potentials from how often labels agree. Tokens that match a pattern and fail its check
-are observed as other.
+The field is learned by pseudo-likelihood, weights of nodes and of both kinds of edges together, from a sample of about ``bound``
+documents. Their labels are those of the base spans. Each base span is also written once more below its document, in a form that
+the patterns miss, and labelled as it; next to it stands the same form with other digits or letters, which nothing in the document
+backs, labelled other. So the field learns that a form alone is no evidence, but a form with a twin is. Nodes without a label that
+are similar to a labelled one are left out of learning.
+
+What matches a pattern and fails its check for its value (an address part above 255, a sum of digits) is observed as other.
 
 Defined results: null text is empty and has no span. Offsets count code points. Added spans overlap no base span; the
 counts n_* are those of base spans. Rows that repeat give rows each; other columns of the input aren't returned.
@@ -50,7 +55,7 @@ def luhn(digits: str) -> bool:
 
 
 def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
-    """(kind, start, end) of the patterns, by kind and start, and the places of matches that failed a check."""
+    """(kind, start, end) of the patterns, by kind and start, and the places of matches whose value failed a check."""
     found: list[Span] = []
     failed: list[tuple[int, int]] = []
     end, at = 0, text.find("@")
@@ -70,22 +75,21 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
                 stop = at + sum(map(len, four)) + 3
                 if all(len(p.lstrip("0")) <= 3 and int(p[-9:]) <= 255 for p in four):
                     found.append((1, at, stop))
-                else:
+                elif all(len(p) <= 3 for p in four):
                     failed.append((at, stop))
                 at = stop + 1
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = NOT_DIGIT.sub("", m[0])
-            if 13 <= len(digits) <= 19 and luhn(digits):
-                found.append((2, *m.span()))
-            else:
-                failed.append(m.span())
+            if 13 <= len(digits) <= 19:
+                if luhn(digits):
+                    found.append((2, *m.span()))
+                else:
+                    failed.append(m.span())
     if "+" in text:
         for m in PHONE.finditer(text):
             if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
                 found.append((3, *m.span()))
-            else:
-                failed.append(m.span())
     return found, failed
 
 
@@ -107,45 +111,58 @@ WIDTHS = (7, 5, 3, 4, 3, 3, 5)
 OFFSETS = np.append(0, np.cumsum(WIDTHS))
 
 
+#: Tokens that join with the one before them.
+NUMERIC = re.compile(r"[+(]*[0-9][0-9().+/-]*\Z")
+
+
 def key(token: str) -> str:
-    """Tokens with the same key are similar: their digits if there are seven or more, else their letters and digits."""
+    """Nodes with the same key are similar: their last seven digits, else their letters and digits."""
     digits = NOT_DIGIT.sub("", token)
-    return digits if len(digits) >= 7 and "@" not in token else "".join(c for c in token.lower() if c.isalnum())
+    return digits[-7:] if len(digits) >= 7 and "@" not in token else "".join(c for c in token.lower() if c.isalnum())
 
 
 class Tokens:
-    """The candidate tokens of a text: spans, shapes, observed labels (-1: open) and edges."""
+    """The nodes of a text: spans, shapes, observed labels (-1: open) and edges."""
 
     def __init__(self, text: str, found: list[Span], failed: list[tuple[int, int]]) -> None:
-        self.spans, self.shapes, keys = [], [], []
-        previous, before = -2, ""
-        self.near = []
+        bases = sorted((a, b) for _, a, b in found)
+        self.spans: list[tuple[int, int]] = []
+        self.near: list[bool] = []
+        last, whole, joins, at = -2, False, False, 0
         for m in TOKEN.finditer(text):
             start, end = m.span()
-            while end > start and text[end - 1] in ".,;:!?|)]}\"'":
+            while end > start and (text[end - 1] in ".,;:!?|]}\"'" or (text[end - 1] == ")" and "(" not in m[0])):
                 end -= 1
-            near = start - previous <= 1
-            before = before if near else ""
-            token = text[start:end]
-            self.near.append(near)
-            self.spans.append((start, end))
-            self.shapes.append(shape(token, before))
-            keys.append(key(token))
-            previous, before = m.end(), token
+            if end == start:
+                continue
+            while at < len(bases) and bases[at][1] <= start:
+                at += 1
+            inside = at < len(bases) and bases[at][0] < end
+            same = inside and self.spans and bases[at][0] < self.spans[-1][1]
+            near = start - last <= 1
+            numeric = NUMERIC.match(text[start:end]) is not None
+            if same or (near and whole and joins and numeric and not inside):
+                self.spans[-1] = (self.spans[-1][0], end)
+            else:
+                self.spans.append((start, end))
+                self.near.append(near)
+            last, whole, joins = m.end(), end == m.end(), numeric and not inside
         n = len(self.spans)
+        parts = [text[a:b] for a, b in self.spans]
+        self.shapes = [shape(t, parts[i - 1] if i and self.near[i] else "") for i, t in enumerate(parts)]
+        self.keys = [key(t) for t in parts]
         self.label = np.full(n, -1)
-        starts = np.array([s for s, _ in self.spans])
-        ends = np.array([e for _, e in self.spans])
+        starts, ends = np.array([s for s, _ in self.spans]), np.array([e for _, e in self.spans])
         for kind, places in ((OTHER, failed), *((k, [(a, b) for x, a, b in found if x == k]) for k in range(OTHER))):
             for a, b in places:
                 self.label[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = kind
         self.chain = [(i - 1, i) for i in range(1, n) if self.near[i]]
-        last: dict[str, int] = {}
-        self.skip = []
-        for i, k in enumerate(keys):
-            if k in last and (i - 1, i) not in self.chain[-1:]:
-                self.skip.append((last[k], i))
-            last[k] = i
+        self.hub: dict[str, int] = {}
+        for i, k in enumerate(self.keys):
+            if k and (k not in self.hub or (0 <= self.label[i] < OTHER and not 0 <= self.label[self.hub[k]] < OTHER)):
+                self.hub[k] = i
+        chained = {*self.chain, *((j, i) for i, j in self.chain)}
+        self.skip = [(self.hub[k], i) for i, k in enumerate(self.keys) if k and self.hub[k] != i and (self.hub[k], i) not in chained]
 
 
 def _code(shape_: tuple[int, ...]) -> int:
@@ -165,50 +182,108 @@ def _rows(codes: np.ndarray) -> np.ndarray:
     return x
 
 
+def altered(text: str, kind: int, draw: int, other: bool = False) -> str:
+    """A span in one of the forms that the patterns miss; with ``other``, with other digits or letters."""
+    if kind == 0:
+        name, _, host = text.rpartition("@")
+        name = "".join(chr(97 + (ord(c) - 84) % 26) if "a" <= c <= "z" else c for c in name) + "q" if other else name
+        return (f"{name}[@]{host}", f"{name}(@){host}", f"<{name}>@<{host}>")[draw % 3]
+    if other:
+        text = re.sub("[0-9]", lambda m: str((3 * int(m[0]) + 1) % 10), text)
+    if kind == 1:
+        return text.replace(".", ("-", "[.]", ":")[draw % 3])
+    d = NOT_DIGIT.sub("", text)
+    if kind == 2:
+        return (".", "/", "--")[draw % 3].join(d[k : k + 4] for k in range(0, len(d), 4))
+    a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+    return (f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{b}-{c}", f"{a}/{b}{c}")[draw % 5]
+
+
+def examples(text: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """For each labelled node of a text and of its base spans' other forms: shape code, labels of the node before, of the node after and of a similar one (-1: none known), and its own."""
+    found, failed = base_spans(text)
+    extra, truth = text, []
+    for k, (kind, a, b) in enumerate(found):
+        for other in (False, True):
+            form = altered(text[a:b], kind, a + k, other)
+            truth.append((OTHER if other else kind, len(extra) + 5, len(extra) + 5 + len(form)))
+            extra += f"\nalso {form} ."
+    if truth:
+        found, failed = base_spans(extra)
+    t = Tokens(extra, found, failed)
+    label = t.label.copy()
+    starts, ends = np.array([s for s, _ in t.spans]), np.array([e for _, e in t.spans])
+    for kind, a, b in truth:
+        at = slice(np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b))
+        label[at] = np.where(label[at] < 0, kind, label[at])
+    labelled = {t.keys[i] for i in np.flatnonzero((label >= 0) & (label < OTHER))}
+    for i in np.flatnonzero(label < 0):
+        if t.keys[i] not in labelled:
+            label[i] = OTHER
+    before, after, twin = (np.full(len(label), -1) for _ in range(3))
+    for i, j in t.chain:
+        before[j], after[i] = label[i], label[j]
+    for i, j in t.skip:
+        twin[j] = label[i]
+        if twin[i] < 0:
+            twin[i] = label[j]
+    for i in np.flatnonzero(label >= 0):
+        yield _code(t.shapes[i]), int(before[i]), int(after[i]), int(twin[i]), int(label[i])
+
+
+def fit(codes: np.ndarray, before: np.ndarray, after: np.ndarray, twin: np.ndarray, y: np.ndarray, many: np.ndarray, l2: float = 1e-6, rounds: int = 2000) -> dict:
+    """Potentials of nodes, chain and skip edges that make the pseudo-likelihood of labelled nodes largest, by Adam."""
+    x, share = _rows(codes), many / many.sum()
+    w = {"token": np.zeros((OFFSETS[-1], OTHER + 1)), "chain": np.zeros((OTHER + 1, OTHER + 1)), "skip": np.zeros((OTHER + 1, OTHER + 1))}
+    m, v = ({k: np.zeros_like(t) for k, t in w.items()} for _ in range(2))
+    known = [np.flatnonzero(z >= 0) for z in (before, after, twin)]
+    for step in range(1, rounds + 1):
+        z = x @ w["token"]
+        z[known[0]] += w["chain"][before[known[0]]]
+        z[known[1]] += w["chain"][:, after[known[1]]].T
+        z[known[2]] += w["skip"][twin[known[2]]]
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p *= share[:, None]
+        g = {k: l2 * t for k, t in w.items()}
+        g["token"] += x.T @ p
+        np.add.at(g["chain"], before[known[0]], p[known[0]])
+        back = np.zeros_like(w["chain"])
+        np.add.at(back, after[known[1]], p[known[1]])
+        g["chain"] += back.T
+        near = np.zeros_like(w["skip"])
+        np.add.at(near, twin[known[2]], p[known[2]])
+        g["skip"] += (near + near.T) / 2
+        for k, t in w.items():
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
+            t -= 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
 def learn(docs: DataFrame, bound: int = 20_000) -> dict:
-    """The field's potentials from about ``bound`` documents; what reaches the driver are counts of shapes and label pairs."""
+    """The field's potentials from about ``bound`` documents; what reaches the driver are counts of shapes and labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[tuple[int, int, int], int] = {}
+        count: dict[tuple[int, ...], int] = {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                t = Tokens(text, *base_spans(text))
-                label = np.where(t.label < 0, OTHER, t.label).tolist()
-                seen = [(0, _code(s), y) for s, y in zip(t.shapes, label, strict=True)]
-                seen += [(1, label[i], label[j]) for i, j in t.chain] + [(2, label[i], label[j]) for i, j in t.skip]
-                for x in seen:
+                for x in examples(text):
                     count[x] = count.get(x, 0) + 1
-        yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in count], pa.int64()) for i in range(3)), pa.array(count.values(), pa.int64())], ["what", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in count], pa.int64()) for i in range(5)), pa.array(count.values(), pa.int64())], ["code", "before", "after", "twin", "y", "n"])
 
     there = max(1, docs.count())
     part = F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1 << 30)) < int(min(1.0, bound / there) * (1 << 30))
-    got = docs.where(part & F.col("text").isNotNull()).select("text").mapInArrow(run, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).toPandas()
-    pair = {}
-    for what in (1, 2):
-        table = np.ones((OTHER + 1, OTHER + 1))
-        for a, b, n in got[got["what"] == what][["a", "b", "n"]].to_numpy():
-            table[a, b] += n
-        table = (table + table.T) / 2 if what == 2 else table
-        pair[what] = np.log(table * table.sum() / np.outer(table.sum(1), table.sum(0))).clip(-4, 4)
-    tokens = got[got["what"] == 0].sort_values(["a", "b"])
-    w = np.zeros((OFFSETS[-1], OTHER + 1))
-    if len(tokens):
-        x, y = _rows(tokens["a"].to_numpy()), tokens["b"].to_numpy()
-        weight = tokens["n"].to_numpy(float) / tokens["n"].sum()
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        for k in range(1, 301):
-            z = x @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            g = x.T @ (p * weight[:, None]) + 1e-4 * w
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    return {"token": w, "chain": pair[1], "skip": pair[2]}
-
-
-def marginals(t: Tokens, model: dict, rounds: int = 12) -> np.ndarray:
-    """Label probabilities of each token, by loopy message passing with damping."""
+    rows = docs.where(part & F.col("text").isNotNull()).select("text").mapInArrow(run, "code long, before long, after long, twin long, y long, n long")
+    got = rows.groupBy("code", "before", "after", "twin", "y").agg(F.sum("n").alias("n")).toPandas().sort_values(["code", "before", "after", "twin", "y"])
+    if not len(got):
+        return {"token": np.zeros((OFFSETS[-1], OTHER + 1)), "chain": np.zeros((OTHER + 1, OTHER + 1)), "skip": np.zeros((OTHER + 1, OTHER + 1))}
+    return fit(*(got[c].to_numpy() for c in ("code", "before", "after", "twin", "y", "n")))
+
+
+def marginals(t: Tokens, model: dict, rounds: int = 500) -> np.ndarray:
+    """Label probabilities of each node, by loopy message passing with damping, until messages stay (or after as many rounds as there are nodes and 20, or ``rounds``)."""
     node = _rows(np.array([_code(s) for s in t.shapes])) @ model["token"]
     node -= node.max(1, keepdims=True)
     known = np.flatnonzero(t.label >= 0)
@@ -222,7 +297,7 @@ def marginals(t: Tokens, model: dict, rounds: int = 12) -> np.ndarray:
     table = np.concatenate([table, table.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(source), OTHER + 1))
-    for _ in range(rounds if len(edges) else 0):
+    for _ in range(min(rounds, 20 + len(node)) if len(edges) else 0):
         belief = node.copy()
         np.add.at(belief, target, message)
         out = belief[source] - message[back]
