@@ -4,7 +4,9 @@ One filter holds the line keys seen in a document, the other those seen in a sec
 their rows; merging takes a key that two tasks have seen once as seen twice, by the bits that their first filters
 share. Bits are only ever set, so a key in two documents is always in the merged second filter. Only lines in
 it, the suspects, are shuffled: their keys are compared as text, and the least document of each repeated key keeps its lines.
-The filters have a fixed size, whatever the input; if they fill up, more lines are suspects, and results stay exact.
+The filters are sized by the number of lines, ``PER_LINE`` bits for each; what workers hold of them is at most ``MOST_BITS`` bits. Inputs
+with more lines than that serves count the 64-bit hashes themselves in place of filters: summed before they are dealt, by hash,
+they name the suspects just as well, and each document is given its own. Either way results are exact.
 
 Defined results: a null or empty text is one empty line. A key with fewer than ``least`` code points is never dropped. If
 all lines are dropped the kept text is empty. Rows that share a doc_id are one document when holders of a key are
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from vaultspark.llm.common import LOWER, UPPER, mix, span_hashes, steps, utf8, written
 from vaultspark.llm.tables import merged, packed, unpacked
 
-#: Bits of each filter and of one slice of it.
-BITS, SLICE = 1 << 25, 1 << 19
+#: Bits of a filter for each line; of one slice of a filter; of a filter at most, which is 32 MB.
+PER_LINE, SLICE, MOST_BITS = 8, 1 << 19, 1 << 28
 SPACES = " \t\n\v\f\r"
 _FOLD_AZ = str.maketrans(UPPER, LOWER)
 _SOLID = np.ones(256, bool)
@@ -58,45 +60,55 @@ def lines(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h, of, np.stack([first, after])
 
 
-def places(h: np.ndarray) -> np.ndarray:
-    """The two bits of each hash; both lie in the same slice."""
-    slice_ = (h >> np.uint64(40)) % np.uint64(BITS // SLICE)
+def places(h: np.ndarray, size: int) -> np.ndarray:
+    """The two bits of each hash in a filter of ``size`` bits; both lie in the same slice."""
+    slice_ = (h >> np.uint64(32)) % np.uint64(size // SLICE)
     one, two = h % np.uint64(SLICE), mix(h) % np.uint64(SLICE)
     return np.stack([slice_ * np.uint64(SLICE) + one, slice_ * np.uint64(SLICE) + two]).astype(np.int64)
 
 
 def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = places(h)
+    at = places(h, 8 * len(bits))
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
 
 def put(bits: np.ndarray, h: np.ndarray) -> None:
-    at = places(h).ravel()
+    at = places(h, 8 * len(bits)).ravel()
     np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
 
-def seen_twice(docs: DataFrame, least: int) -> np.ndarray:
+def filter_size(docs: DataFrame) -> int:
+    """Bits for all lines of ``docs``: a power of two, one slice at least."""
+    n = docs.agg(F.sum(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))))).first()[0] or 0
+    return max(SLICE, 1 << (PER_LINE * n - 1).bit_length()) if n else SLICE
+
+
+def _each(part: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line hashes that count, and their rows: each hash of a row once, by hash and row."""
+    h, of, _ = lines(part.column("text"), least)
+    owner = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    keep = h != 0
+    h, owner = h[keep], owner[keep]
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[fresh], owner[fresh]
+
+
+def seen_twice(docs: DataFrame, least: int, size: int) -> np.ndarray:
     """The second filter over all of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(BITS // 8, np.uint8), np.zeros(BITS // 8, np.uint8)
+        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
         for batch in batches:
             for part in steps(batch, "text"):
-                h, of, _ = lines(part.column("text"), least)
-                owner = np.repeat(np.arange(len(of) - 1), np.diff(of))
-                keep = h != 0
-                h, owner = h[keep], owner[keep]
-                order = np.lexsort((owner, h))
-                h, owner = h[order], owner[order]
-                fresh = np.ones(len(h), bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                each, count = np.unique(h[fresh], return_counts=True)
+                each, count = np.unique(_each(part, least)[0], return_counts=True)
                 put(twice, each[(count > 1) | has(once, each)])
                 put(once, each)
         if once.any():
-            size = SLICE // 8
-            for k in np.flatnonzero(once.reshape(-1, size).any(1)):
-                at = slice(k * size, (k + 1) * size)
+            for k in np.flatnonzero(once.reshape(-1, SLICE // 8).any(1)):
+                at = slice(k * SLICE // 8, (k + 1) * SLICE // 8)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(np.concatenate([once[at], twice[at]]))], pa.binary())], ["slice", "payload"])
 
     def join(payloads: Iterator[bytes]) -> bytes:
@@ -109,20 +121,39 @@ def seen_twice(docs: DataFrame, least: int) -> np.ndarray:
         return packed(total)
 
     parts = docs.select("text").mapInArrow(run, "slice int, payload binary")
-    out = np.zeros(BITS // 8, np.uint8)
-    for row in merged(parts, join, docs.rdd.getNumPartitions()).collect():  # 8 MB at most
+    out = np.zeros(size // 8, np.uint8)
+    for row in merged(parts, join, docs.rdd.getNumPartitions()).toLocalIterator():  # 32 MB at most
         out[row["slice"] * SLICE // 8 : (row["slice"] + 1) * SLICE // 8] = unpacked(row["payload"], np.uint8)[SLICE // 8 :]
     return out
 
 
+def with_suspects(docs: DataFrame, least: int) -> DataFrame:
+    """``docs`` (doc_id, text) with ``hashes``: those of its lines that another document has as well. For inputs beyond any filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text"):
+                h, owner = _each(part, least)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(h.astype(np.int64))], ["doc_id", "hash"])
+
+    each = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, hash long")
+    twice = each.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("hash")
+    own = each.join(written(twice, "twice"), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    return docs.join(own, "doc_id", "left")
+
+
 def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def without_repeats(docs: DataFrame, least: int = 10) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = 10, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, n_lines (before), n_dropped, kept_sha256 and kept_text (null where it is the input's text) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(seen_twice(docs.where("doc_id is not null"), least))
+    size = filter_size(docs)
+    if size <= most_bits:
+        shared = docs.sparkSession.sparkContext.broadcast(seen_twice(docs.where("doc_id is not null"), least, size))
+    else:
+        shared, docs = docs.sparkSession.sparkContext.broadcast(None), with_suspects(docs, least)
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
@@ -132,7 +163,13 @@ def without_repeats(docs: DataFrame, least: int = 10) -> DataFrame:
                 texts = ["" if t is None else t for t in part.column("text").to_pylist()]
                 ids = part.column("doc_id").to_pylist()
                 h, of, _ = lines(part.column("text"), least)
-                doubt = (h != 0) & has(twice, h)
+                if twice is not None:
+                    doubt = (h != 0) & has(twice, h)
+                else:
+                    doubt = np.zeros(len(h), bool)
+                    for k, own in enumerate(part.column("hashes").to_pylist()):
+                        if own:
+                            doubt[of[k] : of[k + 1]] = np.isin(h[of[k] : of[k + 1]], np.array(own, np.int64).astype(np.uint64))
                 n, sha, kept, found = [], [], [], []
                 for k, text in enumerate(texts):
                     n.append(int(of[k + 1] - of[k]))
