@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -6,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 
@@ -188,6 +190,8 @@ def test_lines_against_sql(spark):
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.without_repeats(messy(spark, rows)).collect()}
     assert got == want
     assert got[20][1] == 2
+    beyond = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.without_repeats(messy(spark, rows), most_bits=0).collect()}
+    assert beyond == want
     assert line_dedup.without_repeats(messy(spark, [])).count() == 0
     assert line_dedup.without_repeats(messy(spark, [*rows, (None, "some line of text")])).where("doc_id is null").first()["n_dropped"] == 0
 
@@ -218,6 +222,59 @@ def test_personal_data(spark):
     assert pii.personal_data(messy(spark, [])).count() == 0
 
 
+def enumerated(t, model):
+    """Label probabilities of each node, from all labellings."""
+    node = pii._rows(np.array([pii._code(s) for s in t.shapes])) @ model["token"]
+    total = np.zeros((len(node), pii.OTHER + 1))
+    for labels in itertools.product(range(pii.OTHER + 1), repeat=len(node)):
+        if any(k >= 0 and k != y for k, y in zip(t.label, labels, strict=True)):
+            continue
+        z = sum(node[i, y] for i, y in enumerate(labels)) + sum(model["chain"][labels[i], labels[j]] for i, j in t.chain) + sum(model["skip"][labels[i], labels[j]] for i, j in t.skip)
+        for i, y in enumerate(labels):
+            total[i, y] += np.exp(z)
+    return total / total.sum(1, keepdims=True)
+
+
+def test_messages_against_enumeration():
+    draw = np.random.default_rng(3)
+    model = {"token": draw.normal(size=(pii.OFFSETS[-1], 5)) / 3, "chain": draw.normal(size=(5, 5)) / 2, "skip": draw.normal(size=(5, 5)) / 2}
+    model["skip"] = (model["skip"] + model["skip"].T) / 2
+    for text, tree in (("a1 b2@c 33", True), ("x 5551234 y 555-1234 z", True), ("q@w.de +1 (222) 333-4444 then 222-333-4444", True), ("a1 b2 c3 d a1 e c3", False), ("7654321 8@z 7654321 9@z 7654-321", False)):
+        t = pii.Tokens(text, *pii.base_spans(text))
+        got, want = pii.marginals(t, model), enumerated(t, model)
+        assert len(t.spans) >= 2 and np.abs(got - want).max() < (1e-3 if tree else 0.1), text
+    for code in range(4):  # a gradient that is 0 at the optimum: probabilities of each class agree with how often it is
+        rows = draw.integers(0, 300, 200), *(draw.integers(-1, 5, 200) for _ in range(3)), draw.integers(0, 5, 200)
+        fitted = pii.fit(*rows, np.ones(200))
+        assert np.abs(fitted["token"]).max() < 30 and np.allclose(fitted["skip"], fitted["skip"].T)
+
+
+def test_entities_in_other_forms(spark):
+    """Spans that only the field's skip edges find: entities once more in forms that the patterns miss, and such forms without a twin."""
+    docs = spark.read.parquet(f"{os.path.dirname(DATA)}/sf0.1/documents.parquet")
+    model = pii.learn(docs.where("doc_id % 2 = 0"))
+    blind = model | {"skip": np.zeros((5, 5))}
+    draw, hits, false, blind_hits, n = random.Random(5), 0, 0, 0, 0
+    for r in docs.where("doc_id % 2 = 1").orderBy("doc_id").limit(2500).collect():
+        text = r["text"] or ""
+        found, _ = pii.base_spans(text)
+        if not found:
+            continue
+        kind, a, b = draw.choice(found)
+        form, noise = pii.altered(text[a:b], kind, draw.randrange(30)), pii.altered(text[a:b], kind, draw.randrange(30), True)
+        new = f"{text}\nOnce more we saw {form} and {noise} there"
+        start = len(text) + 18
+        found, failed = pii.base_spans(new)
+        if any(x[2] > len(text) for x in found):
+            continue
+        got = pii.added(new, found, failed, model, 0.9)
+        n += 1
+        hits += (kind, start, start + len(form)) in got
+        false += len([x for x in got if x[1:] != (start, start + len(form))])
+        blind_hits += len(pii.added(new, found, failed, blind, 0.9))
+    assert n > 50 and hits / n > 0.95 and false / n < 0.02 and blind_hits / n < 0.05, (n, hits, false, blind_hits)
+
+
 def test_test_items(spark):
     draw = random.Random(5)
     w = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
@@ -316,6 +373,90 @@ def test_language(spark):
     assert language_id.identify(messy(spark, [])).count() == 0
 
 
+def test_mixture_against_search():
+    """Shares against a search over all mixtures in steps of a hundredth; sets against all sets."""
+    draw = np.random.default_rng(4)
+    for _ in range(12):
+        table = draw.dirichlet(np.full(40, 0.3), 3).T  # bins by languages
+        truth = draw.dirichlet([0.6, 0.6, 0.6])
+        many = np.bincount(draw.choice(40, 3000, p=table @ truth), minlength=40)
+        like = table / table.max(1, keepdims=True)
+        got, total = language_id.shares(like, np.full(3, 1 / 3), many, rounds=400, settled=1e-7)
+        grid = [np.array([a, b, 100 - a - b]) / 100 for a in range(101) for b in range(101 - a)]
+        score = lambda s: float(many @ np.log(np.maximum(like @ s, 1e-30)))
+        best = max(grid, key=score)
+        assert total >= score(best) - 0.5 and np.abs(got - best).max() < 0.03
+        each, _ = language_id.shares(np.repeat(like, many, axis=0), np.full(3, 1 / 3), rounds=400, settled=1e-7)
+        assert np.allclose(got, each, atol=1e-3)  # a bin counted once with its number, or as often as it occurs
+        index, share = language_id.mixture(like, 8.0, many)
+        price = lambda m: 4.0 * m * np.log(many.sum())
+        sets = {c: language_id.shares(like[:, c], np.full(len(c), 1 / len(c)), many, rounds=400, settled=1e-7)[1] - price(len(c)) for m in (1, 2, 3) for c in itertools.combinations(range(3), m)}
+        assert sets[tuple(sorted(index.tolist()))] >= max(sets.values()) - 2.0 and share.sum() == pytest.approx(1)
+
+
+def test_ranking_against_brute_force():
+    """Weights against plain gradient descent over all pairs; the cut against a count."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(60, 4)).astype(np.float32)
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + draw.normal(size=60) > 0.3).astype(int)
+    apart = (x[y == 1][:, None, :] - x[y == 0][None, :, :]).reshape(-1, 4).astype(float)
+    w = np.zeros(4)
+    for _ in range(4000):
+        w -= 0.5 * (-(apart * (1 / (1 + np.exp(apart @ w)))[:, None]).mean(0) + 1e-3 * w)
+    got = quality.rank(x, y, rounds=600)
+    assert got @ w / np.linalg.norm(got) / np.linalg.norm(w) > 0.995
+    loss = lambda v: np.log1p(np.exp(-apart @ v)).mean() + 5e-4 * v @ v
+    assert loss(got) < loss(w) + 0.01
+
+
+def test_chain_against_brute_force():
+    """Out-of-fold probabilities and models against the same made row by row, each fold without its rows."""
+    draw = np.random.default_rng(6)
+    y = (draw.random(240) < 0.4).astype(int)
+    texts = []
+    for mark in y:
+        words = [f"plain{k}" for k in draw.integers(0, 40, 20)] + [f"bad{k}" for k in draw.integers(0, 6, draw.integers(1, 5) * mark)]
+        texts.append(" ".join(w.translate(str.maketrans("0123456789", "abcdefghij")) for w in words))
+    found, of = toxicity.bins(pa.array(texts))
+    each = [np.unique(found[of[k] : of[k + 1]], return_counts=True) for k in range(len(y))]
+    flat, many = (np.concatenate([e[i] for e in each]) for i in (0, 1))
+    of = np.append(0, np.cumsum([len(e[0]) for e in each]))
+    part = draw.integers(0, 3, len(y))
+    view, models, unseen = toxicity.fit_chain(flat, of, many, y, part, 64, 5.0)
+
+    def chosen(rows):
+        scores = {}
+        for b in set(flat.tolist()):
+            one, no = (sum(b in each[k][0] for k in rows if y[k] == m) for m in (1, 0))
+            n1, n0 = sum(y[rows]), len(rows) - sum(y[rows])
+            p = (one + no) / len(rows)
+            z = (one / n1 - no / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+            if one + no >= 3 and abs(z) >= 5:
+                scores[b] = (z, z > 8 and one / n1 > 5 * no / n0)
+        return scores
+
+    def matrix(names):
+        return np.array([[np.log1p(dict(zip(*map(np.ndarray.tolist, each[k]), strict=True)).get(b, 0)) for b in names] for k in range(len(y))])
+
+    want = np.zeros((len(y), 3))
+    for j in range(3):
+        for fold in range(3):
+            rows = np.flatnonzero(part != fold)
+            scores = chosen(rows)
+            names = sorted(scores)
+            x = matrix(names)
+            hits = (x[:, [scores[b][1] for b in names]] > 0).sum(1)
+            target = [y * (hits >= 1), y * (hits >= 3), y][j].astype(float)
+            full = np.hstack([x, want[:, :j]])
+            w, bias = toxicity.fit(full[rows], target[rows])
+            out = part == fold
+            want[out, j] = 1 / (1 + np.exp(-(full[out] @ w + bias)))
+    assert set(view.chosen.tolist()) == set(chosen(np.arange(len(y)))) and list(models) == list(toxicity.CHAIN)
+    assert np.abs(unseen - want).max() < 1e-3
+    errors = [int(((unseen[:, -1] >= c) != y).sum()) for c in np.linspace(0, 1, 2001)]
+    assert int(((unseen[:, -1] >= toxicity._threshold(unseen[:, -1], y)) != y).sum()) == min(errors)
+
+
 @pytest.mark.parametrize(("module", "column"), [(quality, "quality"), (toxicity, "toxic")])
 def test_learned_scores(spark, module, column):
     docs, marks = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))

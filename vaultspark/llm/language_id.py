@@ -82,14 +82,14 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.stack([table[x] for x in langs], 1) if langs else np.zeros((1 << BITS, 0), np.float32)
 
 
-def shares(like: np.ndarray, start: np.ndarray, many: np.ndarray | None = None, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Language shares by expectation-maximisation from ``start``, and the log-likelihood they give. ``many``: how often each row counts, if not once."""
+def shares(like: np.ndarray, start: np.ndarray, many: np.ndarray | None = None, rounds: int = 12, settled: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Language shares by expectation-maximisation from ``start``, and the log-likelihood they give. ``many``: how often each row counts, if not once. It ends when no share moves by ``settled``, or after ``rounds``."""
     many = np.ones(len(like), like.dtype) if many is None else many.astype(like.dtype)
     share, total = start, many.sum()
     for _ in range(rounds):
         new = share * (like.T @ (many / np.maximum(like @ share, 1e-30))) / total
         new /= new.sum()
-        near = np.abs(new - share).max() < 1e-3
+        near = np.abs(new - share).max() < settled
         share = new
         if near:
             break
