@@ -77,5 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         with scope(spark):
-            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", 1)
     return STAGES[-1][1](spark, docs, sf_dir)
