@@ -1,7 +1,15 @@
+import random
+import re
+import struct
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from vaultspark.functions import text as X
+from vaultspark.functions.query import words
 from vaultspark.operators import fulltext, graph, maintenance, stores, temporal, vectors
+from vaultspark.operators.keyword_index import KeywordIndex
 
 
 def notes(spark, texts):
@@ -128,3 +136,113 @@ def test_communities_settle(spark):
                 c = found[b if a == i else a]
                 weight[c] = weight.get(c, 0) + (w[0] if w else 1.0)
         assert not weight or weight.get(found[i], 0) == pytest.approx(max(weight.values())), i
+
+
+def plain_chunks(text, limit):
+    """Sections by heading lines; a section that is too long is cut at blank lines, each piece as long as it can be."""
+    sections, out = [["", ""]], []
+    for line in text.split("\n"):
+        m = re.fullmatch(r"#{1,6}[ \t]+([^\n]+)", line)
+        if m:
+            sections.append([m[1], ""])
+        sections[-1][1] += line + "\n"
+    for heading, body in sections:
+        body = body.strip()
+        parts = re.split("\n\n+", body) if len(body) > limit else [body]
+        while parts:
+            k = 1
+            while k < len(parts) and len("\n\n".join(parts[: k + 1])) <= limit:
+                k += 1
+            piece = "\n\n".join(parts[:k]).strip()
+            if piece:
+                out.append((heading, piece))
+            parts = parts[k:]
+    return out
+
+
+def test_chunks_against_brute_force(spark):
+    draw = random.Random(3)
+    bits = ["word", "a longer run of words", "# One", "## Two words", "#no heading", "", "", "x" * 30]
+    texts = ["\n".join(draw.choice(bits) for _ in range(draw.randrange(30))) for _ in range(200)] + ["", "# only", "p" * 200]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    got = {}
+    for r in vectors.chunks(rows, 60).orderBy("file_id", "chunk_index").collect():
+        got.setdefault(r["file_id"], []).append((r["heading"], r["chunk_text"]))
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == plain_chunks(t, 60), t
+
+
+def test_snippets_against_brute_force(spark):
+    draw = random.Random(4)
+    vocabulary = ["apple", "Äpple", "pear", "fig", "plum", "kiwi"]
+    texts = [" ".join(draw.choice(vocabulary) for _ in range(draw.randrange(60))) + draw.choice(["", ".", "!"]) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("s", fulltext.snippet(F.col("t"), "apple fi*", "<", ">", "~", 8))
+    for r in rows.collect():
+        w = r["t"].split(" ") if r["t"] else []
+        hit = [words(x)[0] == "apple" or words(x)[0].startswith("fi") for x in w] if any(map(words, w)) else []
+        kinds = lambda s: len({words(x)[0] for x, h in zip(w[s : s + 8], hit[s : s + 8]) if h})
+        plain = re.sub("[<>~]", "", r["s"])
+        assert plain in r["t"] and len(words(plain)) == min(8, len(hit))
+        starts = range(max(1, len(hit) - 8 + 1))
+        best = max(map(kinds, starts), default=0) if hit else 0
+        marked = {words(x)[0] for run in re.findall("<([^>]*)>", r["s"]) for x in run.split(" ")}
+        assert len(marked) == best
+        assert r["s"].startswith("~") == (not r["t"].startswith(plain)) or not best
+
+
+def test_index_after_changes(spark, tmp_path):
+    index = KeywordIndex(spark, str(tmp_path / "index"), ("title", "content", "tags"), ("path",))
+    assert index.segments() == [] and index.scored("apple").count() == 0
+    index.update(notes(spark, ["apple banana", "apple apple cherry", "banana", "date"]))
+    index.update(notes(spark, ["cherry", "apple"]).where("id = 2"), spark.createDataFrame([(4,)], "id long"))
+    now = fulltext.indexed(notes(spark, ["apple banana", "apple", "banana"]), ("title", "content", "tags"))
+    scores = lambda q: {r["id"]: r["score"] for r in index.scored(q).collect()}
+    for _ in range(2):
+        for q in ("apple", "cherry", "date", "banana OR apple", "app*", "title:t2", '"apple banana"', "apple NOT banana", ""):
+            assert scores(q) == {r["id"]: r["score"] for r in fulltext.match(now, ("title", "content", "tags"), q).collect()}, q
+        index.compact()
+    assert len(index.segments()) == 1
+    index.update(notes(spark, ["x"]).limit(0), spark.createDataFrame([(1,), (2,), (3,)], "id long"))
+    assert scores("apple") == {} and index.rows().count() == 0
+
+
+def test_small_expressions(spark):
+    row = spark.range(1).select(
+        X.snippet_line(F.lit("a\nb" * 50), 5).alias("line"), X.day_ms(F.lit("2024-03-01")).alias("ms"), X.percent(F.lit(0.12345)).alias("p"), X.percent(F.lit(0.5), 2).alias("q"),
+        vectors.from_blob(F.lit(bytearray(struct.pack("<2d", 1.5, -2.0) + b"x"))).alias("v"), X.comma_list(F.lit(" a, ,b")).alias("l"), X.comma_list(F.lit(" a, ,b"), drop_empty=True).alias("m"),
+        X.extract_date(F.lit("x/24.03.09 y.md"), F.lit(0)).alias("d1"), X.extract_date(F.lit("x/99.03.09.md"), F.lit(0)).alias("d2"), X.extract_date(F.lit("x.md"), F.lit(86_400_000)).alias("d3"),
+        X.shaped(F.lit(bytearray(b"abc")), "binary").alias("blob"),
+    ).first()
+    assert (row["line"], row["ms"], row["p"], row["q"], row["v"]) == ("a ba ", 1_709_251_200_000, "12.3%", "50.00%", [1.5, -2.0])
+    assert (row["l"], row["m"]) == (["a", "", "b"], ["a", "b"])
+    assert (row["d1"], row["d2"], row["d3"], row["blob"]) == ("2024-03-09", "1999-03-09", "1970-01-02", "[BLOB 3 bytes]")
+
+
+def test_communities_against_brute_force(spark):
+    """On random graphs: turn after turn by colour, each node takes the heaviest label around it."""
+    draw = random.Random(8)
+    for _ in range(3):
+        ids = [f"n{k:02}" for k in range(24)]
+        edges = [(a, b, float(draw.randrange(1, 4))) for k, a in enumerate(ids) for b in ids[:k] if draw.random() < 0.15]
+        g = make_graph(spark, edges, ids)
+        near = {i: {} for i in ids}
+        for a, b, w in edges:
+            near[a][b] = near[b][a] = w
+        colour, label = {r["id"]: r["colour"] for r in graph.colours(g).collect()}, {i: i for i in ids}
+        moved = True
+        while moved:
+            moved = False
+            for turn in sorted(set(colour.values())):
+                new = {}
+                for i in (i for i in ids if colour[i] == turn and near[i]):
+                    votes = Counter()
+                    for j, w in near[i].items():
+                        votes[label[j]] += w
+                    new[i] = min(votes, key=lambda x: (-votes[x], x != label[i], x))
+                moved |= any(label[i] != x for i, x in new.items())
+                label |= new
+        groups = sorted((sorted(i for i in ids if label[i] == x) for x in set(label.values())), key=lambda m: m[0])
+        found = {r["id"]: r["community"] for r in graph.communities(g).collect()}
+        assert found == {i: k for k, m in enumerate(groups) for i in m}
+        want = sorted(([k, len(m), m] for k, m in enumerate(groups) if len(m) > 1), key=lambda x: (-x[1], x[0]))
+        assert [list(r) for r in graph.community_members(g).collect()] == want

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from vaultspark.functions import scores
+from vaultspark.operators import graph
 from vaultspark.plans import catalogue
 from vaultspark.sources import tables
 
@@ -34,8 +35,8 @@ def test_components_and_stats(spark, whole):
             if (k := todo.pop()) not in want:
                 want[k] = i
                 todo += whole[k]
-    assert dict(run(spark, "graph_components_whole")) == want
-    (nodes, edges, density, degree, parts), n = run(spark, "graph_stats_whole")[0], len(whole)
+    assert dict(run(spark, "graph_components")) == want
+    (nodes, edges, density, degree, parts), n = run(spark, "graph_stats")[0], len(whole)
     e = sum(map(len, whole.values())) / 2
     assert (nodes, edges, parts) == (n, e, len(set(want.values()))) and e > 2 * n  # not a tree
     assert density == pytest.approx(2 * e / (n * (n - 1)), abs=1e-8) and degree == pytest.approx(2 * e / n, abs=1e-5)
@@ -62,11 +63,11 @@ def test_betweenness(spark, whole):
                 total[w] += delta[w]
     n = len(whole)
     want = {i: t / ((n - 1) * (n - 2)) for i, t in total.items()}
-    assert dict(run(spark, "graph_betweenness_whole")) == pytest.approx(want, abs=1e-6)
+    assert dict(run(spark, "graph_betweenness")) == pytest.approx(want, abs=1e-6)
     rows = {r["id"]: r for r in tables.entities(spark, DATA).withColumn("recency", scores.recency(tables.F.col("last_seen"), tables.F.to_date(tables.F.lit("2001-12-31")))).collect()}
     top = [max(x) for x in (map(len, whole.values()), want.values(), (r["mention_count"] for r in rows.values()))]
     score = {i: 0.3 * len(whole[i]) / top[0] + 0.25 * want[i] / top[1] + 0.25 * r["mention_count"] / top[2] + 0.2 * r["recency"] for i, r in rows.items()}
-    got = run(spark, "graph_importance_whole")
+    got = run(spark, "graph_importance")
     assert {i: x for i, x, _ in got} == pytest.approx(score, abs=2e-6) and sorted(r for *_, r in got) == list(range(1, n + 1))
 
 
@@ -77,13 +78,15 @@ def test_path(spark, whole):
         for v, (cost, path) in list(best.items()):
             for w, weight in whole[v].items():
                 best[w] = min(best.get(w, (float("inf"), [])), (cost + 1 / max(weight, 0.01), [*path, w]))
-    [(path, hops, cost, _)] = run(spark, "graph_path_whole")
+    [(path, hops, cost, _)] = run(spark, "graph_path")
     assert cost == pytest.approx(best[goal][0], abs=1e-5) and path == best[goal][1] and hops == len(path) - 1
 
 
-@pytest.mark.parametrize("name", ["edges", "degree", "neighborhood", "neighborhood_edges", "export", "export_edges", "missing"])
+@pytest.mark.parametrize(
+    "name",
+    ["graph_edges", "graph_degree", "graph_top_degrees", "graph_stats", "graph_components", "graph_path", "graph_neighborhood", "graph_neighborhood_edges", "graph_export", "graph_export_edges", "suggest_missing"],
+)
 def test_against_sql(spark, name):
-    name = "suggest_missing_whole" if name == "missing" else f"graph_{name}_whole"
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}{'/*.parquet' if os.path.isdir(f) else ''}'")
@@ -92,3 +95,13 @@ def test_against_sql(spark, name):
     got = plain(run(spark, name))
     assert len(got) == len(want)
     assert all(a == pytest.approx(b, abs=2e-5) if isinstance(a, float) else a == b for x, y in zip(got, want) for a, b in zip(x, y))
+
+
+def test_both_ways_of_betweenness_and_missing_links(spark):
+    g = catalogue._graph(spark, DATA).stored()
+    for sample in (None, 20):
+        held, joined = ({r["id"]: r["betweenness"] for r in graph.betweenness(g, sample, most_edges=m).collect()} for m in (graph.MOST_EDGES, 0))
+        assert held == pytest.approx(joined, abs=1e-9) and sum(x > 0 for x in held.values()) > 10
+    for entity in (None, "supplier-1", "nobody"):
+        held, joined = ([tuple(r) for r in graph.missing_links(g, entity, limit=40, most_edges=m).collect()] for m in (graph.MOST_EDGES, 0))
+        assert held == joined and (len(held) == 40) == (entity != "nobody")

@@ -10,9 +10,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaultspark.functions.sql import register
 from vaultspark.operators import explorer, extraction, fulltext, graph, hybrid, maintenance, stores, temporal, vectors
+from vaultspark.operators.keyword_index import KeywordIndex
 from vaultspark.schemas import SCHEMA_VERSION, TABLES
 from vaultspark.sources import markdown
+from vaultspark.sources.scratch import written
+
+
+#: Versions of a table that stay.
+KEEP = 10
 
 
 class Engine:
@@ -23,8 +30,21 @@ class Engine:
         self.versions: dict[str, str] = {}
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._path, self._fs = path, path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.schema_version = SCHEMA_VERSION
         self.graph: graph.Graph | None = None
+        self.schema_version = self._upgraded()
+
+    def _upgraded(self) -> int:
+        """The store's schema version, once its tables have it: columns that an older one lacked are null."""
+        marks = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))] if self._fs.exists(self._path(self.root)) else []
+        found = max((int(m.removeprefix("schema-")) for m in marks if m.startswith("schema-")), default=0)
+        if found > SCHEMA_VERSION:
+            raise ValueError(f"the store has schema {found}; this is {SCHEMA_VERSION}")
+        if found < SCHEMA_VERSION:
+            for name in TABLES:
+                if done := self._versions(name):
+                    self.replace(name, self.spark.read.parquet(f"{self.root}/{name}/{done[-1]}"))
+            self._fs.create(self._path(f"{self.root}/schema-{SCHEMA_VERSION}")).close()
+        return SCHEMA_VERSION
 
     # --- tables ---------------------------------------------------------------------------------
 
@@ -36,17 +56,23 @@ class Engine:
     def today(self) -> str:
         return time.strftime("%Y-%m-%d", time.gmtime(self.clock()))
 
+    def _versions(self, name: str) -> list[str]:
+        """Whole versions of a table, the oldest first."""
+        folder = self._path(f"{self.root}/{name}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if self._fs.exists(self._path(f"{s.getPath()}/_SUCCESS"))) if self._fs.exists(folder) else []
+
     def table(self, name: str) -> DataFrame:
         """The newest version of a table; empty before the first."""
-        schema, folder = TABLES[name], self._path(f"{self.root}/{name}")
-        done = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if self._fs.exists(self._path(f"{s.getPath()}/_SUCCESS"))) if self._fs.exists(folder) else []
+        schema, done = TABLES[name], self._versions(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{done[-1]}") if done else self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
-        """A new version of a table; it counts once it is whole."""
+        """A new version of a table; it counts once it is whole. The last KEEP versions stay, for those who still read them."""
         missing = {c: F.lit(None) for c in TABLES[name].names if c not in rows.columns}
         version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         rows.withColumns(missing).to(TABLES[name]).write.parquet(f"{self.root}/{name}/{version}")
+        for old in self._versions(name)[:-KEEP]:
+            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
         self.graph = None
         return self.table(name)
 
@@ -58,21 +84,54 @@ class Engine:
 
     # --- notes ----------------------------------------------------------------------------------
 
-    def index(self, source: str, skip_dirs: Iterable[str] = (), force: bool = False) -> dict[str, int]:
-        """Bring the files table up to date with a folder of notes."""
-        scanned, files = markdown.scan(self.spark, source, skip_dirs), self.table("files")
-        todo = maintenance.changed(scanned, files, force)
+    def index(self, source: str | markdown.NoteSource, skip_dirs: Iterable[str] = (), force: bool = False) -> dict[str, int]:
+        """Bring the files table and the keyword index up to date with a folder of notes, or another source of notes."""
+        source = markdown.Folder(self.spark, source, skip_dirs) if isinstance(source, str) else source
+        scanned, files = source.notes(), self.table("files")
+        todo = written(maintenance.changed(scanned, files, force), "todo")
         counts = {"indexed": todo.count(), "deleted": maintenance.stale(files, scanned).count()}
-        files = maintenance.upserted(maintenance.without_stale(files, scanned), markdown.parse(todo), self.now_ms)
-        self.replace("files", files)
-        live = self.table("files").select(F.col("id").alias("file_id"))
-        self.replace("embeddings", self.table("embeddings").join(live, "file_id", "left_semi"))
+        self._replace_files(maintenance.upserted(maintenance.without_stale(files, scanned), markdown.parse(todo), self.now_ms), todo.select("path"))
         return counts
 
-    def embed(self, force: bool = False) -> int:
-        files, rows = vectors.reembedded(self.table("files"), self.table("embeddings"), self.now_ms, self.embedder, force)
-        done = self.replace("embeddings", rows)
+    def index_notes(self, notes: DataFrame) -> None:
+        """Take in some notes (path, modified_at, raw), whatever else the store holds."""
+        notes = written(notes.select("path", "modified_at", "raw"), "todo")
+        self._replace_files(maintenance.upserted(self.table("files"), markdown.parse(notes), self.now_ms), notes.select("path"))
+
+    def remove(self, path: str) -> None:
+        """Forget a note and its vectors; facts and relationships stay."""
+        paths = self.spark.createDataFrame([(path,)], "path string")
+        self._replace_files(maintenance.removed(self.table("files"), self.table("embeddings"), paths)[0], paths)
+
+    def rename(self, old: str, new: str) -> None:
+        renames = self.spark.createDataFrame([(old, new)], "old_path string, path string")
+        self._replace_files(maintenance.renamed(self.table("files"), renames), renames.select("path"))
+
+    def _replace_files(self, files: DataFrame, touched: DataFrame) -> None:
+        """A new files table; the rows of ``touched`` paths go to the keyword index, and what is gone leaves it and the vectors."""
+        before = self.table("files").select("id")
+        files = self.replace("files", files)
+        live = files.select("id")
+        self.replace("embeddings", self.table("embeddings").join(live.withColumnRenamed("id", "file_id"), "file_id", "left_semi"))
+        index = self.keywords
+        index.update(files if not index.segments() else files.join(touched, "path", "left_semi"), before.join(live, "id", "left_anti"))
+        if len(index.segments()) > KEEP:
+            index.compact()
+
+    def embed(self, force: bool = False, progress: Callable[[int], None] | None = None) -> int:
+        """Embed what is stale; ``progress`` hears 0 before and 100 after, or -1 if the embedder failed."""
+        if progress:
+            progress(0)
+        try:
+            files, rows = vectors.reembedded(self.table("files"), self.table("embeddings"), self.now_ms, self.embedder, force)
+            done = self.replace("embeddings", rows)
+        except Exception:
+            if progress:
+                progress(-1)
+            raise
         self.replace("files", files)
+        if progress:
+            progress(100)
         return done.count()
 
     def extract(self, force: bool = False, limit: int | None = None) -> dict[str, int]:
@@ -89,21 +148,12 @@ class Engine:
         return self._learn(entities, seen, self.table("facts").limit(0), done, "llm_extracted_at")
 
     def _learn(self, entities: DataFrame, seen: DataFrame, facts: DataFrame, done: DataFrame, stamp: str) -> dict[str, int]:
-        from vaultspark.sources.scratch import written
-
         seen, facts, done = written(seen, "seen"), written(facts, "facts"), written(done.select("path"), "done")
         entities = self.replace("entities", entities)
-        old = self.table("relationships")
-        key = ["source_id", "target_id", "type"]
-        new = stores.consolidated(seen, entities, self.today)
-        both = old.join(new.select(*key, F.col("seen_count").alias("n"), F.col("last_seen").alias("last"), F.col("confidence").alias("c")), key, "left")
-        grown = {"seen_count": F.col("seen_count") + F.coalesce("n", F.lit(0)), "last_seen": F.greatest("last_seen", "last"), "confidence": F.greatest("confidence", "c")}
-        kept = stores.reweighted(both.withColumns(grown), self.today).select(*old.columns)
-        fresh = new.join(old.select(*key), key, "left_anti")
-        missing = {c: F.lit(None) for c in old.columns if c not in fresh.columns}
-        rel = self.replace("relationships", kept.unionByName(fresh.withColumns(missing).to(old.schema)))
+        rel = self.replace("relationships", stores.merged_relationships(self.table("relationships"), seen, entities, self.today))
         proof, known = self.table("relationship_evidence"), ["relationship_id", "source_file"]
-        more = stores.evidence_log(seen).join(proof.select(*known), known, "left_anti").withColumn("id", F.xxhash64(*known))
+        more = stores.evidence_log(seen).withColumn("extracted_at", F.timestamp_millis(F.lit(self.now_ms)))
+        more = more.join(proof.select(*known), known, "left_anti").withColumn("id", F.xxhash64(*known))
         self.replace("relationship_evidence", proof.unionByName(more.to(proof.schema)))
         told = self.replace("facts", stores.added_facts(self.table("facts"), facts.withColumn("seq", F.lit(0)), self.today))
         self.replace("files", maintenance.stamped(self.table("files"), done, stamp, self.now_ms))
@@ -111,11 +161,13 @@ class Engine:
 
     # --- search ---------------------------------------------------------------------------------
 
-    def _index(self) -> DataFrame:
-        return fulltext.indexed(self.table("files"), fulltext.FILE_COLUMNS)
+    @property
+    def keywords(self) -> KeywordIndex:
+        """The stored keyword index of the files."""
+        return KeywordIndex(self.spark, f"{self.root}/keywords", fulltext.FILE_COLUMNS, fulltext.FILE_KEPT)
 
     def search(self, query: str, limit: int = 20, **filters: Any) -> DataFrame:
-        return fulltext.search_files(self._index(), query, limit, ("<mark>", "</mark>"), **filters)
+        return fulltext.search_files(self.keywords, query, limit, ("<mark>", "</mark>"), self.table("files"), **filters)
 
     def semantic_search(self, query: str, k: int = 10) -> DataFrame:
         return vectors.semantic_search(self.table("embeddings"), self.table("files"), self.embedder([query])[0], k)
@@ -123,7 +175,7 @@ class Engine:
     def hybrid_search(self, query: str, limit: int = 10, allow_keyword_only: bool = False, **filters: Any) -> DataFrame:
         if not allow_keyword_only and self.table("embeddings").isEmpty():
             raise ValueError("no vectors; embed the notes first, or allow keywords alone")
-        return hybrid.hybrid_search(self._index(), self.table("embeddings"), self.embedder([query])[0], query, limit, **filters)
+        return hybrid.hybrid_search(self.keywords, self.table("embeddings"), self.embedder([query])[0], query, limit, files=self.table("files"), **filters)
 
     def find_similar(self, path: str, k: int = 10) -> DataFrame:
         return vectors.similar_files(self.table("embeddings"), self.table("files"), path, k)
@@ -134,6 +186,12 @@ class Engine:
     def search_conversations(self, query: str | None = None, since: str | None = None, until: str | None = None, limit: int = 10) -> DataFrame:
         return stores.search_conversations(self.table("conversations"), query, since, until, limit)
 
+    def add_conversations(self, texts: Sequence[str]) -> int:
+        """Take in conversation records as JSON texts, perhaps fenced; those that can't be read or lack a field are left out, and a session's first record stays."""
+        rows = self.spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "value string, seq long")
+        new = stores.conversation_records(rows).withColumns({"id": F.xxhash64("session_id"), "recorded_at": F.lit(self.now_ms)})
+        return self.replace("conversations", stores.added_conversations(self.table("conversations"), new)).count()
+
     # --- entities -------------------------------------------------------------------------------
 
     def search_entities(self, query: str, kind: str | None = None) -> DataFrame:
@@ -145,6 +203,16 @@ class Engine:
     def facts(self, **filters: Any) -> DataFrame:
         return temporal.fact_timeline(stores.query_facts(self.table("facts"), **filters), self.table("entities"))
 
+    def detail(self, entity_id: str) -> dict[str, DataFrame]:
+        """An entity, its heaviest 20 relationships, its latest 10 facts, and the latest fact of each type."""
+        facts = stores.facts_about(self.table("facts"), entity_id)
+        return {
+            "entity": stores.entity(self.table("entities"), entity_id),
+            "relationships": stores.relationship_listing(self.table("relationships"), self.table("entities"), entity_id).orderBy(F.desc("weight"), "other_id").limit(20),
+            "facts": stores.query_facts(self.table("facts"), entity_id, limit=10),
+            "latest": stores.first_per(facts, ["type"], [F.desc("recorded_at"), F.asc("id")]),
+        }
+
     # --- graph and time -------------------------------------------------------------------------
 
     def load_graph(self, **filters: Any) -> graph.Graph:
@@ -161,11 +229,11 @@ class Engine:
     def neighborhood(self, centre: str, max_hops: int = 2, min_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:
         return graph.neighborhood_export(self.load_graph(), centre, max_hops, min_weight)
 
-    def analyse(self, what: str, limit: int = 20, **filters: Any) -> DataFrame:
-        """importance, communities, centrality or stats."""
+    def analyse(self, what: str, limit: int = 20, sample: int | None = None, **filters: Any) -> DataFrame:
+        """importance, communities, centrality or stats; ``sample`` bounds the sources of betweenness."""
         g = self.load_graph(**filters)
         if what == "importance":
-            return graph.importance(g, self.table("entities"), self.today).orderBy("rank").limit(limit)
+            return graph.importance(g, self.table("entities"), self.today, graph.betweenness(g, sample)).orderBy("rank").limit(limit)
         if what == "communities":
             return graph.community_members(g).limit(limit)
         if what == "centrality":
@@ -193,6 +261,18 @@ class Engine:
     def trends(self, window_days: int = 30) -> DataFrame:
         return temporal.trends(self.table("facts"), self.table("entities"), self.today, window_days)
 
+    def temporal(self, kind: str = "trends", entity_id: str | None = None, other_id: str | None = None, granularity: str = "month", window_days: int = 30, **filters: Any) -> DataFrame:
+        """relationship (of two entities), activity (of one), facts or trends."""
+        if kind == "relationship":
+            return self.timeline(entity_id or "", other_id or "")
+        if kind == "activity":
+            return self.activity(entity_id or "", granularity)
+        if kind == "facts":
+            return self.facts(entity_id=entity_id, **filters)
+        if kind == "trends":
+            return self.trends(window_days)
+        raise ValueError(f"unknown kind {kind!r}")
+
     # --- the store ------------------------------------------------------------------------------
 
     def stats(self) -> DataFrame:
@@ -202,3 +282,22 @@ class Engine:
         if name not in TABLES:
             raise ValueError(f"unknown table {name!r}")
         return explorer.page(self.table(name), **how)
+
+    def catalog(self) -> DataFrame:
+        """table, rows, column, position, type and nullable of every column of the store."""
+        return explorer.catalog({name: self.table(name) for name in TABLES})
+
+    def keep_vectors(self, mode: str = "auto", limit_mb: int = vectors.AUTO_LOAD_MB) -> bool:
+        """Whether the vectors are worth keeping in memory: always, never, or up to a limit."""
+        return vectors.should_load(self.table("embeddings"), mode, limit_mb)
+
+    def healthy(self) -> bool:
+        """Whether the embedder answers."""
+        try:
+            return len(self.embedder(["ping"])[0]) > 0
+        except Exception:  # noqa: BLE001  whatever a service throws
+            return False
+
+    def register_functions(self) -> list[str]:
+        """Make the engine's expressions known to SQL; their names."""
+        return register(self.spark)

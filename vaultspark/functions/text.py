@@ -39,11 +39,6 @@ def wiki_links(content: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(WIKI_LINK), F.lit(1)), trimmed))
 
 
-def wiki_targets(content: Column) -> Column:
-    """Targets that aren't blank."""
-    return F.filter(wiki_links(content), lambda x: x != "")
-
-
 def inline_tags(content: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(content, F.lit(INLINE_TAG), F.lit(1)))
 
@@ -112,3 +107,12 @@ def string_list(text: Column) -> Column:
 
 def snippet_line(text: Column, limit: int = 120) -> Column:
     return F.regexp_replace(F.substring(text, 1, limit), r"\n", " ")
+
+
+def day_ms(day: Column) -> Column:
+    """Milliseconds of a day's start in UTC (yyyy-mm-dd), for filters by time of change."""
+    return F.datediff(day.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * F.lit(86_400_000)
+
+
+def percent(share: Column, places: int = 1) -> Column:
+    return F.format_string(f"%.{places}f%%", share * 100)

@@ -27,10 +27,18 @@ def distribution(rows: DataFrame, column: str, limit: int = 10) -> DataFrame:
     return found.join(F.broadcast(total)).withColumn("share", F.col("count") / F.col("total")).drop("total").orderBy(F.desc("count"), "name").limit(limit)  # total is one row
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    """table, column, type and nullable of the session's tables and views."""
-    found = [(t.name, c.name, c.dataType, c.nullable) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name)]
-    return spark.createDataFrame(found, "table string, column string, type string, nullable boolean")
+def catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, rows, column, position, type and nullable of each column of some tables."""
+    def one(name: str, rows: DataFrame) -> DataFrame:
+        columns = [F.struct(F.lit(f.name).alias("column"), F.lit(k).alias("position"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable")) for k, f in enumerate(rows.schema)]
+        return rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows", F.inline(F.array(*columns)))
+
+    return reduce(DataFrame.unionByName, [one(name, rows) for name, rows in tables.items()])
+
+
+def session_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """The tables and views that a session knows."""
+    return {t.name: spark.table(t.name) for t in spark.catalog.listTables()}
 
 
 def page(rows: DataFrame, sort: str | None = None, descending: bool = False, limit: int = 50, offset: int = 0, most: int = 500) -> tuple[DataFrame, int]:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import text as X
 from vaultspark.functions.query import Node, Phrase, parse, words
+from vaultspark.operators.keyword_index import K1, LEAST_IDF, B, KeywordIndex
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FILE_COLUMNS = ("title", "content", "tags")
 CONVERSATION_COLUMNS = ("summary", "topics", "outcome", "next_actions")
 
@@ -70,11 +70,14 @@ def _matches(node: Node, columns: tuple[str, ...], hits: dict[Phrase, Column]) -
     return reduce(Column.__and__ if node.op == "and" else Column.__or__, parts)
 
 
-def match(index: DataFrame, columns: tuple[str, ...], query: str) -> DataFrame:
+def match(index: DataFrame | KeywordIndex, columns: tuple[str, ...], query: str) -> DataFrame:
     """Rows that match, with ``score``: BM25, negative, the least is the best.
 
-    Counts are over the whole of ``index``; filters belong on the result. A query without any word matches nothing.
+    Counts are over the whole of ``index``, a table from ``indexed`` or a stored index; filters belong on the result. A query without
+    any word matches nothing.
     """
+    if isinstance(index, KeywordIndex):
+        return index.match(query)
     tree = parse(query, columns)
     if tree is None:
         return index.withColumn("score", F.lit(0.0)).where(F.lit(False))
@@ -109,58 +112,81 @@ def file_filter(rows: DataFrame, directory: str | None = None, tag: str | None =
     return rows if until is None else rows.where(F.col("modified_at") <= until)
 
 
-def search_files(index: DataFrame, query: str, limit: int = 20, marks: tuple[str, str] | None = None, **filters: object) -> DataFrame:
-    """The best files for a query: path, title, directory, tags, modified_at, score, and a snippet if ``marks`` are given."""
-    found = file_filter(match(index, FILE_COLUMNS, query), **filters).orderBy("score", "path").limit(limit)
-    out = ["path", "title", "directory", "tags", "modified_at", "score"]
+#: What a stored index of files keeps of each.
+FILE_KEPT = ("path", "title", "directory", "tags", "modified_at")
+
+
+def search_files(index: DataFrame | KeywordIndex, query: str, limit: int = 20, marks: tuple[str, str] | None = None, files: DataFrame | None = None, **filters: object) -> DataFrame:
+    """The best files for a query: path, title, directory, tags, modified_at, score, and a snippet if ``marks`` are given.
+
+    With a stored index, the texts of the best files come from ``files``.
+    """
+    out = [*FILE_KEPT, "score"]
+    if isinstance(index, KeywordIndex) and not any(v is not None for v in filters.values()):
+        found = index.top(query, limit, "path")
+    else:
+        found = file_filter(match(index, FILE_COLUMNS, query), **filters).orderBy("score", "path").limit(limit)
     if marks:
+        if "content" not in found.columns:
+            found = files.select("id", "content").join(F.broadcast(found), "id")  # the side of ``limit`` rows
         found = found.withColumn("snippet", snippet(F.col("content"), query, *marks))
         out.append("snippet")
-    return found.select(*out)
+    return found.select(*out).orderBy("score", "path")
+
+
+class Marker:
+    """Cuts and marks texts for one query."""
+
+    def __init__(self, query: str, open_: str = "<mark>", close: str = "</mark>", more: str = "...", size: int = 40) -> None:
+        import regex
+
+        tree = parse(query, FILE_COLUMNS)
+        phrases = tree.phrases() if tree else []
+        self.whole = {w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)}
+        self.starts = tuple({p.words[-1] for p in phrases if p.prefix})
+        self.word = regex.compile(r"[\p{L}\p{N}]+")
+        self.open, self.close, self.more, self.size = open_, close, more, size
+
+    def __call__(self, text: str | None) -> str:
+        text, size = text or "", self.size
+        spans = [m.span() for m in self.word.finditer(text)]
+        known = [(words(text[a:b]) or [""])[0] for a, b in spans]
+        hit = [k in self.whole or (bool(self.starts) and k.startswith(self.starts)) for k in known]
+        best, at = -1, 0
+        for s in {max(0, min(i, len(spans) - size)) for i, h in enumerate(hit) if h} | {0}:
+            seen = len({k for k, h in zip(known[s : s + size], hit[s : s + size], strict=True) if h})
+            if (seen, -s) > (best, -at):
+                best, at = seen, s
+        end = min(len(spans), at + size)
+        begin = 0 if at == 0 else spans[at][0]
+        stop = len(text) if end == len(spans) else spans[end - 1][1]
+        out, last, k = [self.more if at else ""], begin, at
+        while k < end:
+            if hit[k]:
+                j = k
+                while j + 1 < end and hit[j + 1]:
+                    j += 1
+                out += [text[last : spans[k][0]], self.open, text[spans[k][0] : spans[j][1]], self.close]
+                last, k = spans[j][1], j
+            k += 1
+        return "".join([*out, text[last:stop], self.more if end < len(spans) else ""])
+
+
+def marked(text: str | None, query: str) -> str:
+    return Marker(query)(text)
 
 
 def snippet(text: Column, query: str, open_: str, close: str, more: str = "...", size: int = 40) -> Column:
     """The stretch of at most ``size`` words with most different query words, these marked; the start of the text without any.
 
-    It begins as early as it can; each run of marked words is one mark.
+    It begins as early as it can; each run of marked words is one mark. Meant for the few texts of a result's page.
     """
-    tree = parse(query, FILE_COLUMNS)
-    phrases = tree.phrases() if tree else []
-    whole = {w for p in phrases for w in (p.words[:-1] if p.prefix else p.words)}
-    starts = tuple({p.words[-1] for p in phrases if p.prefix})
 
     @F.pandas_udf("string")
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import regex
-
-        word = regex.compile(r"[\p{L}\p{N}]+")
-
-        def one(text: str | None) -> str:
-            text = text or ""
-            spans = [m.span() for m in word.finditer(text)]
-            known = [(words(text[a:b]) or [""])[0] for a, b in spans]
-            hit = [k in whole or (bool(starts) and k.startswith(starts)) for k in known]
-            best, at = -1, 0
-            for s in {max(0, min(i, len(spans) - size)) for i, h in enumerate(hit) if h} | {0}:
-                seen = len({k for k, h in zip(known[s : s + size], hit[s : s + size], strict=True) if h})
-                if (seen, -s) > (best, -at):
-                    best, at = seen, s
-            end = min(len(spans), at + size)
-            begin = 0 if at == 0 else spans[at][0]
-            stop = len(text) if end == len(spans) else spans[end - 1][1]
-            out, last, k = [more if at else ""], begin, at
-            while k < end:
-                if hit[k]:
-                    j = k
-                    while j + 1 < end and hit[j + 1]:
-                        j += 1
-                    out += [text[last : spans[k][0]], open_, text[spans[k][0] : spans[j][1]], close]
-                    last, k = spans[j][1], j
-                k += 1
-            return "".join([*out, text[last:stop], more if end < len(spans) else ""])
-
+        mark = Marker(query, open_, close, more, size)
         for series in texts:
-            yield series.map(one)
+            yield series.map(mark)
 
     return cut(text)
 

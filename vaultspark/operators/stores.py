@@ -49,9 +49,10 @@ def search_entities(entities: DataFrame, query: str, kind: str | None = None, li
 
 
 def search_entities_or_id(entities: DataFrame, query: str, kind: str | None = None) -> DataFrame:
-    """As ``search_entities``, or else the entity with just this id, whatever its type."""
-    found = search_entities(entities, query, kind)
-    return found.unionByName(entity(entities, query)).dropDuplicates(["id"]).orderBy("id").limit(20)
+    """As ``search_entities``, or if it finds nothing the entity with just this id, whatever its type."""
+    found = search_entities(entities, query, kind).withColumn("__by_id", F.lit(0))
+    rows = found.unionByName(entity(entities, query).withColumn("__by_id", F.lit(1)))  # 21 at most
+    return rows.join(F.broadcast(rows.agg(F.min("__by_id").alias("__by_id"))), "__by_id").drop("__by_id").orderBy("id")
 
 
 def names(entities: DataFrame) -> DataFrame:
@@ -124,6 +125,32 @@ def consolidated(observations: DataFrame, entities: DataFrame | None = None, as_
     )
 
 
+def merged_relationships(relationships: DataFrame, observations: DataFrame, entities: DataFrame, today: str | Column) -> DataFrame:
+    """Relationships after a batch of observations between known entities.
+
+    Each observation counts once more and makes the relationship seen today; the weight is made anew from the last confidence that came,
+    the confidence is the largest of all. All else of a known relationship stays, and relationships that weren't observed stay as they are.
+    """
+    key = ["source_id", "target_id", "type"]
+    rows = observations
+    for end in key[:2]:
+        rows = rows.join(entities.select(F.col("id").alias(end)), end, "left_semi")
+    first = F.min_by(F.struct("context", "source_file", "extraction_method"), "seq")
+    new = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.max("confidence").alias("__top"), F.max_by("confidence", "seq").alias("__last"), first.alias("__first"))
+    both = relationships.join(new, key, "full_outer")
+    seen, fresh = F.col("__n").isNotNull(), F.col("id").isNull()
+    count = F.when(fresh, F.lit(0)).otherwise(F.coalesce("seen_count", F.lit(1))) + F.coalesce("__n", F.lit(0))
+    changes = {
+        "weight": F.when(seen, relationship_weight(count, day(today), F.col("__last"), day(today))).otherwise(F.col("weight")),
+        "seen_count": F.when(seen, count).otherwise(F.col("seen_count")),
+        "last_seen": F.when(seen, day(today)).otherwise(F.col("last_seen")),
+        "confidence": F.greatest("confidence", "__top"),
+        **{c: F.when(fresh, F.col(f"__first.{c}")).otherwise(F.col(c)) for c in ("context", "source_file", "extraction_method")},
+        "id": F.coalesce("id", F.xxhash64(*key)),
+    }
+    return both.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in relationships.columns])
+
+
 def evidence_log(observations: DataFrame) -> DataFrame:
     """The first observation of each relationship in each source file; none without a file."""
     rows = observations.where("source_file is not null")
@@ -183,7 +210,8 @@ def added_conversations(conversations: DataFrame, batch: DataFrame) -> DataFrame
 def conversation_records(lines: DataFrame) -> DataFrame:
     """Records of JSON texts (column ``value``), code fences taken off; those without session, date or summary are left out."""
     schema = "session_id string, date string, summary string, topics string, outcome string, next_actions string"
-    rows = lines.select(F.from_json(X.without_fence(F.col("value")), schema).alias("r")).select("r.*")
+    rest = [c for c in lines.columns if c != "value"]
+    rows = lines.select(*rest, F.from_json(X.without_fence(F.col("value")), schema).alias("r")).select(*rest, "r.*")
     return rows.where("session_id <> '' and date <> '' and summary <> ''").withColumn("topics", F.coalesce("topics", F.lit("")))
 
 

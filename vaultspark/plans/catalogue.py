@@ -1,13 +1,12 @@
 """The registered queries of the notes engine and their SQL.
 
-Every query reads whole tables, but the graph queries with the SQL of a smaller graph, which have a twin ``..._whole``; limits are
-those of top-k reports, pages and lookups by name.
+Every query reads whole tables; limits are those of top-k reports, pages and lookups by name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +14,11 @@ from pyspark.sql import functions as F
 from vaultspark.functions import scores as S
 from vaultspark.functions import text as X
 from vaultspark.operators import explorer, extraction, fulltext, graph, hybrid, maintenance, stores, temporal, vectors
+from vaultspark.operators.keyword_index import KeywordIndex
 from vaultspark.plans import oracles as O
 from vaultspark.sources import tables as T
+from vaultspark.sources.scratch import root
+from vaultspark.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,8 +83,28 @@ def explorer_page(s: SparkSession, d: str) -> DataFrame:
 _FTS = ["title", "content", "array_to_string(tags, ' ')"]
 
 
-def _index(s: SparkSession, d: str) -> DataFrame:
-    return fulltext.indexed(T.files(s, d), fulltext.FILE_COLUMNS)
+_indexes: dict[tuple, KeywordIndex] = {}
+
+
+def _index(s: SparkSession, d: str) -> KeywordIndex:
+    """The stored keyword index of the files, made when it is first asked for; made anew if their table has changed."""
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = path.getFileSystem(s._jsc.hadoopConfiguration())
+    parts = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+    key = (s.sparkContext.applicationId, d, parts)
+    if key not in _indexes:
+        _indexes[key] = KeywordIndex(s, f"{root(s)}/keywords-{uuid.uuid4().hex}", fulltext.FILE_COLUMNS, fulltext.FILE_KEPT).update(T.files(s, d))
+    return _indexes[key]
+
+
+@query(f"WITH {O.FILES} SELECT count(*) AS rows, round(avg(len({O.words('title')}) + len({O.words('content')}) + len({O.words(_FTS[2])})), 6) AS mean FROM files")
+def fts_index(s: SparkSession, d: str) -> DataFrame:
+    """Makes a new index of all files in two segments, the later one for every third file once more, and brings them into one."""
+    index = KeywordIndex(s, f"{root(s)}/keywords-{uuid.uuid4().hex}", fulltext.FILE_COLUMNS, fulltext.FILE_KEPT)
+    files = T.files(s, d)
+    index.update(files.withColumn("content", F.when(F.col("id") % 3 == 0, F.lit("an older text")).otherwise(F.col("content"))))
+    index.update(files.where("id % 3 = 0")).compact()
+    return s.read.parquet(f"{index.root}/{index.segments()[-1]}/totals").select(F.col("rows").cast("long").alias("rows"), r6("mean"))
 
 
 @query(O.bm25(O.FILES, _FTS, [O.word("the"), O.word("with")], "h0 > 0 AND h1 > 0", "ORDER BY round(score, 12), path LIMIT 10", "path, title, directory, round(score, 6) AS score"))
@@ -132,7 +154,7 @@ def fts_near(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def snippet(s: SparkSession, d: str) -> DataFrame:
-    return fulltext.search_files(_index(s, d), "the with", 10, marks=(">>>", "<<<")).select("path", "snippet")
+    return fulltext.search_files(_index(s, d), "the with", 10, (">>>", "<<<"), T.files(s, d)).select("path", "snippet")
 
 
 @query(f"WITH {O.FILES} SELECT path, title FROM files WHERE list_contains(wiki_links, 'doc-5')")
@@ -207,13 +229,13 @@ FROM w FULL JOIN v ON w.path = v.path ORDER BY coalesce(CAST(1 AS DOUBLE) / (60
 
 @query(_hybrid_sql("", ""))
 def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
-    found = hybrid.hybrid_search(_index(s, d), T.embeddings(s, d), QUERY_VECTOR, "the with")
+    found = hybrid.hybrid_search(_index(s, d), T.embeddings(s, d), QUERY_VECTOR, "the with", files=T.files(s, d))
     return found.select("path", "title", "directory", r6("rrf"), "sources", "heading")
 
 
 @query(_hybrid_sql("AND directory = 'src2' AND list_contains(tags, 'en')", "WHERE directory = 'src2' AND list_contains(tags, 'en')"))
 def hybrid_rrf_filtered(s: SparkSession, d: str) -> DataFrame:
-    found = hybrid.hybrid_search(_index(s, d), T.embeddings(s, d), QUERY_VECTOR, "the with", directory="src2", tag="en")
+    found = hybrid.hybrid_search(_index(s, d), T.embeddings(s, d), QUERY_VECTOR, "the with", directory="src2", tag="en", files=T.files(s, d))
     return found.select("path", "title", "directory", r6("rrf"), "sources", "heading")
 
 
@@ -287,10 +309,13 @@ def facts_timeline(s: SparkSession, d: str) -> DataFrame:
     return stores.query_facts(T.facts(s, d), "user-1", "purchase", "2024-01-05", "2024-01-20", 200, compat=True).select("id", "type", "content", "recorded_at")
 
 
-@query(f"WITH {O.FACTS} SELECT type, content, source_file, min(id) AS id FROM fact GROUP BY ALL")
+@query(f"""WITH {O.FACTS}, stored AS (SELECT * FROM fact WHERE id % 2 = 0), new AS (SELECT type, content, source_file, min(id) AS id FROM fact f GROUP BY ALL)
+SELECT id, type, content, source_file FROM stored UNION ALL SELECT id, type, content, source_file FROM new
+WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.type = new.type AND s.content = new.content AND s.source_file = new.source_file)""")
 def fact_dedup(s: SparkSession, d: str) -> DataFrame:
+    """All facts come once more; those with an even id are stored."""
     facts = T.facts(s, d).withColumn("valid_until", F.lit(None).cast("date"))
-    return stores.added_facts(facts.limit(0), facts.withColumn("seq", F.col("id")), T.AS_OF_FACTS).select("type", "content", "source_file", "id")
+    return stores.added_facts(facts.where("id % 2 = 0"), facts.withColumn("seq", F.col("id")), T.AS_OF_FACTS).select("id", "type", "content", "source_file")
 
 
 @query(f"WITH {O.FACTS} SELECT e AS id, count(*) AS mention_count, max(recorded_at) AS last_seen FROM (SELECT unnest(entity_ids) AS e, recorded_at FROM fact) GROUP BY 1", dates=("last_seen",))
@@ -356,104 +381,86 @@ def trends(s: SparkSession, d: str) -> DataFrame:
 # --- graph ----------------------------------------------------------------------------------------
 
 
-def _kept(s: SparkSession, d: str, customers: bool = True) -> tuple[DataFrame, DataFrame]:
-    rel = T.relationships(s, d).where("type = 'belongs-to' or seen_count >= 3" if customers else "type = 'belongs-to'")
-    ends = rel.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    return T.entities(s, d).join(ends, "id", "left_semi"), rel
-
+def _graph(s: SparkSession, d: str) -> graph.Graph:
+    return graph.load(T.entities(s, d), T.relationships(s, d))
 
-def _tree(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return _kept(s, d, customers=False)
 
-
-def _whole(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return T.entities(s, d), T.relationships(s, d)
+@query(f"WITH {O.GRAPH} SELECT src, dst, round(weight, 6) AS weight, types FROM edges")
+def graph_edges(s: SparkSession, d: str) -> DataFrame:
+    return _graph(s, d).edges.withColumn("weight", r6("weight"))
 
 
-@query(f"WITH {O.GRAPH} SELECT src, dst, round(weight, 6) AS weight, types FROM edges")
-def graph_edges(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
-    return graph.load(*rows(s, d)).edges.withColumn("weight", r6("weight"))
+@query(f"WITH {O.ENTITIES}, {O.GRAPH} SELECT ent.id, count(src) AS degree, round(coalesce(sum(weight), 0), 6) AS weighted_degree FROM ent LEFT JOIN edges ON src = ent.id GROUP BY 1")
+def graph_degree(s: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(_graph(s, d)).withColumn("weighted_degree", r6("weighted_degree"))
 
 
-@query(f"WITH {O.GRAPH} SELECT src AS id, count(*) AS degree, round(sum(weight), 6) AS weighted_degree FROM edges GROUP BY 1")
-def graph_degree(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
-    return graph.degrees(graph.load(*rows(s, d))).withColumn("weighted_degree", r6("weighted_degree"))
+@query(f"WITH {O.ENTITIES}, {O.GRAPH} SELECT ent.id, name, type, count(src) AS degree FROM ent JOIN edges ON src = ent.id GROUP BY ALL ORDER BY degree DESC, ent.id LIMIT 10")
+def graph_top_degrees(s: SparkSession, d: str) -> DataFrame:
+    return graph.top_degrees(_graph(s, d)).select("id", "name", "type", "degree")
 
 
-@query(f"""WITH RECURSIVE {O.GRAPH}, reach AS (SELECT id AS root, id FROM nodes UNION SELECT r.root, e.dst FROM reach r JOIN edges e ON r.id = e.src WHERE r.root LIKE 'region-%')
-SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) / CAST(2 AS DOUBLE) FROM edges) AS edges,
-  round((SELECT count(*) FROM edges) / CAST((SELECT count(*) * (count(*) - 1) FROM nodes) AS DOUBLE), 9) AS density,
-  round((SELECT count(*) FROM edges) / CAST((SELECT count(*) FROM nodes) AS DOUBLE), 6) AS avg_degree,
-  (SELECT count(DISTINCT low) FROM (SELECT id, min(root) AS low FROM reach WHERE root LIKE 'region-%' GROUP BY id)) AS components""")
-def graph_stats(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
-    return graph.stats(graph.load(*rows(s, d)).stored()).withColumns({"density": F.round("density", 9), "avg_degree": F.round("avg_degree", 6)})
+@query(f"""WITH RECURSIVE {O.ENTITIES}, {O.GRAPH}, {O.COMPONENTS}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM ent), e AS (SELECT CAST(count(*) AS DOUBLE) AS e FROM edges)
+SELECT CAST(n AS BIGINT) AS nodes, e / 2 AS edges, round(e / (n * (n - 1)), 9) AS density, round(e / n, 6) AS avg_degree, (SELECT count(DISTINCT component) FROM comp) AS components FROM n, e""")
+def graph_stats(s: SparkSession, d: str) -> DataFrame:
+    return graph.stats(_graph(s, d).stored()).withColumns({"density": F.round("density", 9), "avg_degree": F.round("avg_degree", 6)})
 
 
-@query(f"""WITH RECURSIVE {O.TREE}, reach AS (SELECT id AS root, id FROM nodes UNION SELECT r.root, e.dst FROM reach r JOIN edges e ON r.id = e.src)
-SELECT id, min(root) AS component FROM reach GROUP BY id""")
-def graph_components(s: SparkSession, d: str, rows: Callable = _tree) -> DataFrame:
-    return graph.components(graph.load(*rows(s, d)).stored())
+@query(f"WITH RECURSIVE {O.ENTITIES}, {O.GRAPH}, {O.COMPONENTS} SELECT id, component FROM comp")
+def graph_components(s: SparkSession, d: str) -> DataFrame:
+    return graph.components(_graph(s, d).stored())
 
 
 @query(f"""WITH {O.GRAPH}, d1 AS (SELECT dst AS id FROM edges WHERE src = 'nation-1'), d2 AS (SELECT DISTINCT e.dst AS id FROM edges e JOIN d1 ON e.src = d1.id)
 SELECT 'nation-1' AS id, 0 AS distance UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2 WHERE id <> 'nation-1' AND id NOT IN (SELECT id FROM d1)""")
-def graph_neighborhood(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
-    return graph.neighborhood(graph.load(*rows(s, d)).stored(), "nation-1", 2)[0].select("id", "distance")
+def graph_neighborhood(s: SparkSession, d: str) -> DataFrame:
+    return graph.neighborhood(_graph(s, d).stored(), "nation-1", 2)[0].select("id", "distance")
 
 
 @query(f"""WITH {O.GRAPH}, d1 AS (SELECT dst AS id FROM edges WHERE src = 'nation-1'), d2 AS (SELECT DISTINCT e.dst AS id FROM edges e JOIN d1 ON e.src = d1.id),
 dist AS (SELECT id, min(d) AS d FROM (SELECT 'nation-1' AS id, 0 AS d UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2) GROUP BY id)
 SELECT src AS "from", dst AS "to", array_to_string(types, ', ') AS label, round(weight, 6) AS value FROM edges JOIN dist a ON a.id = src JOIN dist b ON b.id = dst WHERE src <= dst AND least(a.d, b.d) < 2""")
-def graph_neighborhood_edges(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
-    return graph.neighborhood_export(graph.load(*rows(s, d)).stored(), "nation-1", 2)[1].withColumn("value", r6("value"))
-
-
-@query(f"""WITH RECURSIVE {O.TREE}, p AS (SELECT 'supplier-1' AS node, ['supplier-1'] AS path, 0 AS hops, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS total
-UNION ALL SELECT e.dst, list_append(p.path, e.dst), p.hops + 1, p.cost + 1 / greatest(e.weight, CAST(0.01 AS DOUBLE)), p.total + e.weight FROM p JOIN edges e ON p.node = e.src
-  WHERE p.hops < 4 AND NOT list_contains(p.path, e.dst))
-SELECT path, hops, round(cost, 6) AS cost, round(total, 6) AS total_weight FROM p
-WHERE node = (SELECT up.target_id FROM rel own JOIN rel up ON up.source_id = own.target_id WHERE own.source_id = 'supplier-1') ORDER BY cost, hops, path LIMIT 1""")
-def graph_path(s: SparkSession, d: str, rows: Callable = _tree) -> DataFrame:
-    g = graph.load(*rows(s, d)).stored()
-    nation = g.edges.where("src = 'supplier-1'").select(F.col("dst").alias("src"))
-    goal = g.edges.join(nation, "src").where("dst like 'region-%'").agg(F.max("dst")).first()[0]
-    return graph.shortest_path(g, "supplier-1", goal or "", 4).select("path", "hops", r6("cost"), r6("total_weight"))
+def graph_neighborhood_edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.neighborhood_export(_graph(s, d).stored(), "nation-1", 2)[1].withColumn("value", r6("value"))
 
 
-_BETWEEN = """paths AS (SELECT s.id AS s, s.id AS v, 0 AS d, [s.id] AS path FROM nodes s
-  UNION ALL SELECT p.s, e.dst, p.d + 1, list_append(p.path, e.dst) FROM paths p JOIN edges e ON p.v = e.src WHERE NOT list_contains(p.path, e.dst) AND p.d < 6),
-sp AS (SELECT s, v, d, count(*) AS k FROM paths p WHERE d = (SELECT min(d) FROM paths q WHERE q.s = p.s AND q.v = p.v) GROUP BY s, v, d),
-b AS (SELECT x.v AS id, sum(CAST(x.k * y.k AS DOUBLE) / z.k) AS t FROM sp x JOIN sp y ON x.v = y.s JOIN sp z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d
-  WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v GROUP BY 1)"""
+def _layer(k: int) -> str:
+    """The cheapest way of just k edges to each node, the first of equal ones."""
+    return f"""l{k} AS (SELECT DISTINCT ON (node) * FROM (SELECT e.dst AS node, list_append(path, e.dst) AS path, cost + 1 / greatest(e.weight, CAST(0.01 AS DOUBLE)) AS cost, total + e.weight AS total
+  FROM l{k - 1} JOIN edges e ON node = e.src WHERE e.src <> e.dst AND NOT list_contains(path, e.dst)) ORDER BY node, cost, path)"""
 
 
-@query(f"""WITH RECURSIVE {O.TREE}, {_BETWEEN} SELECT nodes.id, round(coalesce(t, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 6) AS betweenness FROM nodes LEFT JOIN b ON b.id = nodes.id""")
-def graph_betweenness(s: SparkSession, d: str, rows: Callable = _tree) -> DataFrame:
-    return graph.betweenness(graph.load(*rows(s, d)).stored()).withColumn("betweenness", r6("betweenness"))
+@query(f"""WITH {O.GRAPH}, l0 AS (SELECT 'supplier-1' AS node, ['supplier-1'] AS path, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS total), {", ".join(_layer(k) for k in (1, 2, 3, 4))}
+SELECT path, CAST(len(path) - 1 AS INTEGER) AS hops, round(cost, 6) AS cost, round(total, 6) AS total_weight FROM (FROM l1 UNION ALL FROM l2 UNION ALL FROM l3 UNION ALL FROM l4)
+WHERE node = (SELECT max(f.dst) FROM edges e JOIN edges f ON e.dst = f.src WHERE e.src = 'supplier-1' AND f.dst LIKE 'region-%') ORDER BY cost, len(path), path LIMIT 1""")
+def graph_path(s: SparkSession, d: str) -> DataFrame:
+    g = _graph(s, d).stored()
+    near = g.edges.where("src = 'supplier-1'").select(F.col("dst").alias("src"))
+    goal = g.edges.join(near, "src").where("dst like 'region-%'").agg(F.max("dst")).first()[0]
+    return graph.shortest_path(g, "supplier-1", goal or "", 4).select("path", "hops", r6("cost"), r6("total_weight"))
 
 
-@query(f"""WITH RECURSIVE {O.TREE}, {_BETWEEN}, {O.ENTITIES}, base AS (SELECT n.id, (SELECT count(*) FROM edges WHERE src = n.id) AS degree,
-  coalesce(t, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2) AS between_, mention_count AS m,
-  coalesce(exp(-date_diff('day', last_seen, DATE '2001-12-31') / CAST(90 AS DOUBLE)), 0) AS recency FROM nodes n LEFT JOIN b ON b.id = n.id JOIN ent ON ent.id = n.id),
-top AS (SELECT greatest(1, max(degree)) AS d, greatest(CAST(1e-10 AS DOUBLE), max(between_)) AS b, greatest(1, max(m)) AS m FROM base),
-sc AS (SELECT id, CAST(0.3 AS DOUBLE) * (degree / CAST(top.d AS DOUBLE)) + CAST(0.25 AS DOUBLE) * (between_ / top.b) + CAST(0.25 AS DOUBLE) * (base.m / CAST(top.m AS DOUBLE)) + CAST(0.2 AS DOUBLE) * recency AS score FROM base, top)
-SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM sc""")
-def graph_importance(s: SparkSession, d: str, rows: Callable = _tree) -> DataFrame:
-    entities = T.entities(s, d)
-    found = graph.importance(graph.load(*rows(s, d)).stored(), entities, T.AS_OF_TRADE).drop("rank").withColumn("near", F.round("score", 9))
+@query()
+def graph_betweenness(s: SparkSession, d: str) -> DataFrame:
+    return graph.betweenness(_graph(s, d).stored()).withColumn("betweenness", r6("betweenness"))
+
+
+@query()
+def graph_importance(s: SparkSession, d: str) -> DataFrame:
+    found = graph.importance(_graph(s, d).stored(), T.entities(s, d), T.AS_OF_TRADE).drop("rank").withColumn("near", F.round("score", 9))
     return graph.ranked(found, [F.desc("near"), F.asc("id")]).select("id", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def graph_communities(s: SparkSession, d: str) -> DataFrame:
-    g = graph.load(*_whole(s, d)).stored()
+    g = _graph(s, d).stored()
     return graph.community_members(g, graph.communities(g))
 
 
 @query(f"""WITH {O.GRAPH} SELECT x.src AS a, y.src AS b, count(*) AS common FROM edges x JOIN edges y ON x.dst = y.dst AND x.src < y.src
 WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = x.src AND e.dst = y.src) GROUP BY ALL HAVING count(*) >= 2 ORDER BY common DESC, a, b LIMIT 100""")
-def suggest_missing(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
-    return graph.missing_links(graph.load(*rows(s, d)), limit=100)
+def suggest_missing(s: SparkSession, d: str) -> DataFrame:
+    return graph.missing_links(_graph(s, d).stored(), limit=100)
 
 
 @query(f"""WITH {O.RELATIONS} SELECT source_id, target_id, type, round(weight, 6) AS weight, last_seen, seen_count, CAST(date_diff('day', last_seen, DATE '2001-12-31') AS INTEGER) AS days_since
@@ -469,26 +476,14 @@ def suggest_emerging(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {O.ENTITIES}, {O.GRAPH} SELECT ent.id, name AS label, type AS "group", '{S.DEFAULT_COLOR}' AS color,
-round(greatest(8, least(25, 8 + 3 * log2(mention_count + CAST(1 AS DOUBLE)))), 6) AS size FROM ent WHERE ent.id IN (SELECT id FROM nodes)""")
-def graph_export(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
-    return graph.export(*rows(s, d))[0].withColumn("size", r6("size"))
-
+round(greatest(8, least(25, 8 + 3 * log2(mention_count + CAST(1 AS DOUBLE)))), 6) AS size FROM ent WHERE ent.id IN (SELECT src FROM edges)""")
+def graph_export(s: SparkSession, d: str) -> DataFrame:
+    return graph.export(T.entities(s, d), T.relationships(s, d))[0].withColumn("size", r6("size"))
 
-@query(f"""WITH {O.GRAPH} SELECT source_id AS "from", target_id AS "to", type AS label, round(weight, 6) AS value, seen_count FROM kept""")
-def graph_export_edges(s: SparkSession, d: str, rows: Callable = _kept) -> DataFrame:
-    return graph.export(*rows(s, d))[1].withColumn("value", r6("value"))
 
-
-# The same over whole tables: SQL where it isn't too slow for them. The queries above see the part of the relationships that their SQL names.
-
-_DEGREES = f"""WITH {O.ENTITIES}, {O.WHOLE} SELECT ent.id, count(src) AS degree, round(coalesce(sum(weight), 0), 6) AS weighted_degree FROM ent LEFT JOIN edges ON src = ent.id GROUP BY 1"""
-
-for _f in (graph_edges, graph_neighborhood, graph_neighborhood_edges, suggest_missing, graph_export, graph_export_edges):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, rows=_whole)
-    ORACLES[f"{_f.__name__}_whole"] = ORACLES[_f.__name__].replace(O.GRAPH, O.WHOLE)
-for _f in (graph_degree, graph_stats, graph_components, graph_path, graph_betweenness, graph_importance):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, rows=_whole)
-ORACLES["graph_degree_whole"] = _DEGREES
+@query(f"""WITH {O.RELATIONS} SELECT source_id AS "from", target_id AS "to", type AS label, round(weight, 6) AS value, seen_count FROM rel""")
+def graph_export_edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.export(T.entities(s, d), T.relationships(s, d))[1].withColumn("value", r6("value"))
 
 
 # --- parsing and upkeep ---------------------------------------------------------------------------
@@ -513,14 +508,16 @@ def extract_date(s: SparkSession, d: str) -> DataFrame:
     return T.notes(s, d).select("path", X.extract_date(F.col("path"), F.col("modified_at")).alias("date"), F.substring_index(X.base_name(F.col("path")), " ", -1).alias("ending"))
 
 
-#: Names looked for in texts: short, long, with a space, with other characters, and one that nothing holds.
+#: Entities that texts do name, beside all those of the table: short, long, with a space, with other characters, and one that nothing holds.
 _NAMES = {"apache": "apache license", "work": "this work", "the": "the", "ouan": "ouan", "mail": "@", "phone": "+1 (", "none": "no such name"}
-_MENTIONS = f"""{O.FILES}, names AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{k}')" for i, k in _NAMES.items())}) AS n(id, key)),
-mentions AS (SELECT path, names.id FROM files JOIN names ON contains(lower(content), key))"""
+_MENTIONS = f"""{O.FILES}, {O.ENTITIES}, names AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '{k}')" for i, k in _NAMES.items())}) AS n(id, key)
+  UNION ALL SELECT first(id ORDER BY p, id), key FROM (SELECT lower(name) AS key, 0 AS p, id FROM ent UNION ALL SELECT lower(unnest(aliases)), 1, id FROM ent) WHERE key <> '' GROUP BY key),
+mentions AS (SELECT DISTINCT path, names.id FROM files JOIN names ON contains(lower(content), key))"""
 
 
 def _mentions(s: SparkSession, d: str) -> DataFrame:
-    return extraction.co_mentioned(T.files(s, d), s.createDataFrame([(k, i) for i, k in _NAMES.items()], "key string, id string"))
+    own = s.createDataFrame([(k, i) for i, k in _NAMES.items()], "key string, id string")
+    return extraction.co_mentioned(T.files(s, d), stores.names(T.entities(s, d)).unionByName(own))
 
 
 @query(f"WITH {_MENTIONS} SELECT path, id FROM mentions")
@@ -574,3 +571,86 @@ def rename_apply(s: SparkSession, d: str) -> DataFrame:
     files = _stored(s, d)
     moves = files.where("id % 4 = 0").select(F.col("path").alias("old_path"), F.concat(F.lit("moved/x"), F.col("id").cast("string"), F.lit(".md")).alias("path"))
     return maintenance.renamed(files, moves).select("path", "title", "directory")
+
+
+# --- changes of stores ----------------------------------------------------------------------------
+
+_DAY = "2001-07-01"
+
+
+@query(f"""WITH {O.OBSERVED}, o AS (SELECT source_id, target_id, type, count(*) AS n, max(day) AS last_seen FROM observed WHERE day < DATE '{_DAY}' GROUP BY ALL),
+b AS (SELECT source_id, target_id, type, count(*) AS n FROM observed WHERE day >= DATE '{_DAY}' GROUP BY ALL),
+m AS (SELECT coalesce(o.source_id, b.source_id) AS source_id, coalesce(o.target_id, b.target_id) AS target_id, coalesce(o.type, b.type) AS type, coalesce(o.n, 0) + coalesce(b.n, 0) AS seen_count,
+  CASE WHEN b.n IS NULL THEN o.last_seen ELSE DATE '2001-12-31' END AS last_seen, b.n IS NULL AS old FROM o FULL JOIN b ON o.source_id = b.source_id AND o.target_id = b.target_id AND o.type = b.type)
+SELECT source_id, target_id, type, seen_count, last_seen, CAST(CASE WHEN old OR seen_count > 0 AND EXISTS (SELECT 1 FROM o WHERE o.source_id = m.source_id AND o.target_id = m.target_id AND o.type = m.type) THEN 0.75 ELSE 0.5 END AS DOUBLE) AS confidence,
+  round(CASE WHEN old THEN CAST(7 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) * log2(seen_count + CAST(1 AS DOUBLE)) END, 6) AS weight FROM m""", dates=("last_seen",))
+def relationship_merge(s: SparkSession, d: str) -> DataFrame:
+    """Relationships seen before a day, with a weight of 7 and a confidence of 0.75, and all later observations, with one of 0.5."""
+    log = _observation_log(s, d)
+    old = stores.consolidated(log.where(F.col("observed_on") < F.lit(_DAY).cast("date"))).withColumns({"weight": F.lit(7.0), "confidence": F.lit(0.75)})
+    new = stores.merged_relationships(old, log.where(F.col("observed_on") >= F.lit(_DAY).cast("date")), T.entities(s, d), T.AS_OF_TRADE)
+    return new.select("source_id", "target_id", "type", "seen_count", "last_seen", "confidence", r6("weight"))
+
+
+@query(f"""WITH {O.ENTITIES} SELECT id, type, CASE WHEN id IN (SELECT 'supplier-' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) THEN upper(name) || ' 2' ELSE name END AS name, mention_count, last_seen FROM ent
+UNION ALL SELECT 'new-' || s_suppkey, 'supplier', upper(s_name) || ' 2', 0, DATE '2001-12-31' FROM supplier WHERE s_suppkey % 3 = 1""", dates=("last_seen",))
+def entity_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Every third supplier comes twice with other names, the last one counts; every third one comes with a new id."""
+    empty = {"metadata": F.lit("{}"), "source_path": F.lit(None).cast("string")}
+    entities = T.entities(s, d).withColumns(empty | {"first_seen": F.col("last_seen")})
+    own = T.raw(s, d, "supplier").where("s_suppkey % 3 < 2").select(F.concat(F.when(F.col("s_suppkey") % 3 == 0, "supplier-").otherwise("new-"), F.col("s_suppkey").cast("string")).alias("id"), F.upper("s_name").alias("base"))
+    batch = own.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns({"name": F.concat("base", F.lit(" "), F.col("seq").cast("string")), "type": F.lit("supplier"), "aliases": F.array().cast("array<string>")} | empty)
+    return stores.upserted_entities(entities, batch, T.AS_OF_TRADE).select("id", "type", "name", "mention_count", "last_seen")
+
+
+@query(f"""WITH {O.TALKS} SELECT session_id, summary FROM talks WHERE id % 2 = 0
+UNION ALL SELECT CASE WHEN id % 3 = 0 THEN 'later-' || id ELSE session_id END, 'again' FROM talks WHERE id % 3 = 0 OR id % 2 = 1""")
+def conversation_insert(s: SparkSession, d: str) -> DataFrame:
+    """Sessions with an even id are stored; all come once more, every third as a new one, and each twice."""
+    talks = T.conversations(s, d)
+    again = talks.withColumns({"session_id": F.when(F.col("id") % 3 == 0, F.concat(F.lit("later-"), F.col("id").cast("string"))).otherwise(F.col("session_id")), "seq": F.explode(F.array(F.lit(1), F.lit(2)))})
+    again = again.withColumn("summary", F.when(F.col("seq") == 1, "again").otherwise("too late"))
+    return stores.added_conversations(talks.where("id % 2 = 0"), again).select("session_id", "summary")
+
+
+@query(f"""WITH {O.OBSERVED} SELECT source_file, min(day) AS extracted_at FROM observed WHERE source_id = (SELECT min(source_id) FROM observed WHERE target_id = 'supplier-1') AND target_id = 'supplier-1'
+GROUP BY source_file ORDER BY extracted_at DESC, source_file""", dates=("extracted_at",))
+def evidence_listing(s: SparkSession, d: str) -> DataFrame:
+    one = T.relationships(s, d).where("target_id = 'supplier-1'").agg(F.min_by("id", "source_id")).first()[0]
+    return stores.evidence_of(T.evidence(s, d), one or 0).select("source_file", F.to_date("extracted_at").alias("extracted_at"))
+
+
+@query(f"""WITH {O.FILES}, {O.VECTORS} SELECT 'files' AS what, count(*) AS rows FROM files WHERE directory <> 'src3'
+UNION ALL SELECT 'embeddings', count(*) FROM vectors WHERE file_id NOT IN (SELECT id FROM files WHERE directory = 'src3')""")
+def file_removal(s: SparkSession, d: str) -> DataFrame:
+    files = T.files(s, d)
+    left, vecs = maintenance.removed(files, T.embeddings(s, d), files.where("directory = 'src3'").select("path"))
+    return explorer.counts({"files": left, "embeddings": vecs}).withColumnRenamed("table", "what")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 2 END AS n, event_type AS first, CASE WHEN event_id % 5 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence FROM events""")
+def stored_json(s: SparkSession, d: str) -> DataFrame:
+    """Lists that are kept as JSON text, some of it broken, and numbers that are missing."""
+    e = T.raw(s, d, "events")
+    text = F.when(F.col("event_id") % 4 == 0, F.lit('["broken')).otherwise(F.to_json(F.array("event_type", "props")))
+    rows = e.select(F.col("event_id").alias("id"), "event_type", text.alias("aliases"), text.alias("entity_ids"), F.lit("{").alias("metadata"), F.lit(None).cast("long").alias("mention_count"),
+                    F.when(F.col("event_id") % 5 != 0, F.lit(0.5)).alias("confidence"), *[F.lit(None).cast(k).alias(c) for c, k in (("weight", "double"), ("extraction_method", "string"), ("seen_count", "long"))])
+    rows = stores.decoded_relationships(stores.decoded_facts(stores.decoded_entities(rows)))
+    sound = (F.col("weight") == 1.0) & (F.col("seen_count") == 1) & (F.col("mention_count") == 0) & (F.col("metadata") == "{}") & (F.col("aliases") == F.col("entity_ids")) & (F.col("extraction_method") == "rule")
+    return rows.where(sound).select("id", F.size("aliases").cast("int").alias("n"), F.col("event_type").alias("first"), "confidence")
+
+
+# --- streams --------------------------------------------------------------------------------------
+
+
+@query("""SELECT strftime(date_trunc('hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_windows(s: SparkSession, d: str) -> DataFrame:
+    found = changes.windowed_counts(T.raw(s, d, "events"))
+    return found.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS t, lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+k AS (SELECT *, sum(CASE WHEN before IS NULL OR t - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM k GROUP BY user_id, session""")
+def event_sessions(s: SparkSession, d: str) -> DataFrame:
+    return changes.sessions(T.raw(s, d, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

@@ -34,15 +34,14 @@ TALKS = """talks AS (SELECT conv_id AS id, 'session-' || conv_id AS session_id,
   coalesce(first(text ORDER BY turn, text) FILTER (role = 'user'), '') AS summary, array_to_string(list_sort(list(DISTINCT role)), ' ') AS topics,
   last(text ORDER BY turn, text) FILTER (role = 'assistant') AS outcome FROM conversations GROUP BY conv_id)"""
 
-#: Edges both ways of the small graph: suppliers, nations, regions and customers that traded three times or more with a supplier.
-GRAPH = f"""{RELATIONS}, kept AS (SELECT * FROM rel WHERE type = 'belongs-to' OR seen_count >= 3),
-one AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, max(weight) AS weight, list_sort(list(DISTINCT type)) AS types FROM kept GROUP BY ALL),
-edges AS (SELECT a AS src, b AS dst, weight, types FROM one UNION ALL SELECT b, a, weight, types FROM one WHERE a <> b),
-nodes AS (SELECT DISTINCT src AS id FROM edges)"""
-#: The same without customers.
-TREE = GRAPH.replace("WHERE type = 'belongs-to' OR seen_count >= 3", "WHERE type = 'belongs-to'")
-#: The same of all relationships.
-WHOLE = GRAPH.replace(" WHERE type = 'belongs-to' OR seen_count >= 3", "")
+#: Edges both ways of the whole graph. Its nodes are all entities, linked or not.
+GRAPH = f"""{RELATIONS},
+one AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, max(weight) AS weight, list_sort(list(DISTINCT type)) AS types FROM rel GROUP BY ALL),
+edges AS (SELECT a AS src, b AS dst, weight, types FROM one UNION ALL SELECT b, a, weight, types FROM one WHERE a <> b)"""
+#: The least entity that each entity reaches. All that is linked reaches a region; the rest is alone.
+COMPONENTS = """reach AS (SELECT id AS root, id FROM ent WHERE type = 'region' UNION SELECT r.root, e.dst FROM reach r JOIN edges e ON r.id = e.src),
+own AS (SELECT id, min(root) AS root FROM reach GROUP BY id), low AS (SELECT root, min(id) AS component FROM reach GROUP BY root),
+comp AS (SELECT ent.id, coalesce(component, ent.id) AS component FROM ent LEFT JOIN own ON own.id = ent.id LEFT JOIN low ON low.root = own.root)"""
 
 WORDS = f"regexp_extract_all(translate(lower(coalesce({{}}, '')), '{MARKED}', '{PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
 

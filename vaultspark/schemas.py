@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 8
 
 
-_ATOMS = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+_ATOMS = {"boolean": T.BooleanType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType()}
 
 
 def _kind(text: str) -> T.DataType:
@@ -51,7 +51,11 @@ CONVERSATIONS = _schema(
 OBSERVATIONS = _schema(
     "seq bigint, source_id string, target_id string, type string, context string, source_file string, confidence double, extraction_method string, observed_on date"
 )
-CHANGES = _schema("op string, path string, old_path string, modified_at bigint, raw string")
+#: ``seq`` orders events; without it their ``modified_at`` does.
+CHANGES = _schema("op string, path string, old_path string, modified_at bigint, raw string, seq bigint")
+#: What was last written to a path: when it came there, when it was written, and whether it is gone.
+PATHS = _schema("path string, pos bigint, seq bigint, gone boolean")
+RENAMES = _schema("old_path string, path string, seq bigint")
 LLM_RESPONSE = _schema(
     "relationships array<struct<source:string,target:string,type:string,confidence:double,context:string>>, newEntities array<struct<name:string,type:string>>"
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ def scan(spark: SparkSession, root: str, skip_dirs: Iterable[str] = (), top_leve
     """path (below ``root``), modified_at (ms) and raw text of every Markdown note.
 
     Hidden files and folders are left out, and folders named in ``skip_dirs``: at any depth, or only directly below
-    ``root`` with ``top_level_only`` (hidden ones too, then, only if the path itself starts with a dot).
+    ``root`` with ``top_level_only``. Spark's reader lists no file or folder whose name begins with a dot or an underscore.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreMissingFiles", True).load(root)
     below = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z]+:/*", "/")
@@ -31,15 +32,41 @@ def scan(spark: SparkSession, root: str, skip_dirs: Iterable[str] = (), top_leve
     return rows.where(~hidden & ~F.arrays_overlap(folders, skip) if skip_dirs else ~hidden)
 
 
-def read_if_exists(notes: DataFrame, paths: DataFrame) -> DataFrame:
+class NoteSource(Protocol):
+    """Where notes come from: ``notes`` gives path, modified_at and raw of all, and the rest follows from it."""
+
+    def notes(self) -> DataFrame: ...
+
+
+class Folder:
+    """The Markdown notes below a folder that Spark can read."""
+
+    def __init__(self, spark: SparkSession, root: str, skip_dirs: Iterable[str] = (), top_level_only: bool = False) -> None:
+        self.spark, self.root, self.skip_dirs, self.top_level_only = spark, root, tuple(skip_dirs), top_level_only
+
+    def notes(self) -> DataFrame:
+        return scan(self.spark, self.root, self.skip_dirs, self.top_level_only)
+
+
+class Rows:
+    """Notes that are a table already."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def notes(self) -> DataFrame:
+        return self.rows.select("path", "modified_at", "raw")
+
+
+def read_if_exists(source: NoteSource, paths: DataFrame) -> DataFrame:
     """path and raw of each of ``paths``; raw is null where there is no such note."""
-    return paths.join(notes.select("path", "raw"), "path", "left")
+    return paths.join(source.notes().select("path", "raw"), "path", "left")
 
 
-def sub_directories(notes: DataFrame, parent: str) -> DataFrame:
+def sub_directories(source: NoteSource, parent: str) -> DataFrame:
     """Names of the folders directly below ``parent`` that hold notes; no row if it doesn't exist."""
     rest = F.substring("path", len(parent) + 2, 1 << 30)
-    return notes.where(F.col("path").startswith(f"{parent}/") & rest.contains("/")).select(F.split(rest, "/")[0].alias("name")).distinct()
+    return source.notes().where(F.col("path").startswith(f"{parent}/") & rest.contains("/")).select(F.split(rest, "/")[0].alias("name")).distinct()
 
 
 def _plain(value: object) -> object:
@@ -96,3 +123,28 @@ def parse(notes: DataFrame) -> DataFrame:
         "content",
         "modified_at",
     )
+
+
+def parse_cached(notes: DataFrame, cache: DataFrame) -> DataFrame:
+    """As ``parse``, with what a host knows of each note: ``cache`` has path, tags, links and frontmatter (JSON).
+
+    Tags are the host's and those of its front-matter, links the host's and those of the raw text; the content is what follows the second
+    three dashes, trimmed, if the note begins with three.
+    """
+    end = F.locate("---", F.col("raw"), 4)
+    content = F.when(F.col("raw").startswith("---") & (end > 0), X.trimmed(F.expr("substring(raw, locate('---', raw, 4) + 3)"))).otherwise(F.col("raw"))
+    rows = notes.join(cache.select("path", F.col("tags").alias("__tags"), F.col("links").alias("__links"), "frontmatter"), "path", "left")
+    given = F.get_json_object("frontmatter", "$.tags")
+    own = F.when(given.startswith("["), F.from_json(given, "array<string>")).when(given.isNotNull(), X.comma_list(given))
+    none = F.array().cast("array<string>")
+    links = F.transform(F.coalesce("__links", none), lambda x: X.trimmed(F.regexp_extract(x, r"^[^#|]*", 0)))
+    return rows.select(
+        "path",
+        X.base_name(F.col("path")).alias("title"),
+        X.directory(F.col("path")).alias("directory"),
+        F.array_union(F.transform(F.coalesce("__tags", none), lambda x: F.regexp_replace(x, "^#", "")), F.coalesce(own, none)).alias("tags"),
+        F.coalesce("frontmatter", F.lit("{}")).alias("frontmatter"),
+        F.array_union(links, X.wiki_links(F.col("raw"))).alias("wiki_links"),
+        content.alias("content"),
+        "modified_at",
+    )
