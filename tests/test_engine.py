@@ -1,7 +1,10 @@
+import http.server
 import itertools
 import json
 import math
 import os
+import threading
+import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from vaultspark.operators import explorer, extraction, stores
 from vaultspark.schemas import CHANGES, FILES, PATHS, RENAMES
 from vaultspark.sources import markdown
 from vaultspark.sources.scratch import written
+from vaultspark.sources.service import Service
 from vaultspark.streaming import changes
 
 
@@ -167,7 +171,16 @@ def test_store(spark, tmp_path):
     assert e.keep_vectors() and not e.keep_vectors("never") and not e.keep_vectors(limit_mb=0)
     for k in range(12):
         e.replace("facts", spark.createDataFrame([(k, "t", "c", ["z"], "2024-01-01", None, None)], "id long, type string, content string, entity_ids array<string>, day string, valid_until date, source_file string").withColumn("recorded_at", F.col("day").cast("date")).drop("day"))
-    assert len(e._versions("facts")) == 10
+    assert len([p for p in (tmp_path / "store" / "facts").iterdir()]) == 10 and len(e._commits()) == 10
+    with pytest.raises(RuntimeError), e.transaction():
+        e.replace("facts", e.table("facts").limit(0))
+        assert e.table("facts").count() == 0
+        raise RuntimeError
+    assert e.table("facts").count() == 1
+    again = Engine(spark, str(tmp_path / "store"))
+    assert again.schema_version == 8 and again.table("facts").count() == 1
+    (tmp_path / "store" / "schema-8").rename(tmp_path / "store" / "schema-7")
+    assert Engine(spark, str(tmp_path / "store")).table("files").count() == 2 and (tmp_path / "store" / "schema-8").exists()
     detail = e.detail("z")
     assert detail["facts"].count() == 1 and detail["latest"].first()["id"] == 11 and detail["entity"].count() == 0
     assert e.temporal("facts", "z").first()["names"] == ["z"] and e.temporal("activity", "z").first()["period"] == "2024-01"
@@ -199,3 +212,40 @@ def test_sources(spark, tmp_path):
         (tmp_path / path).write_text("t")
     paths = lambda **k: sorted(r["path"] for r in markdown.scan(spark, str(tmp_path), ["top"], **k).collect())
     assert paths() == [] and paths(top_level_only=True) == ["keep/top/y.md"]
+
+
+class Answers(http.server.BaseHTTPRequestHandler):
+    def do_GET(self):
+        self.send_response(200 if self.path == "/api/tags" else 404)
+        self.end_headers()
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.send_response(500 if body["prompt"] == "fail" else 200)
+        self.end_headers()
+        answer = {"embedding": [float(len(body["prompt"])), 1.0]} if self.path == "/api/embeddings" else {"response": f"{body['model']}:{body['options']['num_predict']}"}
+        self.wfile.write(json.dumps(answer).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_service():
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    s = Service(f"http://127.0.0.1:{server.server_port}/", "m", "g")
+    assert s.healthy() and s.embed(["ab", ""]) == [[2.0, 1.0], [0.0, 1.0]] and s.generate(["x"]) == ["g:2048"]
+    with pytest.raises(urllib.error.HTTPError):
+        s.embed(["fail"])
+    server.shutdown()
+    server.server_close()
+    assert not s.healthy()
+
+
+def test_running_counts(spark, tmp_path):
+    schema = "source_id string, target_id string, type string, confidence double, observed_on date"
+    rows = spark.createDataFrame([("a", "b", "t", 0.5, None), ("a", "b", "t", 0.7, None), ("b", "a", "t", 1.0, None)], schema)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = changes.running_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r["source_id"], r["seen_count"], r["confidence"]) for r in spark.table("counts").collect()} == {("a", 2, 0.7), ("b", 1, 1.0)}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from vaultspark.sources import markdown
 from vaultspark.sources.scratch import written
 
 
-#: Versions of a table that stay.
+#: Commits whose versions of tables stay.
 KEEP = 10
 
 
@@ -31,6 +33,7 @@ class Engine:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._path, self._fs = path, path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.graph: graph.Graph | None = None
+        self._pending: dict[str, str] | None = None
         self.schema_version = self._upgraded()
 
     def _upgraded(self) -> int:
@@ -40,9 +43,9 @@ class Engine:
         if found > SCHEMA_VERSION:
             raise ValueError(f"the store has schema {found}; this is {SCHEMA_VERSION}")
         if found < SCHEMA_VERSION:
-            for name in TABLES:
-                if done := self._versions(name):
-                    self.replace(name, self.spark.read.parquet(f"{self.root}/{name}/{done[-1]}"))
+            with self.transaction():
+                for name, version in self._committed().items():
+                    self.replace(name, self.spark.read.parquet(f"{self.root}/{name}/{version}"))
             self._fs.create(self._path(f"{self.root}/schema-{SCHEMA_VERSION}")).close()
         return SCHEMA_VERSION
 
@@ -56,23 +59,68 @@ class Engine:
     def today(self) -> str:
         return time.strftime("%Y-%m-%d", time.gmtime(self.clock()))
 
-    def _versions(self, name: str) -> list[str]:
-        """Whole versions of a table, the oldest first."""
-        folder = self._path(f"{self.root}/{name}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if self._fs.exists(self._path(f"{s.getPath()}/_SUCCESS"))) if self._fs.exists(folder) else []
+    def _read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _commits(self) -> list[str]:
+        """Names of the commits, the oldest first."""
+        there = self._path(f"{self.root}/commits")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(there) if s.getPath().getName().startswith("commit-")) if self._fs.exists(there) else []
+
+    def _committed(self) -> dict[str, str]:
+        """The version of each table that counts."""
+        done = self._commits()
+        return json.loads(self._read(f"{self.root}/commits/{done[-1]}")) if done else {}
+
+    def _commit(self, versions: dict[str, str]) -> None:
+        """Let these versions count, all at once, and remove those that the last KEEP commits don't name."""
+        stamp = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        new, name = self._path(f"{self.root}/commits/new-{stamp}"), self._path(f"{self.root}/commits/commit-{stamp}")
+        stream = self._fs.create(new)
+        stream.write(bytearray(json.dumps(self._committed() | versions).encode()))
+        stream.close()
+        self._fs.rename(new, name)
+        done = self._commits()
+        for old in done[:-KEEP]:
+            self._fs.delete(self._path(f"{self.root}/commits/{old}"), False)
+        kept = [json.loads(self._read(f"{self.root}/commits/{c}")) for c in done[-KEEP:]]
+        for table in versions:
+            for old in self._fs.listStatus(self._path(f"{self.root}/{table}")):
+                if old.getPath().getName() not in {v.get(table) for v in kept}:
+                    self._fs.delete(old.getPath(), True)
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Tables replaced inside count together at its end, or not at all."""
+        if self._pending is not None:
+            yield  # part of the transaction around it
+            return
+        self._pending = {}
+        try:
+            yield
+            if self._pending:
+                self._commit(self._pending)
+        finally:
+            self._pending, self.graph = None, None
 
     def table(self, name: str) -> DataFrame:
-        """The newest version of a table; empty before the first."""
-        schema, done = TABLES[name], self._versions(name)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{done[-1]}") if done else self.spark.createDataFrame([], schema)
+        """The version of a table that counts; empty before the first."""
+        schema, version = TABLES[name], (self._committed() | (self._pending or {})).get(name)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}") if version else self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
-        """A new version of a table; it counts once it is whole. The last KEEP versions stay, for those who still read them."""
+        """A new version of a table; it counts once it is whole, or when the transaction around ends. Those of the last KEEP commits stay, for those who still read them."""
         missing = {c: F.lit(None) for c in TABLES[name].names if c not in rows.columns}
         version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         rows.withColumns(missing).to(TABLES[name]).write.parquet(f"{self.root}/{name}/{version}")
-        for old in self._versions(name)[:-KEEP]:
-            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+        if self._pending is None:
+            self._commit({name: version})
+        else:
+            self._pending[name] = version
         self.graph = None
         return self.table(name)
 
@@ -110,9 +158,10 @@ class Engine:
     def _replace_files(self, files: DataFrame, touched: DataFrame) -> None:
         """A new files table; the rows of ``touched`` paths go to the keyword index, and what is gone leaves it and the vectors."""
         before = self.table("files").select("id")
-        files = self.replace("files", files)
-        live = files.select("id")
-        self.replace("embeddings", self.table("embeddings").join(live.withColumnRenamed("id", "file_id"), "file_id", "left_semi"))
+        with self.transaction():
+            files = self.replace("files", files)
+            live = files.select("id")
+            self.replace("embeddings", self.table("embeddings").join(live.withColumnRenamed("id", "file_id"), "file_id", "left_semi"))
         index = self.keywords
         index.update(files if not index.segments() else files.join(touched, "path", "left_semi"), before.join(live, "id", "left_anti"))
         if len(index.segments()) > KEEP:
@@ -124,12 +173,13 @@ class Engine:
             progress(0)
         try:
             files, rows = vectors.reembedded(self.table("files"), self.table("embeddings"), self.now_ms, self.embedder, force)
-            done = self.replace("embeddings", rows)
+            with self.transaction():
+                done = self.replace("embeddings", rows)
+                self.replace("files", files)
         except Exception:
             if progress:
                 progress(-1)
             raise
-        self.replace("files", files)
         if progress:
             progress(100)
         return done.count()
@@ -149,14 +199,15 @@ class Engine:
 
     def _learn(self, entities: DataFrame, seen: DataFrame, facts: DataFrame, done: DataFrame, stamp: str) -> dict[str, int]:
         seen, facts, done = written(seen, "seen"), written(facts, "facts"), written(done.select("path"), "done")
-        entities = self.replace("entities", entities)
-        rel = self.replace("relationships", stores.merged_relationships(self.table("relationships"), seen, entities, self.today))
-        proof, known = self.table("relationship_evidence"), ["relationship_id", "source_file"]
-        more = stores.evidence_log(seen).withColumn("extracted_at", F.timestamp_millis(F.lit(self.now_ms)))
-        more = more.join(proof.select(*known), known, "left_anti").withColumn("id", F.xxhash64(*known))
-        self.replace("relationship_evidence", proof.unionByName(more.to(proof.schema)))
-        told = self.replace("facts", stores.added_facts(self.table("facts"), facts.withColumn("seq", F.lit(0)), self.today))
-        self.replace("files", maintenance.stamped(self.table("files"), done, stamp, self.now_ms))
+        with self.transaction():
+            entities = self.replace("entities", entities)
+            rel = self.replace("relationships", stores.merged_relationships(self.table("relationships"), seen, entities, self.today))
+            proof, known = self.table("relationship_evidence"), ["relationship_id", "source_file"]
+            more = stores.evidence_log(seen).withColumn("extracted_at", F.timestamp_millis(F.lit(self.now_ms)))
+            more = more.join(proof.select(*known), known, "left_anti").withColumn("id", F.xxhash64(*known))
+            self.replace("relationship_evidence", proof.unionByName(more.to(proof.schema)))
+            told = self.replace("facts", stores.added_facts(self.table("facts"), facts.withColumn("seq", F.lit(0)), self.today))
+            self.replace("files", maintenance.stamped(self.table("files"), done, stamp, self.now_ms))
         return {"entities": entities.count(), "relationships": rel.count(), "facts": told.count(), "files": done.count()}
 
     # --- search ---------------------------------------------------------------------------------

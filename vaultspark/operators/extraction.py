@@ -6,6 +6,7 @@ doesn't depend on the order of the notes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -105,6 +106,24 @@ def resolved_links(files: DataFrame, names: DataFrame) -> DataFrame:
 NAMES_AT_ONCE = 500_000
 
 
+_machines: dict[str, object] = {}
+
+
+def _machine(name: str, block):  # noqa: ANN001, ANN202
+    """The automaton of a block of names, None without any; a worker keeps the one it used last, for its next tasks."""
+    import ahocorasick
+
+    if name not in _machines:
+        machine = ahocorasick.Automaton()
+        for key, id_ in block.value:
+            machine.add_word(key, id_)
+        if block.value:
+            machine.make_automaton()
+        _machines.clear()
+        _machines[name] = machine if block.value else None
+    return _machines[name]
+
+
 def co_mentioned(files: DataFrame, names: DataFrame) -> DataFrame:
     """path and id of entities whose name or alias is anywhere in a note, whatever its case.
 
@@ -115,18 +134,12 @@ def co_mentioned(files: DataFrame, names: DataFrame) -> DataFrame:
     found = None
     for k in range(blocks):
         block = [(r["key"], r["id"]) for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).collect()]  # a block of bounded size
-        shared = files.sparkSession.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            import ahocorasick
+        shared, name = files.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-            machine = ahocorasick.Automaton()
-            for key, id_ in shared.value:
-                machine.add_word(key, id_)
-            if shared.value:
-                machine.make_automaton()
+        def search(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            machine = _machine(name, shared)
             for frame in batches:
-                hits = [(p, i) for p, t in zip(frame["path"], frame["content"], strict=True) if t and shared.value for i in {v for _, v in machine.iter(t.lower())}]
+                hits = [(p, i) for p, t in zip(frame["path"], frame["content"], strict=True) if t and machine for i in {v for _, v in machine.iter(t.lower())}]
                 yield pd.DataFrame(hits, columns=["path", "id"])
 
         part = files.select("path", "content").mapInPandas(search, "path string, id string")

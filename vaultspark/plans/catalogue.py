@@ -332,11 +332,9 @@ def mention_rollup(s: SparkSession, d: str) -> DataFrame:
 WHERE (source_id = 'supplier-1' AND target_id LIKE 'nation-%') OR (target_id = 'supplier-1' AND source_id = 'customer-1') GROUP BY source_id, target_id, type, source_file""")
 def relationship_timeline(s: SparkSession, d: str) -> DataFrame:
     rel, seen = T.relationships(s, d), T.evidence(s, d)
-    nations = [r[0] for r in rel.where("source_id = 'supplier-1' and type = 'belongs-to'").select("target_id").collect()]  # one nation
-    found = temporal.relationship_timeline(rel, seen, "supplier-1", "customer-1")
-    for n in nations:
-        found = found.unionByName(temporal.relationship_timeline(rel, seen, "supplier-1", n))
-    return found.select("date", "source_file")
+    nation = rel.where("source_id = 'supplier-1' and type = 'belongs-to'").agg(F.max("target_id")).first()[0]  # a supplier is in one nation
+    found = [temporal.relationship_timeline(rel, seen, "supplier-1", other) for other in ("customer-1", nation or "")]
+    return found[0].unionByName(found[1]).select("date", "source_file")
 
 
 def _activity_sql(label: str) -> str:

@@ -1,4 +1,7 @@
-"""The model tables, derived from the driver's tables."""
+"""The model tables, derived from the driver's tables.
+
+``notes`` and ``conversations`` gather the turns of a conversation in one row: a note is one text, and a conversation isn't unbounded.
+"""
 
 from __future__ import annotations
 

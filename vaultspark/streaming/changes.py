@@ -151,3 +151,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     """Sessions of each user: events less than ``gap`` apart."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def running_counts(observations: DataFrame) -> DataFrame:
+    """seen_count, last_seen and confidence of each relationship so far; on a stream, to be written in update mode."""
+    counted = (F.count("*").alias("seen_count"), F.max("observed_on").alias("last_seen"), F.max("confidence").alias("confidence"))
+    return observations.groupBy("source_id", "target_id", "type").agg(*counted)
