@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from public_tokenizers import path
 
 from vaultspark.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pieces, pii, quality, token_counts, toxicity
@@ -141,8 +142,10 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_pieces(spark):
-    p = pieces.pieces(MODEL)
-    usable = {x: i for i, x in enumerate(p.pieces) if i not in set(p.bytes.values()) and i > 2}
+    """Codes against the library's, and against scores over all segmentations."""
+    p, library = pieces.pieces(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert p.by_merges
+    usable = {x: i for x, i in p.number.items() if p.merged(x) == [i]}
 
     def best(text):
         top = [0.0] + [float("-inf")] * len(text)
@@ -156,15 +159,20 @@ def test_pieces(spark):
         return top[-1]
 
     draw = random.Random(2)
-    for _ in range(300):
-        text = "".join(draw.choice(["the", "and", " ", "  ", "x", ",", "é", "\n", "tion", "😀", "ing"]) for _ in range(draw.randrange(1, 9)))
+    bits = ["the", "and", " ", "  ", "   ", "x", ",", "é", "\n", "tion", "😀", "ing", "日本", "==", "----", "Ünder", "http://", "23", "ß", "\u0301", "l", " а"]
+    for _ in range(2000):
+        text = "".join(draw.choice(bits) for _ in range(draw.randrange(1, 12)))
         ids = list(p.encode(text))
-        assert p.decode(ids) == text
+        assert ids == library.encode(text) and p.decode(ids) == text
         own = text.replace("x", "▁") + "▁"
         assert p.decode(p.encode(own)) == own
-        bridged = sum(c not in usable for c in text.replace(" ", "▁"))
-        score = sum(p.scores[i] for i in ids if i not in p.bytes.values()) + bridged * p.bridge
-        assert score == pytest.approx(best("▁" + text.replace(" ", "▁")))
+    for _ in range(200):
+        text = "▁" + "".join(draw.choice(bits) for _ in range(draw.randrange(1, 6))).replace(" ", "▁")
+        ids = p.best_path(text)
+        bridged = sum(c not in usable for c in text)
+        assert sum(p.scores[i] for i in ids if i not in p.bytes.values()) + bridged * p.bridge == pytest.approx(best(text))
+    for r in spark.read.parquet(f"{os.path.dirname(DATA)}/sf0.001/documents.parquet").collect():
+        assert list(p.encode(r["text"] or "")) == library.encode(r["text"] or "")
     rows = pieces.encode(messy(spark), MODEL)
     assert all(r["decoded_ok"] for r in rows.collect())
     back = {r["doc_id"]: r["text"] for r in pieces.decode(rows, MODEL).collect()}

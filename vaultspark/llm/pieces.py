@@ -1,14 +1,19 @@
 """Encoding into the pieces of a SentencePiece model, and decoding, by Aho-Corasick and Viterbi.
 
 An Aho-Corasick automaton over all pieces reads a text once. At each position its output links give
-every piece that ends there; each relaxes the best score of that position (Viterbi). A character
-that is no piece is bridged, at less than the least score, by its byte pieces, or by the unknown piece
-where the vocabulary has none. The result is the segmentation of the highest total score, whatever the kind of
-the model; for a vocabulary of merges, the library's merge order may cut a word otherwise, at a lower
-total score.
-
-Two exact shortcuts are proven from the vocabulary when it is loaded. A piece whose own string is
-worth more cut into other pieces is never part of a best segmentation, so the automaton leaves it
+every piece that ends there; each relaxes that position (Viterbi). What a path costs depends on the kind of the model:
+
+* Pieces with probabilities (unigram): the sum of the scores; the best path is the segmentation of the highest total score.
+* Pieces with merge ranks (BPE): nothing for two neighbours that the merges leave side by side, and infinitely much for two that they would
+  have joined or cut otherwise. Whether two pieces can be neighbours is found by merging them alone, and remembered. A path
+  without cost is what the merges make of the text: a merge across a border of pieces only depends on the two pieces at
+  it. So one piece at most can end a free path at a position, and it's the library's segmentation.
+
+A character that is no piece is bridged, at less than the least score, by its byte pieces, or by the unknown piece
+where the vocabulary has none.
+
+Two exact shortcuts are proven from the vocabulary when it is loaded. A piece whose own string the model
+cuts into other pieces is never part of a segmentation, so the automaton leaves it
 out. Where no piece left holds two neighbouring characters together, every segmentation is cut between
 them, so what lies between such cuts is encoded by itself. These parts repeat; their codes are
 remembered up to a bound.
@@ -42,13 +47,13 @@ PROBE = "ﬁ  Å\tA\u0301 ① x"
 
 
 class _Remembered(dict):
-    """What ``make`` gives for a string, kept for up to ``bound`` short strings."""
+    """What ``make`` gives for a string, as the bytes of 32-bit numbers, kept for up to ``bound`` short strings."""
 
-    def __init__(self, make: Callable[[str], list[int]], bound: int) -> None:
+    def __init__(self, make: Callable[[str], list[int] | array], bound: int) -> None:
         self.make, self.bound = make, bound
 
-    def __missing__(self, text: str) -> array:
-        ids = array("i", self.make(text))
+    def __missing__(self, text: str) -> bytes:
+        ids = array("i", self.make(text)).tobytes()
         if len(text) <= 64:
             if len(self) >= self.bound:
                 self.clear()
@@ -56,10 +61,24 @@ class _Remembered(dict):
         return ids
 
 
+class _Neighbours(dict):
+    """Whether merges leave two pieces, numbered first * 2^24 + second, side by side; kept for up to ``bound`` pairs."""
+
+    def __init__(self, model: Pieces, bound: int) -> None:
+        self.model, self.bound = model, bound
+
+    def __missing__(self, pair: int) -> bool:
+        a, b = pair >> 24, pair & 0xFFFFFF
+        if len(self) >= self.bound:
+            self.clear()
+        self[pair] = found = self.model.merged(self.model.pieces[a] + self.model.pieces[b]) == [a, b]
+        return found
+
+
 class Pieces:
     """A model's pieces; one for each file and process."""
 
-    def __init__(self, path: str, remember: int = 120_000) -> None:
+    def __init__(self, path: str, remember: int = 200_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -75,18 +94,26 @@ class Pieces:
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 usable.append((piece, i))
+        self.lengths = [len(piece) for piece in self.pieces]
         self.raw = [piece.replace(MARK, " ").encode() for piece in self.pieces]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.singles = {piece for piece, _ in usable if len(piece) == 1}
+        self.number = dict(usable)
         self.bridge = min(self.scores[i] for _, i in usable) + BRIDGE
-        self.machine = self._automaton(usable)
-        best = [(piece, i) for piece, i in usable if len(piece) == 1 or sum(map(self.scores.__getitem__, self.viterbi(piece))) <= self.scores[i]]
+        ranks = [self.scores[i] for piece, i in usable if len(piece) > 1]
+        self.by_merges = all(r <= 0 and r == int(r) for r in ranks)
+        self.neighbours = _Neighbours(self, 1_000_000)
+        if self.by_merges:
+            best = [(piece, i) for piece, i in usable if self.merged(piece) == [i]]
+        else:
+            self.machine = self._automaton(usable)
+            best = [(piece, i) for piece, i in usable if len(piece) == 1 or sum(map(self.scores.__getitem__, self.viterbi(piece))) <= self.scores[i]]
         self.machine = self._automaton(best)
         self.joined = {piece[k : k + 2] for piece, _ in best for k in range(len(piece) - 1)}
         free = not any(pair[1] == MARK and pair[0] != MARK for pair in self.joined)
         self.segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if free else "(?s).+").findall
-        self.parts = _Remembered(self.viterbi, remember)
+        self.parts = _Remembered(self.viterbi, remember // 2)
         self.known = _Remembered(self._segment, remember)
 
     def _automaton(self, pieces: list[tuple[str, int]]):  # noqa: ANN202
@@ -94,39 +121,88 @@ class Pieces:
 
         machine = ahocorasick.Automaton()
         for piece, i in pieces:
-            machine.add_word(piece, (len(piece), self.scores[i], i))
+            machine.add_word(piece, (len(piece), i))
         machine.make_automaton()
         return machine
 
-    def _segment(self, text: str) -> list[int]:
+    def _segment(self, text: str) -> array:
         """Codes of a segment, from those of its parts between forced cuts."""
-        out, at, joined, parts = [], 0, self.joined, self.parts
+        out, at, joined, parts = array("i"), 0, self.joined, self.parts
         for k in range(1, len(text)):
             if text[k - 1 : k + 1] not in joined:
-                out.extend(parts[text[at:k]])
+                out.frombytes(parts[text[at:k]])
                 at = k
-        out.extend(parts[text[at:]])
+        out.frombytes(parts[text[at:]])
         return out
 
+    def merged(self, text: str) -> list[int | None]:
+        """Ids of a short string by merging: of all neighbours that form a piece the one with the highest score is joined, the first of equal ones, until none is left."""
+        parts, number, scores = list(text), self.number, self.scores
+        while len(parts) > 1:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                i = number.get(parts[k] + parts[k + 1])
+                if i is not None and (best is None or scores[i] > best):
+                    best, at = scores[i], k
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [number.get(x) for x in parts]
+
+    def free_path(self, text: str) -> list[int]:
+        """The ids of ``text`` for a model of merges, in one pass over the automaton's matches: the path without cost."""
+        n, neighbours, lengths = len(text), self.neighbours, self.lengths
+        last: list[int | None] = [None] * (n + 1)  # the piece that ends the free path to each position; -1: none before or a bridge
+        last[0] = -1
+        if not self.singles.issuperset(text):
+            for k, c in enumerate(text):
+                if c not in self.singles:
+                    last[k + 1] = -1
+        for end, (length, i) in self.machine.iter(text):
+            end += 1
+            if last[end] is None:
+                before = last[end - length]
+                if before is not None and (before < 0 or neighbours[before << 24 | i]):
+                    last[end] = i
+        out, at = [], n
+        while at:
+            i = last[at]
+            if i < 0:
+                out.extend(self._spelt(text[at - 1]))
+                at -= 1
+            else:
+                out.append(i)
+                at -= lengths[i]
+        return out[::-1]
+
+    def _spelt(self, c: str) -> list[int]:
+        """Byte pieces of a character, the last first, or the unknown piece."""
+        known = [self.bytes.get(b) for b in c.replace(OWN_MARK, MARK).encode()]
+        return known[::-1] if None not in known else [self.unknown]
+
     def viterbi(self, text: str) -> list[int]:
+        """The best ids of ``text``."""
+        return self.free_path(text) if self.by_merges else self.best_path(text)
+
+    def best_path(self, text: str) -> list[int]:
         """The best-scoring ids of ``text``, in one pass over the automaton's matches.
 
         Matches come by their end, longest first, so a position's score is final before any piece starts there.
         """
-        n, low = len(text), float("-inf")
+        n, low, scores = len(text), float("-inf"), self.scores
         best, back = [0.0] + [low] * n, [None] * (n + 1)
         if self.singles.issuperset(text):
-            for end, (length, score, i) in self.machine.iter(text):
-                total = best[end + 1 - length] + score
+            for end, (length, i) in self.machine.iter(text):
+                total = best[end + 1 - length] + scores[i]
                 if total > best[end + 1]:
                     best[end + 1], back[end + 1] = total, (length, i)
         else:
             done = 0  # positions up to here are final
-            for end, (length, score, i) in self.machine.iter(text):
+            for end, (length, i) in self.machine.iter(text):
                 while done < end:
                     done += 1
                     self._bridge(text, done, best, back)
-                total = best[end + 1 - length] + score
+                total = best[end + 1 - length] + scores[i]
                 if total > best[end + 1]:
                     best[end + 1], back[end + 1] = total, (length, i)
             for k in range(done + 1, n + 1):
@@ -137,8 +213,7 @@ class Pieces:
             if i is not None:
                 out.append(i)
             else:
-                known = [self.bytes.get(b) for b in text[at - 1].replace(OWN_MARK, MARK).encode()]
-                out.extend(reversed(known) if None not in known else [self.unknown])
+                out.extend(self._spelt(text[at - 1]))
             at -= length
         return out[::-1]
 
@@ -153,8 +228,7 @@ class Pieces:
         if text:
             if MARK in text:
                 text = text.replace(MARK, OWN_MARK)
-            for piece in map(self.known.__getitem__, self.segments(MARK + text.replace(" ", MARK))):
-                ids.extend(piece)
+            ids.frombytes(b"".join(map(self.known.__getitem__, self.segments(MARK + text.replace(" ", MARK)))))
         return ids
 
     def decode(self, ids: list[int]) -> str:
