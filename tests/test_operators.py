@@ -40,6 +40,12 @@ def test_vectors(spark):
     assert vectors.similar_files(e, files, "none").count() == 0
 
 
+def test_filters_by_day(spark):
+    files = spark.createDataFrame([(k, "d", ["x"], 86_400_000 * k) for k in range(5)], "id long, directory string, tags array<string>, modified_at long")
+    got = lambda **f: sorted(r["id"] for r in fulltext.file_filter(files, **f).collect())
+    assert got(since="1970-01-03") == [2, 3, 4] and got(since=86_400_000, until="1970-01-04") == [1, 2, 3] and got(directory="e") == [] and got(tag="X") == [0, 1, 2, 3, 4]
+
+
 def make_graph(spark, edges, nodes=()):
     ids = sorted({x for a, b, *_ in edges for x in (a, b)} | set(nodes))
     entities = spark.createDataFrame([(i, "person", i, 0) for i in ids], "id string, type string, name string, mention_count long")

@@ -101,15 +101,16 @@ def match(index: DataFrame | KeywordIndex, columns: tuple[str, ...], query: str)
     return found.drop("__length", "__rows", "__mean", *name.values(), *[f"{h}_n" for h in name.values()])
 
 
-def file_filter(rows: DataFrame, directory: str | None = None, tag: str | None = None, since: int | None = None, until: int | None = None, compat: bool = True) -> DataFrame:
-    """Files of a directory, with a tag (any part of the JSON of its tags, whatever its case, if ``compat``), changed in a span of ms."""
+def file_filter(rows: DataFrame, directory: str | None = None, tag: str | None = None, since: int | str | None = None, until: int | str | None = None, compat: bool = True) -> DataFrame:
+    """Files of a directory, with a tag (any part of the JSON of its tags, whatever its case, if ``compat``), changed in a span of ms or from the start of one day to the start of another."""
     if directory is not None:
         rows = rows.where(F.col("directory") == directory)
     if tag is not None:
         rows = rows.where(F.to_json("tags").ilike(f"%{tag}%") if compat else F.array_contains("tags", tag))
+    at = lambda x: X.day_ms(F.lit(x)) if isinstance(x, str) else F.lit(x)
     if since is not None:
-        rows = rows.where(F.col("modified_at") >= since)
-    return rows if until is None else rows.where(F.col("modified_at") <= until)
+        rows = rows.where(F.col("modified_at") >= at(since))
+    return rows if until is None else rows.where(F.col("modified_at") <= at(until))
 
 
 #: What a stored index of files keeps of each.
