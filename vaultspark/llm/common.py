@@ -78,15 +78,15 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         start = stop
 
 
-def learned_rows(docs: DataFrame, labels: DataFrame, bound: int | None, seed: str) -> DataFrame:
-    """A sample of about ``bound`` labelled documents, or all, none held out; the same rows on every run.
-
-    Labels of one document that differ or repeat count once, as their largest.
-    """
+def known_labels(labels: DataFrame) -> DataFrame:
+    """Labels of documents that aren't held out. Those of one document that differ or repeat count once, as their largest."""
     named = [c for c in labels.columns if c != "doc_id"]
-    labels = labels.where(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in named])
-    if bound is None:
-        return docs.select("doc_id", "text").join(labels, "doc_id")
+    return labels.where(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in named])
+
+
+def learned_rows(docs: DataFrame, labels: DataFrame, bound: int, seed: str) -> DataFrame:
+    """A sample of about ``bound`` labelled documents, none held out; the same rows on every run."""
+    labels = known_labels(labels)
     there = max(1, labels.count())
     part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, bound / there) * (1 << 30))
     return docs.select("doc_id", "text").join(labels.where(part), "doc_id")

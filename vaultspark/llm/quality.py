@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import fold, learned_rows, sigmoid, steps, utf8, words
+from vaultspark.llm.common import fold, known_labels, learned_rows, sigmoid, steps, utf8, words, written
 
 CUT = 0.7
 
@@ -81,7 +81,7 @@ def rank(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 250, rate
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = 5000) -> dict | None:
-    """Weights, cut and scale from a bounded sample of labelled documents; None if no pair can be formed."""
+    """Weights from a bounded sample of labelled documents; None if no pair can be formed."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,53 +101,48 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 5000) -> dict | None:
     mean, spread = x.mean(0), x.std(0) + 0.02
     x = (x - mean) / spread
     w = rank(x, y)
-    model = {"w": (w / spread).astype(np.float32), "shift": float((mean / spread) @ w)}
-    return model | _cut(docs, labels, model)
+    return {"w": (w / spread).astype(np.float32), "shift": float((mean / spread) @ w)}
 
 
-def _cut(docs: DataFrame, labels: DataFrame, model: dict) -> dict:
-    """Cut and scale of strengths, from all labelled documents that aren't held out: one aggregate."""
+def strengths(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, held_out and strength of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
             for part in steps(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(strengths(part.column("text"), shared.value))], ["quality", "strength"])
-
-    labelled = learned_rows(docs, labels.where("quality in (0, 1)").select("doc_id", "quality"), None, "quality")
-    rows = labelled.selectExpr("cast(quality as int) quality", "text").mapInArrow(run, "quality int, strength double")
-    grid = [k / 1000 for k in range(1001)]
-    got = rows.agg(F.avg(1 - F.col("quality")), F.stddev_pop("strength"), F.percentile_approx("strength", grid, 100_000)).first()
-    low, high = np.interp([max(0, got[0] - 0.01), min(1, got[0] + 0.01)], grid, got[2])
-    return {"cut": float((low + high) / 2), "scale": float(max(got[1], 1e-6))}
+                strength = (features(part.column("text")) @ m["w"]).astype(float) - m["shift"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(strength)], ["doc_id", "held_out", "strength"])
 
+    return _rows(docs).mapInArrow(run, "doc_id long, held_out boolean, strength double")
 
-def strengths(texts: pa.Array, model: dict) -> np.ndarray:
-    return (features(texts) @ model["w"]).astype(float) - model["shift"]
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text")
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 from 0.7 on) and strength of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for part in steps(batch, "text"):
-                if m is None:
-                    strength, scores = np.zeros(part.num_rows), np.full(part.num_rows, 0.5)
-                else:
-                    strength = strengths(part.column("text"), m)
-                    scores = sigmoid(2 * (strength - m["cut"]) / m["scale"] + np.log(CUT / (1 - CUT)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= CUT).astype(np.int32)), pa.array(strength, pa.float64())],
-                    ["doc_id", "held_out", "score", "predicted", "strength"],
-                )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, strength double")
+def cut(rows: DataFrame, labels: DataFrame) -> tuple[float, float]:
+    """Cut and scale of strengths (``rows``: doc_id, strength), from all labelled documents that aren't held out: one aggregate."""
+    marks = known_labels(labels.where("quality in (0, 1)").selectExpr("cast(doc_id as bigint) doc_id", "cast(quality as int) quality"))
+    grid = [k / 1000 for k in range(1001)]
+    got = rows.select("doc_id", "strength").join(marks, "doc_id").agg(F.avg(1 - F.col("quality")), F.stddev_pop("strength"), F.percentile_approx("strength", grid, 100_000)).first()
+    low, high = np.interp([max(0, got[0] - 0.01), min(1, got[0] + 0.01)], grid, got[2])
+    return float((low + high) / 2), float(max(got[1], 1e-6))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from the labels that aren't held out, then score all."""
-    return score(docs, learn(docs, labels))
+    """doc_id, held_out, score (0 to 1), predicted (1 from 0.7 on) and strength of each document.
+
+    Learn from the labels that aren't held out; the texts are read once more for the strengths, which are written, as the cut and the scores need both.
+    """
+    model = learn(docs, labels)
+    if model is None:
+        rows, z = _rows(docs).drop("text").withColumn("strength", F.lit(0.0)), F.lit(0.0)
+    else:
+        rows = written(strengths(docs, model), "strengths")
+        middle, scale = cut(rows, labels)
+        z = 2 * (F.col("strength") - middle) / scale + float(np.log(CUT / (1 - CUT)))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))))
+    predicted = F.when(score >= CUT, 1).otherwise(0) if model is not None else F.lit(0)
+    return rows.select("doc_id", "held_out", score.alias("score"), predicted.alias("predicted"), "strength")
