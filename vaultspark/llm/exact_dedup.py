@@ -6,7 +6,10 @@ round, so that the number of rounds grows with the logarithm of the longest text
 carries the length as well, which sets apart texts that only differ in where they end. Groups are
 found by comparing the digits themselves, not a digest of them.
 
-Each round is one partial aggregation and one join back to the documents that still share a group.
+The first round counts digits alone. Which of them are shared goes to all executors as a bitmap of hashes (``PER_GROUP`` bits for each,
+``MOST_BITS`` at most, which is 32 MB), so that a document whose digit is in no other is decided where it is read, and its text isn't
+moved; if the bitmap fills up, more texts are, and results stay the same. Each further round is one partial aggregation and one
+join back to the documents that still share a group.
 Nothing gathers a group in one task: the aggregation sends one row per group and task, and its result is
 written, so that Spark splits a skewed side of the join.
 
@@ -35,28 +38,48 @@ def _decided(df: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of the bitmap for each shared digit, and at most; bits of one of its rows.
+PER_GROUP, MOST_BITS, SLICE = 16, 1 << 28, 1 << 15
+
+
+def _flagged(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false where length and digit are surely none of the shared ones."""
+    n = shared.count()
+    bits = min(MOST_BITS, max(SLICE, 1 << (PER_GROUP * n).bit_length()))
+    place = F.pmod(F.xxhash64("length", "digit"), F.lit(bits))
+    maps = shared.select(place.alias("at")).groupBy(F.expr(f"at div {SLICE}").alias("slice")).agg(F.bitmap_construct_agg(F.col("at") % SLICE).alias("bits"))
+    maps = written(maps, "maps")
+    found = rows.withColumn("at", place).withColumn("slice", F.expr(f"at div {SLICE}")).join(F.broadcast(maps), "slice", "left")  # 32 MB at most
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast((at % {SLICE}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("1").cast("int").bitwiseAND(F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")))
+    return found.withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("at", "slice", "bits")
+
+
 def exact_duplicates(docs: DataFrame, first_digit: int = 32, growth: int = 64) -> DataFrame:
     """For each document its group of equal texts: doc_id, keep_id, group_size, kept, text_sha256."""
     raw = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw"))
     length = F.octet_length("raw").alias("length")  # folding A-Z keeps it
     digit = lower_az(F.substring("raw", 1, first_digit)).alias("digit")
     groups = raw.select("doc_id", length, digit).groupBy("length", "digit").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-    rows = raw.select("doc_id", length, digit, lower_az(F.col("raw")).alias("norm"))
-    rows = rows.select("doc_id", "length", "digit", "norm", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
     shared = written(groups.where("n > 1"), "shared")  # so that the join can split a hot digit
-    joined = rows.join(shared, ["length", "digit"], "left")
+    norm = lower_az(F.col("raw"))
+    rows = _flagged(raw.select("doc_id", "raw", length, digit), shared)
+    rows = rows.select("doc_id", "length", "digit", "maybe", norm.alias("norm"))
+    rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    alone = rows.where("not maybe").select("doc_id", "sha", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("keep_id"))
+    joined = rows.where("maybe").join(shared, ["length", "digit"], "left")
     left = F.col("n").isNotNull() & (F.char_length("norm") > first_digit)
     state = written(
         joined.select(
             "doc_id", "length", "digit", "sha",
             F.monotonically_increasing_id().alias("row"),
-            F.coalesce("n", F.lit(1)).alias("n"),
+            F.coalesce("n", F.lit(1)).cast("long").alias("n"),
             F.when(F.col("n").isNotNull(), F.col("top")).otherwise(F.col("doc_id")).alias("keep_id"),
             F.when(left, F.col("norm")).alias("norm"),
         ),
         "radix",
     )
-    done = [state.where("norm is null")]
+    done = [alone, state.where("norm is null")]
     keys, at, width = ["length", "digit"], first_digit, first_digit * growth
     rest = state.where("norm is not null")
     longest = rest.agg(F.max(F.char_length("norm"))).first()[0] or 0
