@@ -103,6 +103,25 @@ def exact_duplicates(docs: DataFrame, first_digit: int = 32, growth: int = 64) -
     return reduce(DataFrame.unionByName, [_decided(x) for x in done])
 
 
+def without_duplicates(docs: DataFrame, first_digit: int = 32) -> DataFrame:
+    """The rows of ``docs`` that stay: of equal texts those with the largest id, and of rows that are equal in id as well, one.
+
+    Rows whose first digit is in no other stay where they are read; only the others are decided on, and joined with what was decided.
+    """
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    columns = [f"`{c}`" for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("doc"), "doc_id", F.octet_length(raw).alias("length"), lower_az(F.substring(raw, 1, first_digit)).alias("digit"))
+    shared = written(keyed.groupBy("length", "digit").count().where("count > 1").select("length", "digit"), "shared")
+    flagged = _flagged(keyed, shared)
+    alone, rest = flagged.where("not maybe").select("doc.*"), flagged.where("maybe").select("doc.*")
+    kept = exact_duplicates(rest, first_digit).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.count("*").alias("_rows"))
+    kept = written(kept, "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.sha2(lower_az(raw).cast("binary"), 256) == F.col("_kept_sha"))
+    once = rest.join(kept.where("_rows = 1"), same, "left_semi")
+    again = rest.join(kept.where("_rows > 1"), same).dropDuplicates(["_kept_id", "_kept_sha"]).select(columns)
+    return alone.unionByName(once).unionByName(again)
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
            FROM documents)
