@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultspark.llm import decontamination, exact_dedup, jaccard_join, language_id, pieces
-from vaultspark.llm.common import lower_az, ready, scope, table, written
+from vaultspark.llm.common import ready, scope, table, written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id; of rows that are equal in id as well, one."""
     ready(spark)
-    sha = F.sha2(lower_az(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    kept = exact_dedup.exact_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.count("*").alias("_rows"))
-    kept = written(kept, "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha"))
-    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
-    if kept.where("_rows > 1").isEmpty():
-        return once
-    again = docs.join(kept.where("_rows > 1"), same).dropDuplicates(["_kept_id", "_kept_sha"])
-    return once.unionByName(again.select(docs.columns))
+    return exact_dedup.without_duplicates(docs)
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
