@@ -47,15 +47,18 @@ PROBE = "ﬁ  Å\tA\u0301 ① x"
 
 
 class _Remembered(dict):
-    """What ``make`` gives for a string, as the bytes of 32-bit numbers, kept for up to ``bound`` short strings."""
+    """What ``make`` gives for a string, as the bytes of 32-bit numbers, kept for up to ``bound`` short strings: the younger half here, the older one aside, from where what is asked for again comes back."""
 
     def __init__(self, make: Callable[[str], list[int] | array], bound: int) -> None:
-        self.make, self.bound = make, bound
+        self.make, self.half, self.older = make, bound // 2, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = array("i", self.make(text)).tobytes()
+        ids = self.older.get(text)
+        if ids is None:
+            ids = array("i", self.make(text)).tobytes()
         if len(text) <= 64:
-            if len(self) >= self.bound:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -78,7 +81,7 @@ class _Neighbours(dict):
 class Pieces:
     """A model's pieces; one for each file and process."""
 
-    def __init__(self, path: str, remember: int = 200_000) -> None:
+    def __init__(self, path: str, remember: int = 300_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
