@@ -104,4 +104,4 @@ def test_both_ways_of_betweenness_and_missing_links(spark):
         assert held == pytest.approx(joined, abs=1e-9) and sum(x > 0 for x in held.values()) > 10
     for entity in (None, "supplier-1", "nobody"):
         held, joined = ([tuple(r) for r in graph.missing_links(g, entity, limit=40, most_edges=m).collect()] for m in (graph.MOST_EDGES, 0))
-        assert held == joined and (len(held) == 40) == (entity != "nobody")
+        assert held == joined and bool(held) == (entity != "nobody")
