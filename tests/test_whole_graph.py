@@ -4,10 +4,11 @@ import random
 from collections import defaultdict, deque
 
 import duckdb
+import numpy as np
 import pytest
 
 from vaultspark.functions import scores
-from vaultspark.operators import graph
+from vaultspark.operators import between, graph
 from vaultspark.plans import catalogue
 from vaultspark.sources import tables
 
@@ -124,3 +125,28 @@ def test_missing_links_by_blocks(spark):
         got = [(-r["common"], r["a"], r["b"]) for r in graph.missing_links(g, limit=limit, most_edges=0, block=block).collect()]
         assert got == want[:limit]
     assert len(want) > 25 and want[2][0] == want[3][0] or want[24][0] == want[25][0]  # a tie at a limit
+
+
+def test_betweenness_of_parts_and_hubs(spark):
+    """Dense parts, sparse ones, nodes by themselves and paths by way of hubs against one source at a time."""
+    rng = np.random.default_rng(3)
+    for n, m, k in ((60, 70, 0), (60, 70, 6), (50, 200, 3), (40, 44, 1)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        pairs = np.unique(np.sort(np.stack([a, b], 1)[a != b], 1), axis=0)
+        whole = between.Adjacency(n, np.r_[pairs[:, 0], pairs[:, 1]], np.r_[pairs[:, 1], pairs[:, 0]])
+        want, got = sum(whole.depends(s) for s in range(n)), np.zeros(n)
+        hubs = np.sort(rng.choice(n, k, replace=False)).astype(np.int32)
+        for r in between.total(spark, whole, hubs, 8).collect():
+            got[r["i"]] = r["delta"]
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_betweenness_takes_turns(spark):
+    """Rarest types as hubs, and sources in turns of bounded size where the graph isn't held."""
+    links = [(f"a{i}", f"b{j}") for i in range(9) for j in range(4) if (i * j) % 3] + [(f"c{i}", f"d{i % 3}") for i in range(7)] + [("b0", "h"), ("b1", "h"), ("d0", "h"), ("d1", "h"), ("d2", "d1"), ("a0", "b0")]
+    ids = sorted({x for pair in links for x in pair})
+    nodes = spark.createDataFrame([(i, "hub" if i == "h" else "x", i, 1) for i in ids] + [(f"z{i}", "x", "z", 0) for i in range(60)], "id string, type string, name string, mention_count int")
+    g = graph.Graph(nodes, spark.createDataFrame([(*x, 1.0, ["x"]) for a, b in links for x in ((a, b), (b, a))], "src string, dst string, weight double, types array<string>"))
+    held = {r["id"]: r["betweenness"] for r in graph.betweenness(g).collect()}
+    joined = {r["id"]: r["betweenness"] for r in graph.betweenness(g, most_edges=0, most_rows=3000).collect()}
+    assert held == pytest.approx(joined, abs=1e-12) and held["h"] == max(held.values()) > 0
