@@ -150,3 +150,15 @@ def test_betweenness_takes_turns(spark):
     held = {r["id"]: r["betweenness"] for r in graph.betweenness(g).collect()}
     joined = {r["id"]: r["betweenness"] for r in graph.betweenness(g, most_edges=0, most_rows=3000).collect()}
     assert held == pytest.approx(joined, abs=1e-12) and held["h"] == max(held.values()) > 0
+
+
+def test_edges_are_formed_once(spark, monkeypatch):
+    """Both ways of an edge come from one row, a loop once; graph_importance keeps its tables one by one, so that it never holds all it shuffles."""
+    nodes = spark.createDataFrame([(i, "x", i, 1) for i in "abc"], "id string, type string, name string, mention_count int")
+    seen = [("a", "b", "r", 1.0), ("b", "a", "s", 2.0), ("c", "c", "r", 3.0), ("a", "gone", "r", 1.0)]
+    g = graph.load(nodes, spark.createDataFrame(seen, "source_id string, target_id string, type string, weight double"))
+    assert sorted(map(tuple, g.edges.collect())) == [("a", "b", 2.0, ["r", "s"]), ("b", "a", 2.0, ["r", "s"]), ("c", "c", 3.0, ["r"])]
+    plans, stored = [], graph.Graph.stored
+    monkeypatch.setattr(graph.Graph, "stored", lambda g: plans.append(g.edges._jdf.queryExecution().optimizedPlan().toString()) or stored(g))
+    assert run(spark, "graph_importance")
+    assert [p.count("Relation [") for p in plans] == [3]  # relationships, and the entities at either end
