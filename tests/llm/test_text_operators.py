@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from public_tokenizers import path
 
-from vaultspark.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pieces, pii, quality, token_counts, toxicity
+from vaultspark.llm import common, decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pieces, pii, quality, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.01"
 MODEL, WORDS = path("piece_bpe_32k.model"), path("word_bpe_49k.json")
@@ -538,3 +538,12 @@ def test_pipeline_by_row(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     coded = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert coded.count() == 6 and all(r["decoded_ok"] for r in coded.collect())
+
+
+def test_executors_collect_before_a_stage(spark, monkeypatch):
+    """Garbage in the executors' JVMs goes before each stage: full collections, besides those of the driver (left out here)."""
+    monkeypatch.setattr(common, "swept", lambda spark: None)
+    full = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    common.ready(spark)
+    assert full() >= before + spark.sparkContext.defaultParallelism

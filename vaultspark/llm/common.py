@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.sources.scratch import bucketed, scope, swept, written  # noqa: F401
+from vaultspark.sources.scratch import bucketed, rested, scope, swept, written  # noqa: F401
 
 #: A-Z and their lower case, for the contracts that fold only these.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,6 +35,7 @@ def ready(spark: SparkSession) -> None:
     """Before a stage: bounded Arrow batches, and nothing held any more of the stages before."""
     bounded(spark)
     swept(spark)
+    rested(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

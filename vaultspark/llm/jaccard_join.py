@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultspark.llm.common import bucketed, mix, scope, shingles, steps, utf8, words, written
+from vaultspark.llm.common import bucketed, mix, rested, scope, shingles, steps, utf8, words, written
 from vaultspark.llm.graph import components
 from vaultspark.llm.tables import merged, packed, unpacked
 
@@ -379,6 +379,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         tokens = found.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
         found = written(found.join(written(tokens.select("token"), "tokens"), "token").withColumn("class", F.col("doc_id")), "shared")
         texts.map(written(found.select("doc_id").distinct(), "ids"))
+        rested(spark)
 
         edges, labels, pivots, before, now, rows = None, None, [], np.inf, np.inf, 0
         while len(pivots) < ROUNDS or (len(pivots) < MOST_ROUNDS and now > CROWD * rows and now < 0.8 * before):
@@ -390,6 +391,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 edges = written(new if edges is None else edges.unionByName(new), "links", 1)
                 labels = components(edges, 1)
                 found = _regrouped(found, labels, held, pivots[-1])
+            rested(spark)
             before, (now, rows) = now, _pairs(found, pivots)
 
         a, b = (found.select("token", F.col("doc_id").alias(x), F.col("class").alias(f"c_{x}"), F.col("l").alias(f"l_{x}"), F.col("n").alias(f"n_{x}"), *[F.col(p).alias(f"{p}_{x}") for p in pivots]) for x in "ab")
