@@ -547,3 +547,24 @@ def test_executors_collect_before_a_stage(spark, monkeypatch):
     before = full()
     common.ready(spark)
     assert full() > before  # those that cores ask for together count once
+
+
+def test_exact_duplicates_with_many_partitions(spark, monkeypatch):
+    """Tables between rounds have a few files a core, whatever the session's partitions; executors collect before each pass over texts."""
+    root, rests = spark.conf.get("spark.checkpoint.dir"), []
+    monkeypatch.setattr(exact_dedup, "rested", lambda spark: rests.append(set(os.listdir(root))), raising=False)
+    rows = [(i, f"{i % 300:03} " + "same words " * 20 + f"{i % 150} end") for i in range(900)]
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were, there = {k: spark.conf.get(k) for k in many}, set(os.listdir(root))
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        got = exact_dedup.exact_duplicates(messy(spark, rows), first_digit=4, growth=3).collect()
+        unique = exact_dedup.without_duplicates(messy(spark, rows), first_digit=4).count()
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, i % 300 + 600, 3, i >= 600) for i in range(900)} and unique == 300
+    files = {t: sum(x.startswith("part-") for x in os.listdir(f"{root}/{t}")) for t in set(os.listdir(root)) - there}
+    assert len(files) > 8 and max(files.values()) <= exact_dedup.FILES * spark.sparkContext.defaultParallelism
+    assert rests[0] == there and len(rests) >= 2 * 4  # at the start, after the first digits, before each round, at the end
