@@ -141,6 +141,39 @@ def test_betweenness_of_parts_and_hubs(spark):
         assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_betweenness_by_pairs_of_a_cover():
+    """All pairs of a dense part at once, in blocks of rows, for edges within the cover too; no source walks by itself."""
+    rng, used = np.random.default_rng(4), 0
+    for trial in range(60):
+        n, m = int(rng.integers(3, 40)), int(rng.integers(2, 160))
+        a, b = rng.integers(0, n, m) % (max(1, n // 5) if trial % 2 else n), rng.integers(0, n, m)
+        pairs = np.unique(np.sort(np.stack([a, b], 1)[a != b], 1), axis=0)
+        g = between.Adjacency(n, np.r_[pairs[:, 0], pairs[:, 1]], np.r_[pairs[:, 1], pairs[:, 0]])
+        label, want, got = between.parts(g), sum(g.depends(s) for s in range(n)), np.zeros(n)
+        for name in np.unique(label):
+            nodes = np.flatnonzero(label == name)
+            part = between.Part(g, nodes, between.covers(g))
+            if len(nodes) > 1:
+                bits, none = part.weighed(0, 0.0), np.zeros((len(nodes), 0))
+                assert bits >= 40 and part.weighed(20, 0.0) == 0  # too few bits: longer paths would count
+                for lo, hi in ((0, len(nodes) // 3), (len(nodes) // 3, len(nodes))):
+                    got[part.nodes] += part.pairs(lo, hi, bits, none, none, 4, 5)[0]
+                used += 1
+        assert got == pytest.approx(want, abs=1e-8)
+    assert used >= 60
+
+
+def test_dense_parts_are_dealt_whole():
+    """Six like parts to six tasks, one each: what a task makes for a part is made once."""
+    links = [(p * 50 + i, p * 50 + 5 + j) for p in range(6) for i in range(5) for j in range(45)]
+    a, b = np.array(links + [(y, x) for x, y in links]).T
+    g = between.Adjacency(300, a, b)
+    label = between.parts(g)
+    assert between.dealt(g, label, np.argsort(label, kind="stable"), 3, 6, 8) == list(range(0, 301, 50))
+    one = between.dealt(g, np.zeros(300, int), np.arange(300), 0, 6, 8)  # the first nodes have the most after them
+    assert len(one) == 7 and one[1] < 50 < 60 < 300 - one[-2]
+
+
 def test_betweenness_takes_turns(spark):
     """Rarest types as hubs, and sources in turns of bounded size where the graph isn't held."""
     links = [(f"a{i}", f"b{j}") for i in range(9) for j in range(4) if (i * j) % 3] + [(f"c{i}", f"d{i % 3}") for i in range(7)] + [("b0", "h"), ("b1", "h"), ("d0", "h"), ("d1", "h"), ("d2", "d1"), ("a0", "b0")]
