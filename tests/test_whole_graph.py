@@ -195,3 +195,13 @@ def test_edges_are_formed_once(spark, monkeypatch):
     monkeypatch.setattr(graph.Graph, "stored", lambda g: plans.append(g.edges._jdf.queryExecution().optimizedPlan().toString()) or stored(g))
     assert run(spark, "graph_importance")
     assert [p.count("Relation [") for p in plans] == [3]  # relationships, and the entities at either end
+
+
+def test_importance_joins_trades_once(spark, monkeypatch):
+    """Entities whose mentions are counted from relationships equal those counted from trades; graph_importance reads the trades once."""
+    related = tables.relationships(spark, DATA)
+    plain, counted = (sorted(map(tuple, tables.entities(spark, DATA, x).collect()), key=lambda r: r[0]) for x in (None, related))
+    assert plain == counted and any(r[4] > 1 for r in plain)
+    reads, trade = [], tables._trade
+    monkeypatch.setattr(tables, "_trade", lambda *a: reads.append(a) or trade(*a))
+    assert run(spark, "graph_importance") and len(reads) == 1
