@@ -172,6 +172,7 @@ def test_dense_parts_are_dealt_whole():
     assert between.dealt(g, label, np.argsort(label, kind="stable"), 3, 6, 8) == list(range(0, 301, 50))
     one = between.dealt(g, np.zeros(300, int), np.arange(300), 0, 6, 8)  # the first nodes have the most after them
     assert len(one) == 7 and one[1] < 50 < 60 < 300 - one[-2]
+    assert between.dealt(g, label, np.arange(0), 3, 6, 8) == [0]  # all nodes are hubs
 
 
 def test_betweenness_takes_turns(spark):
